@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from assayline.functions.tokens import (
     RESERVED_IDS,
@@ -88,7 +89,7 @@ def encode_text(
     words = pa.array([row["token"] for row in entries], pa.string())
     ids = pa.array([row["token_id"] for row in entries], pa.int32())
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batch: pa.Array) -> pa.Array:
         places = pc.index_in(batch.flatten(), value_set=words)
         found = pc.fill_null(pc.take(ids, places), UNKNOWN_ID)
