@@ -145,7 +145,7 @@ def validate_contract(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validate_assignments(spark: SparkSession, folder: str) -> DataFrame:
-    assignments = split.stratified_split(views.prepared(spark, folder))
+    assignments = views.assignments(spark, folder)
     return quality.validate_assignments(assignments, stable_ids(spark, folder))
 
 
@@ -165,7 +165,7 @@ def scoring_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def apply_split(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.prepared(spark, folder)
+    rows = views.prepared_table(spark, folder)
     applied = split.apply_split(rows, split.stratified_split(rows))
     return applied.select("sentence_id", "source", "label", "split")
 
@@ -178,7 +178,7 @@ def id_reconcile(spark: SparkSession, folder: str) -> DataFrame:
 
 def leakage_audit(spark: SparkSession, folder: str) -> DataFrame:
     """Rows split before deduplication, so copies do land in different splits."""
-    rows = views.sentences(spark, folder)
+    rows = materialise(views.sentences(spark, folder), "sentences")
     return split.leakage_audit(split.apply_split(rows, split.stratified_split(rows), check=False))
 
 
@@ -188,13 +188,13 @@ def _props(spark: SparkSession, folder: str) -> DataFrame:
 
 def assignments_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "assignments")
-    tables.write_assignments(split.stratified_split(views.prepared(spark, folder)), path)
+    tables.write_assignments(views.assignments(spark, folder), path)
     return tables.read_assignments(spark, path)
 
 
 def _write_and_read(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
     path = fresh_path(spark, f"prepared-{fmt}")
-    tables.write_prepared(views.prepared(spark, folder), path, fmt)
+    tables.write_prepared(views.prepared_table(spark, folder), path, fmt)
     return tables.read_prepared(spark, path, fmt)
 
 
@@ -209,7 +209,7 @@ def artifact_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_manifest(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.labelled_documents(spark, folder)
-    ready = dedup.prepare(rows, ["doc_id"])
+    ready = views.prepared_table(spark, folder)
     settings = vars(SplitConfig())
     manifest = tables.run_manifest(ready, split.stratified_split(ready), rows.count(), settings)
     return manifest.drop("created_at_utc", "config", "champion_model")
@@ -252,7 +252,7 @@ QUERIES = {
     "validate_splits": validate_splits,
     "scoring_input": scoring_input,
     "scoring_checks": scoring_checks,
-    "stratified_split": lambda s, f: split.stratified_split(views.prepared(s, f)),
+    "stratified_split": views.assignments,
     "small_strata": small_strata,
     "apply_split": apply_split,
     "id_reconcile": id_reconcile,

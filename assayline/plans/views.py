@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.operators.dedup import prepare
 from assayline.operators.split import apply_split, stratified_split
 from assayline.schema import SplitConfig
-from assayline.session import table
+from assayline.session import materialise, table
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,8 +33,17 @@ def prepared(spark: SparkSession, folder: str) -> DataFrame:
     return prepare(labelled_documents(spark, folder), ["doc_id"])
 
 
+def prepared_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The prepared rows written once: deduplication is not repeated by each later read."""
+    return materialise(prepared(spark, folder), "prepared")
+
+
+def assignments(spark: SparkSession, folder: str) -> DataFrame:
+    return stratified_split(prepared_table(spark, folder))
+
+
 def assigned(spark: SparkSession, folder: str) -> DataFrame:
-    rows = prepared(spark, folder)
+    rows = prepared_table(spark, folder)
     return apply_split(rows, stratified_split(rows), check=False)
 
 
@@ -74,6 +83,16 @@ def long_form(wide: DataFrame) -> DataFrame:
     )
 
 
+def long_form_with(wide: DataFrame, column: Column, name: str) -> DataFrame:
+    """Long form with one extra column taken from the event."""
+    kept = wide.withColumn(name, column)
+    pairs = F.array(
+        F.struct(F.lit("a").alias("model"), F.col("p_a").alias("probability")),
+        F.struct(F.lit("b").alias("model"), F.col("p_b").alias("probability")),
+    )
+    return kept.select(name, "label", F.inline(pairs))
+
+
 def embedding_labels(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").cast("string").alias("sentence_id"),
