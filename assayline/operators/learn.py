@@ -9,9 +9,11 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -42,6 +44,10 @@ FAMILIES = {
     PRETRAINED_NAME: "pretrained_vectors",
 }
 MAX_ITERATIONS = 2_000
+# Fixed value: the stopping tolerance the reference solver uses by default.
+SOLVER_TOLERANCE = 1e-4
+# Written bytes of training vectors per partition of an iterative fit.
+FIT_PARTITION_BYTES = 64 * 1024 * 1024
 
 # Coefficients of a linear model live on the driver; more terms than this must be bounded
 # by the caller with ``max_terms``.
@@ -254,17 +260,17 @@ _SEARCH = (
 
 
 def candidate_search(
-    assigned: DataFrame, max_terms: int | None = None, tolerance: float = 1e-6
+    assigned: DataFrame, max_terms: int | None = None, tolerance: float = SOLVER_TOLERANCE
 ) -> Rung:
     """Fit every candidate on train, score validation, keep the best; test rows are not read.
 
-    Terms and vectors are built once per representation and written, then fitted for each C.
+    Terms and vectors are built once per representation and written; the fits for its three
+    values of C then run side by side as independent Spark jobs.
     """
     require_splits(validate_splits(assigned))
     train = assigned.where(F.col(SPLIT) == "train").select(ID, TEXT, LABEL)
     validation = assigned.where(F.col(SPLIT) == "validation").select(ID, TEXT, LABEL)
     rows = train.count()
-    specs = candidate_specs()
     started = time.perf_counter()
     results, fitted = [], {}
     for representation in BLOCKS:
@@ -273,17 +279,25 @@ def candidate_search(
         fit_on = materialise(
             _mirrored(vectoriser.transform(train), FEATURES).select(_SIGNED, _TARGET),
             f"train-{representation}",
+            FIT_PARTITION_BYTES,
         )
         check_on = materialise(
             vectoriser.transform(validation).select(ID, LABEL, FEATURES),
             f"validation-{representation}",
+            FIT_PARTITION_BYTES,
         )
         build_seconds = time.perf_counter() - built
-        for index, name, _, c in [s for s in specs if s[2] == representation]:
+
+        def fit(spec, fit_on=fit_on, check_on=check_on, build_seconds=build_seconds):
             clock = time.perf_counter()
-            model = fit_logistic(fit_on, c, FEATURES, rows, tolerance, mirrored=True)
+            model = fit_logistic(fit_on, spec[3], FEATURES, rows, tolerance, mirrored=True)
             seconds = build_seconds + time.perf_counter() - clock
-            score = _macro_f1(positive_probability(model.transform(check_on)))
+            return model, seconds, _macro_f1(positive_probability(model.transform(check_on)))
+
+        specs = [spec for spec in candidate_specs() if spec[2] == representation]
+        with ThreadPool(len(specs)) as pool:
+            outcomes = pool.map(inheritable_thread_target(train.sparkSession)(fit), specs)
+        for (index, name, _, c), (model, seconds, score) in zip(specs, outcomes):
             fitted[index] = (vectoriser, model)
             results.append(
                 (index, name, representation, c, score, vectoriser.feature_count, seconds,
@@ -305,7 +319,7 @@ def candidate_search(
             "validation_macro_f1": repr(chosen["validation_macro_f1"]),
             "trained_on": "train_only",
             "feature_count": str(vectoriser.feature_count),
-            "candidate_count": str(len(specs)),
+            "candidate_count": str(len(results)),
         },
     )
 
@@ -377,9 +391,12 @@ def embedding_rung(
     fit_on = materialise(
         pooler.transform(train).select(F.col(LABEL).cast("double").alias(LABEL), FEATURES),
         "pooled-train",
+        FIT_PARTITION_BYTES,
     )
     check_on = materialise(
-        pooler.transform(validation).select(LABEL, FEATURES), "pooled-validation"
+        pooler.transform(validation).select(LABEL, FEATURES),
+        "pooled-validation",
+        FIT_PARTITION_BYTES,
     )
 
     def fit_epoch(previous: MultilayerPerceptronClassificationModel | None):
@@ -446,9 +463,12 @@ def pretrained_rung(
     fit_on = materialise(
         _dense_mirror(train.select(ID, LABEL, column), column).select(_SIGNED, _TARGET),
         "vectors-train",
+        FIT_PARTITION_BYTES,
     )
     check_on = materialise(
-        vectors.transform(validation.select(LABEL, column)), "vectors-validation"
+        vectors.transform(validation.select(LABEL, column)),
+        "vectors-validation",
+        FIT_PARTITION_BYTES,
     )
     rows = fit_on.count()
     results, models = [], []

@@ -1,3 +1,93 @@
-"""x."""
-QUERIES = {}
-ORACLES = {}
+"""Queries that fit models and score with them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayline.operators import learn, score
+from assayline.operators.split import apply_split, stratified_split
+from assayline.plans import views
+from assayline.plans.run import run_benchmark as run
+from assayline.schema import ID, LABEL, SPLIT, ExperimentConfig
+from assayline.session import fresh_path, materialise
+
+
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors with a split over them."""
+    rows = views.embedding_labels(spark, folder)
+    assigned = apply_split(rows, stratified_split(rows), check=False)
+    return materialise(assigned, "vectors")
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return materialise(views.assigned(spark, folder), "assigned")
+
+
+def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Weights of the regularised fit on all vectors, intercept last."""
+    rows = views.embedding_labels(spark, folder)
+    model = learn.fit_logistic(learn.GivenVectors("embedding").transform(rows))
+    weights = [(i, float(w)) for i, w in enumerate(model.coefficients)]
+    return spark.createDataFrame(weights, "place int, weight double")
+
+
+def candidate_search(spark: SparkSession, folder: str) -> DataFrame:
+    return learn.candidate_search(_documents(spark, folder)).search.drop("fit_seconds")
+
+
+def embedding_rung(spark: SparkSession, folder: str) -> DataFrame:
+    rung = learn.embedding_rung(_documents(spark, folder), epochs=4, patience=2)
+    return rung.history.withColumn("is_best", F.col("epoch") == rung.best_epoch)
+
+
+def pretrained_rung(spark: SparkSession, folder: str) -> DataFrame:
+    return learn.pretrained_rung(_vectors(spark, folder)).search.drop("fit_seconds")
+
+
+def _unigram_rung(assigned: DataFrame) -> learn.Rung:
+    train = assigned.where(F.col(SPLIT) == "train").select(ID, "text", LABEL)
+    vectoriser = learn.fit_vectoriser(train, "word_unigram")
+    fit_on = materialise(
+        vectoriser.transform(train), "unigram-vectors", learn.FIT_PARTITION_BYTES
+    )
+    model = learn.fit_logistic(fit_on, tolerance=learn.SOLVER_TOLERANCE)
+    return learn.Rung(learn.TFIDF_NAME, model, 0.0, vectoriser.feature_count + 1, vectoriser)
+
+
+def score_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A model of the labelled documents scores every chat turn."""
+    rung = _unigram_rung(_documents(spark, folder))
+    return score.score_batch(views.chat_input(spark, folder), rung)
+
+
+def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of a saved and reloaded model next to the original's."""
+    assigned = _documents(spark, folder)
+    rung = _unigram_rung(assigned)
+    path = fresh_path(spark, "model")
+    learn.save_rung(rung, path, spark)
+    again = learn.load_rung(path, learn.TFIDF_NAME, spark)
+    before = rung.score(assigned).select(ID, F.col("probability").alias("before"))
+    after = again.score(assigned).select(ID, F.col("probability").alias("after"))
+    return before.join(after, ID).withColumn("same", F.abs(F.col("before") - F.col("after")) < 1e-7)
+
+
+def run_benchmark(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole experiment with its two text rungs; one row per model."""
+    config = ExperimentConfig(fast=True)
+    labelled = views.labelled_documents(spark, folder)
+    result = run(labelled, ["doc_id"], config=config)
+    return result.tables["model_comparison"]
+
+
+QUERIES = {
+    "logistic_fit": logistic_fit,
+    "candidate_search": candidate_search,
+    "embedding_rung": embedding_rung,
+    "pretrained_rung": pretrained_rung,
+    "score_batch": score_batch,
+    "model_roundtrip": model_roundtrip,
+    "run_benchmark": run_benchmark,
+}
+ORACLES: dict[str, str] = {}

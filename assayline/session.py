@@ -55,15 +55,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_bytes: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later steps then neither recompute it nor depend on cached executor blocks.
+    Later steps then neither recompute it nor depend on cached executor blocks. With
+    ``partition_bytes`` the result has about one partition per that many written bytes,
+    so an iterative fit on a small table does not pay for empty tasks on every pass.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    if partition_bytes is None:
+        return written
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length"))
+    return written.coalesce(1 + int(sizes.first()[0] or 0) // partition_bytes)
 
 
 BROADCAST_ROWS = 100_000
