@@ -327,13 +327,11 @@ ORACLES = {
     "round(1.0 / (1.0 + exp(-(value - 50.0))), 12) as softmax from events",
     "confusion_matrix": sql(
         "scored",
-        "select m.model, actual, predicted, count(s.sentence_id) as rows "
-        "from (select unnest(['a', 'b']) as model), (select unnest([0, 1]) as actual), "
-        "(select unnest([0, 1]) as predicted) left join scored s on s.model = m.model and "
-        "s.label = actual and cast(s.probability >= 0.5 as int) = predicted "
-        "group by all".replace("from (select unnest(['a', 'b']) as model),",
-                               "from (select unnest(['a', 'b']) as model) m cross join")
-        .replace("as actual), (", "as actual) cross join ("),
+        "select m.model, g.actual, g.predicted, count(s.sentence_id) as rows "
+        "from (select unnest(['a', 'b']) as model) m "
+        "cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) g(actual, predicted) "
+        "left join scored s on s.model = m.model and s.label = g.actual "
+        "and cast(s.probability >= 0.5 as int) = g.predicted group by all",
     ),
     "threshold_metrics": sql("scored", f"select {_MS}, {_THRESHOLD} from ({_counts(_MS)})"),
     "roc_auc": sql(
