@@ -13,6 +13,11 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+# The same set as the body of a regex class; ranges keep the per-character test short.
+WHITESPACE_CLASS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_ASCII_WHITESPACE_CLASS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 # Of those, the ones NFKC leaves in place; it turns all others into plain spaces.
 _WHITESPACE_AFTER_NFKC = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u1680\u2028\u2029"
 
@@ -60,11 +65,15 @@ def key_digest(key: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Drop whitespace at both ends, Unicode-wide (``trim`` drops only plain spaces)."""
-    return F.regexp_replace(text, f"^[{WHITESPACE}]+|[{WHITESPACE}]+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(f"[^{WHITESPACE}]")
+    return ~text.rlike(f"[^{WHITESPACE_CLASS}]")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def _combining_class() -> str:
@@ -86,10 +95,12 @@ _COMBINING = _combining_class()
 
 def strip_accents(text: Column) -> Column:
     """NFKD, then drop combining marks. Plain ASCII is returned as it is."""
-    is_ascii = F.octet_length(text) == F.char_length(text)
-    plain = F.when(is_ascii, text)
+    plain = F.when(is_ascii(text), text)
     return plain.when(text.isNotNull(), F.regexp_replace(_nfkd(text), _COMBINING, ""))
 
 
 def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WHITESPACE}]+"))
+    """Whitespace-separated words; ASCII text takes the cheaper class."""
+    return F.when(
+        is_ascii(text), F.regexp_count(text, F.lit(f"[^{_ASCII_WHITESPACE_CLASS}]+"))
+    ).otherwise(F.regexp_count(text, F.lit(f"[^{WHITESPACE_CLASS}]+")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.functions.text import WHITESPACE, strip_accents
+from assayline.functions.text import WHITESPACE_CLASS, strip_accents
 
 # Fixed value: lower-case ASCII alphanumerics with at most one inner apostrophe.
 TOKEN_PATTERN = "[a-z0-9]+(?:['’][a-z0-9]+)?"
@@ -55,7 +55,7 @@ def with_char_ngrams(df: DataFrame, text: str, out: str, low: int = 3, high: int
     if low < 3:
         raise ValueError("widths below 3 would have to cut into the padding")
     padded = F.concat(
-        F.lit(" "), F.regexp_replace("_folded", f"[{WHITESPACE}]+", "  "), F.lit(" ")
+        F.lit(" "), F.regexp_replace("_folded", f"[{WHITESPACE_CLASS}]+", "  "), F.lit(" ")
     )
     df = _with_folded(df, text).withColumn("_padded", padded)
     grams = []

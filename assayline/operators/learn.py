@@ -70,10 +70,13 @@ class Vectoriser:
     def feature_count(self) -> int:
         return sum(len(block) for block in self.idf.values())
 
-    def transform(self, df: DataFrame, out: str = FEATURES) -> DataFrame:
+    def transform(
+        self, df: DataFrame, out: str = FEATURES, sign: Column | None = None
+    ) -> DataFrame:
         """Add the TF-IDF vector with a trailing constant 1, row by row, without a shuffle.
 
-        Terms become counts inside the JVM; one Arrow step turns counts into weights.
+        Terms become counts inside the JVM; one Arrow step turns counts into weights, times
+        ``sign`` when given.
         """
         names = []
         for block, make in BLOCKS[self.representation].items():
@@ -82,7 +85,8 @@ class Vectoriser:
             df = counter.transform(make(df, TEXT, terms)).drop(terms)
             df = df.withColumn(counts, F.unwrap_udt(counts))
             names.append(counts)
-        return df.withColumn(out, _weigher(list(self.idf.values()))(*names)).drop(*names)
+        factor = F.lit(1.0) if sign is None else sign
+        return df.withColumn(out, _weigher(list(self.idf.values()))(factor, *names)).drop(*names)
 
 
 def _weigher(idf: list[np.ndarray]):
@@ -91,9 +95,9 @@ def _weigher(idf: list[np.ndarray]):
     size = int(offsets[-1]) + 1
 
     @F.pandas_udf(VectorUDT())
-    def weigh(*blocks: pd.DataFrame) -> pd.DataFrame:
+    def weigh(sign: pd.Series, *blocks: pd.DataFrame) -> pd.DataFrame:
         indices, values = [], []
-        for row in zip(*[zip(b["indices"], b["values"]) for b in blocks]):
+        for factor, *row in zip(sign, *[zip(b["indices"], b["values"]) for b in blocks]):
             places, weights = [], []
             for block, (index, count) in enumerate(row):
                 index = np.asarray(index, dtype=np.int64)
@@ -102,7 +106,7 @@ def _weigher(idf: list[np.ndarray]):
                 places.append(index + offsets[block])
                 weights.append(weight / norm if norm else weight)
             indices.append(np.concatenate([*places, [size - 1]]).astype(np.int32))
-            values.append(np.concatenate([*weights, [1.0]]))
+            values.append(np.concatenate([*weights, [1.0]]) * factor)
         return pd.DataFrame(
             {
                 "type": np.zeros(len(indices), dtype=np.int8),
@@ -162,23 +166,36 @@ def fit_vectoriser(
     return Vectoriser(representation, counters, idf)
 
 
-def _mirrored(df: DataFrame, features: str) -> DataFrame:
-    """Negate features and label of about half the rows, chosen by id.
+def _flip() -> Column:
+    """About half the rows, chosen by id.
 
-    The logistic loss does not change, but the constant column is no longer constant, so
-    Spark fits it like any other weight - and regularises the intercept with it.
+    Negating features and label of a row does not change its logistic loss. Doing so for
+    half the rows keeps the constant column from being constant, so Spark fits it like any
+    other weight - and regularises the intercept with it.
     """
+    return F.pmod(F.xxhash64(ID), F.lit(2)) == 1
+
+
+def _sign() -> Column:
+    return F.when(_flip(), F.lit(-1.0)).otherwise(F.lit(1.0))
+
+
+def _target() -> Column:
+    label = F.col(LABEL)
+    return F.when(_flip(), 1 - label).otherwise(label).cast("double").alias(_TARGET)
+
+
+def _mirrored(df: DataFrame, features: str) -> DataFrame:
+    """Add the mirrored copy of any vector column, and the mirrored label."""
 
     @F.pandas_udf(VectorUDT())
-    def signed(vectors: pd.DataFrame, flip: pd.Series) -> pd.DataFrame:
-        sign = np.where(flip, -1.0, 1.0)
+    def signed(vectors: pd.DataFrame, sign: pd.Series) -> pd.DataFrame:
         return vectors.assign(
             values=[np.asarray(v, dtype=float) * s for v, s in zip(vectors["values"], sign)]
         )
 
-    flip = F.pmod(F.xxhash64(ID), F.lit(2)) == 1
-    return df.withColumn(_SIGNED, signed(F.unwrap_udt(features), flip)).withColumn(
-        _TARGET, F.when(flip, 1 - F.col(LABEL)).otherwise(F.col(LABEL)).cast("double")
+    return df.withColumn(_SIGNED, signed(F.unwrap_udt(features), _sign())).select(
+        "*", _target()
     )
 
 
@@ -277,7 +294,7 @@ def candidate_search(
         built = time.perf_counter()
         vectoriser = fit_vectoriser(train, representation, max_terms)
         fit_on = materialise(
-            _mirrored(vectoriser.transform(train), FEATURES).select(_SIGNED, _TARGET),
+            vectoriser.transform(train, _SIGNED, _sign()).select(_SIGNED, _target()),
             f"train-{representation}",
             FIT_PARTITION_BYTES,
         )
@@ -434,22 +451,12 @@ class GivenVectors:
 
     column: str
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        array: Column = F.transform(F.col(self.column), lambda x: x.cast("double"))
-        return df.withColumn(
-            FEATURES, array_to_vector(F.concat(array, F.array(F.lit(1.0))))
-        )
-
-
-def _dense_mirror(df: DataFrame, column: str) -> DataFrame:
-    flip = F.pmod(F.xxhash64(ID), F.lit(2)) == 1
-    sign = F.when(flip, F.lit(-1.0)).otherwise(F.lit(1.0))
-    array = F.concat(
-        F.transform(F.col(column), lambda x: x.cast("double") * sign), F.array(sign)
-    )
-    return df.withColumn(_SIGNED, array_to_vector(array)).withColumn(
-        _TARGET, F.when(flip, 1 - F.col(LABEL)).otherwise(F.col(LABEL)).cast("double")
-    )
+    def transform(
+        self, df: DataFrame, out: str = FEATURES, sign: Column | None = None
+    ) -> DataFrame:
+        factor = F.lit(1.0) if sign is None else sign
+        array = F.transform(F.col(self.column), lambda x: x.cast("double") * factor)
+        return df.withColumn(out, array_to_vector(F.concat(array, F.array(factor))))
 
 
 def pretrained_rung(
@@ -461,7 +468,7 @@ def pretrained_rung(
     validation = assigned.where(F.col(SPLIT) == "validation")
     vectors = GivenVectors(column)
     fit_on = materialise(
-        _dense_mirror(train.select(ID, LABEL, column), column).select(_SIGNED, _TARGET),
+        vectors.transform(train, _SIGNED, _sign()).select(_SIGNED, _target()),
         "vectors-train",
         FIT_PARTITION_BYTES,
     )

@@ -15,7 +15,7 @@ from assayline.operators import dedup, profile, quality, score, split
 from assayline.plans import views
 from assayline.plans.views import rounded, sql
 from assayline.schema import SplitConfig
-from assayline.session import fresh_path, materialise, table
+from assayline.session import fresh_path, materialise, spread_table, table
 from assayline.sources import files, lines, tables
 
 _ONE_LINE = r"[\t\n\r]+"
@@ -70,7 +70,8 @@ def malformed_lines(spark: SparkSession, folder: str) -> DataFrame:
         one_line="translate(text, '\t\n\r', '   ')", documents="{documents}", labels="{labels}"
     )
     damaged = spark.sql(
-        query, documents=table(spark, folder, "documents"), labels=table(spark, folder, "labels")
+        query, documents=spread_table(spark, folder, "documents", ["doc_id", "lang", "text", "n_chars"]),
+        labels=table(spark, folder, "labels"),
     )
     bad = lines.malformed_rows(lines.parse_lines(damaged))
     return bad.select("source", "line_number", "reason")
@@ -132,7 +133,7 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", text_key(F.col("text")).alias("key"))
+    return spread_table(spark, folder, "documents", ["doc_id", "text"]).select("doc_id", text_key(F.col("text")).alias("key"))
 
 
 def stable_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +264,9 @@ QUERIES = {
     "source_profile": lambda s, f: rounded(profile.source_profile(views.prepared(s, f))),
     "split_distribution": lambda s, f: rounded(profile.split_distribution(views.assigned(s, f))),
     "length_histogram": lambda s, f: profile.length_histogram(views.prepared(s, f)),
-    "text_lengths": lambda s, f: profile.with_lengths(table(s, f, "documents")).select(
+    "text_lengths": lambda s, f: profile.with_lengths(
+        spread_table(s, f, "documents", ["doc_id", "text"])
+    ).select(
         "doc_id", "characters", "words"
     ),
     "assignments_roundtrip": assignments_roundtrip,

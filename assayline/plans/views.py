@@ -9,12 +9,12 @@ from pyspark.sql import types as T
 from assayline.operators.dedup import prepare
 from assayline.operators.split import apply_split, stratified_split
 from assayline.schema import SplitConfig
-from assayline.session import materialise, table
+from assayline.session import materialise, spread_table, table
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``(sentence_id, source, text, label, doc_id)`` of every labelled document."""
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    documents = spread_table(spark, folder, "documents", ["doc_id", "lang", "text"])
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     return documents.join(labels, "doc_id").select(
         F.col("doc_id").cast("string").alias("sentence_id"),
