@@ -8,29 +8,29 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    LogisticRegression,
     LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec, Word2VecModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.operators.compare import early_stopping, select_candidate
 from assayline.operators.features import BLOCKS, REGULARISATION, with_tokens
 from assayline.operators.metrics import threshold_metrics
 from assayline.operators.quality import require_splits, validate_splits
+from assayline.operators.solver import fit_strengths
 from assayline.schema import HISTORY, ID, LABEL, SPLIT, TEXT, IntegrityError
 from assayline.session import materialise
 
@@ -54,8 +54,6 @@ FIT_PARTITION_BYTES = 64 * 1024 * 1024
 MAX_FEATURES = 20_000_000
 
 FEATURES = "features"
-_SIGNED = "_signed"
-_TARGET = "_target"
 
 
 @dataclass
@@ -70,13 +68,10 @@ class Vectoriser:
     def feature_count(self) -> int:
         return sum(len(block) for block in self.idf.values())
 
-    def transform(
-        self, df: DataFrame, out: str = FEATURES, sign: Column | None = None
-    ) -> DataFrame:
+    def transform(self, df: DataFrame, out: str = FEATURES) -> DataFrame:
         """Add the TF-IDF vector with a trailing constant 1, row by row, without a shuffle.
 
-        Terms become counts inside the JVM; one Arrow step turns counts into weights, times
-        ``sign`` when given.
+        Terms become counts inside the JVM; one Arrow step turns counts into weights.
         """
         names = []
         for block, make in BLOCKS[self.representation].items():
@@ -85,8 +80,7 @@ class Vectoriser:
             df = counter.transform(make(df, TEXT, terms)).drop(terms)
             df = df.withColumn(counts, F.unwrap_udt(counts))
             names.append(counts)
-        factor = F.lit(1.0) if sign is None else sign
-        return df.withColumn(out, _weigher(list(self.idf.values()))(factor, *names)).drop(*names)
+        return df.withColumn(out, _weigher(list(self.idf.values()))(*names)).drop(*names)
 
 
 def _weigher(idf: list[np.ndarray]):
@@ -95,9 +89,9 @@ def _weigher(idf: list[np.ndarray]):
     size = int(offsets[-1]) + 1
 
     @F.pandas_udf(VectorUDT())
-    def weigh(sign: pd.Series, *blocks: pd.DataFrame) -> pd.DataFrame:
+    def weigh(*blocks: pd.DataFrame) -> pd.DataFrame:
         indices, values = [], []
-        for factor, *row in zip(sign, *[zip(b["indices"], b["values"]) for b in blocks]):
+        for row in zip(*[zip(b["indices"], b["values"]) for b in blocks]):
             places, weights = [], []
             for block, (index, count) in enumerate(row):
                 index = np.asarray(index, dtype=np.int64)
@@ -106,7 +100,7 @@ def _weigher(idf: list[np.ndarray]):
                 places.append(index + offsets[block])
                 weights.append(weight / norm if norm else weight)
             indices.append(np.concatenate([*places, [size - 1]]).astype(np.int32))
-            values.append(np.concatenate([*weights, [1.0]]) * factor)
+            values.append(np.concatenate([*weights, [1.0]]))
         return pd.DataFrame(
             {
                 "type": np.zeros(len(indices), dtype=np.int8),
@@ -166,66 +160,32 @@ def fit_vectoriser(
     return Vectoriser(representation, counters, idf)
 
 
-def _flip() -> Column:
-    """About half the rows, chosen by id.
-
-    Negating features and label of a row does not change its logistic loss. Doing so for
-    half the rows keeps the constant column from being constant, so Spark fits it like any
-    other weight - and regularises the intercept with it.
-    """
-    return F.pmod(F.xxhash64(ID), F.lit(2)) == 1
-
-
-def _sign() -> Column:
-    return F.when(_flip(), F.lit(-1.0)).otherwise(F.lit(1.0))
-
-
-def _target() -> Column:
-    label = F.col(LABEL)
-    return F.when(_flip(), 1 - label).otherwise(label).cast("double").alias(_TARGET)
-
-
-def _mirrored(df: DataFrame, features: str) -> DataFrame:
-    """Add the mirrored copy of any vector column, and the mirrored label."""
-
-    @F.pandas_udf(VectorUDT())
-    def signed(vectors: pd.DataFrame, sign: pd.Series) -> pd.DataFrame:
-        return vectors.assign(
-            values=[np.asarray(v, dtype=float) * s for v, s in zip(vectors["values"], sign)]
-        )
-
-    return df.withColumn(_SIGNED, signed(F.unwrap_udt(features), _sign())).select(
-        "*", _target()
-    )
+def _as_model(weights: np.ndarray, spark: SparkSession, features: str) -> LogisticRegressionModel:
+    """Spark's own model class around given weights, so scoring and saving stay in the JVM."""
+    vector = _py2java(spark.sparkContext, Vectors.dense(weights))
+    uid = f"logistic_{uuid.uuid4().hex[:12]}"
+    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(uid, vector, 0.0)
+    return LogisticRegressionModel(java).setFeaturesCol(features)
 
 
 def fit_logistic(
     train: DataFrame,
-    c: float = 1.0,
+    strengths: list[float],
     features: str = FEATURES,
-    rows: int | None = None,
-    tolerance: float = 1e-6,
-    mirrored: bool = False,
-) -> LogisticRegressionModel:
-    """L2 logistic regression minimising ``|w|^2 / 2 + C * sum(log loss)``.
+    tolerance: float = SOLVER_TOLERANCE,
+) -> dict[float, LogisticRegressionModel]:
+    """Logistic regressions minimising ``|w|^2 / 2 + C * sum(log loss)``, one per C.
 
     ``features`` must end in a constant 1, whose weight is the (regularised) intercept.
     """
-    rows = train.count() if rows is None else rows
-    data = train if mirrored else _mirrored(train, features)
-    estimator = LogisticRegression(
-        featuresCol=_SIGNED,
-        labelCol=_TARGET,
-        regParam=1.0 / (c * rows),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=False,
-        maxIter=MAX_ITERATIONS,
-        tol=tolerance,
-        family="binomial",
+    size = train.select(F.unwrap_udt(features).alias("v")).select(
+        F.coalesce("v.size", F.size("v.values"))
+    ).head()[0]
+    weights, _ = fit_strengths(
+        train, features, F.col(LABEL), strengths, size, tolerance,
+        MAX_ITERATIONS,
     )
-    model = estimator.fit(data)
-    return model.setFeaturesCol(features)
+    return {c: _as_model(w, train.sparkSession, features) for c, w in weights.items()}
 
 
 def positive_probability(scored: DataFrame, out: str = "probability") -> DataFrame:
@@ -281,20 +241,19 @@ def candidate_search(
 ) -> Rung:
     """Fit every candidate on train, score validation, keep the best; test rows are not read.
 
-    Terms and vectors are built once per representation and written; the fits for its three
-    values of C then run side by side as independent Spark jobs.
+    Terms and vectors are built once per representation and written; the three values of C
+    are then fitted together, sharing every pass. ``fit_seconds`` is that joint time.
     """
     require_splits(validate_splits(assigned))
     train = assigned.where(F.col(SPLIT) == "train").select(ID, TEXT, LABEL)
     validation = assigned.where(F.col(SPLIT) == "validation").select(ID, TEXT, LABEL)
-    rows = train.count()
     started = time.perf_counter()
     results, fitted = [], {}
     for representation in BLOCKS:
         built = time.perf_counter()
         vectoriser = fit_vectoriser(train, representation, max_terms)
         fit_on = materialise(
-            vectoriser.transform(train, _SIGNED, _sign()).select(_SIGNED, _target()),
+            vectoriser.transform(train).select(LABEL, FEATURES),
             f"train-{representation}",
             FIT_PARTITION_BYTES,
         )
@@ -303,19 +262,11 @@ def candidate_search(
             f"validation-{representation}",
             FIT_PARTITION_BYTES,
         )
-        build_seconds = time.perf_counter() - built
-
-        def fit(spec, fit_on=fit_on, check_on=check_on, build_seconds=build_seconds):
-            clock = time.perf_counter()
-            model = fit_logistic(fit_on, spec[3], FEATURES, rows, tolerance, mirrored=True)
-            seconds = build_seconds + time.perf_counter() - clock
-            return model, seconds, _macro_f1(positive_probability(model.transform(check_on)))
-
-        specs = [spec for spec in candidate_specs() if spec[2] == representation]
-        with ThreadPool(len(specs)) as pool:
-            outcomes = pool.map(inheritable_thread_target(train.sparkSession)(fit), specs)
-        for (index, name, _, c), (model, seconds, score) in zip(specs, outcomes):
-            fitted[index] = (vectoriser, model)
+        models = fit_logistic(fit_on, list(REGULARISATION), tolerance=tolerance)
+        seconds = time.perf_counter() - built
+        for index, name, _, c in [s for s in candidate_specs() if s[2] == representation]:
+            score = _macro_f1(positive_probability(models[c].transform(check_on)))
+            fitted[index] = (vectoriser, models[c])
             results.append(
                 (index, name, representation, c, score, vectoriser.feature_count, seconds,
                  "train_only")
@@ -451,16 +402,13 @@ class GivenVectors:
 
     column: str
 
-    def transform(
-        self, df: DataFrame, out: str = FEATURES, sign: Column | None = None
-    ) -> DataFrame:
-        factor = F.lit(1.0) if sign is None else sign
-        array = F.transform(F.col(self.column), lambda x: x.cast("double") * factor)
-        return df.withColumn(out, array_to_vector(F.concat(array, F.array(factor))))
+    def transform(self, df: DataFrame, out: str = FEATURES) -> DataFrame:
+        array = F.transform(F.col(self.column), lambda x: x.cast("double"))
+        return df.withColumn(out, array_to_vector(F.concat(array, F.array(F.lit(1.0)))))
 
 
 def pretrained_rung(
-    assigned: DataFrame, column: str = "embedding", tolerance: float = 1e-6
+    assigned: DataFrame, column: str = "embedding", tolerance: float = SOLVER_TOLERANCE
 ) -> Rung:
     """Logistic regression on vectors someone else trained; strength chosen on validation."""
     started = time.perf_counter()
@@ -468,26 +416,23 @@ def pretrained_rung(
     validation = assigned.where(F.col(SPLIT) == "validation")
     vectors = GivenVectors(column)
     fit_on = materialise(
-        vectors.transform(train, _SIGNED, _sign()).select(_SIGNED, _target()),
-        "vectors-train",
-        FIT_PARTITION_BYTES,
+        vectors.transform(train).select(LABEL, FEATURES), "vectors-train", FIT_PARTITION_BYTES
     )
     check_on = materialise(
         vectors.transform(validation.select(LABEL, column)),
         "vectors-validation",
         FIT_PARTITION_BYTES,
     )
-    rows = fit_on.count()
-    results, models = [], []
+    models = fit_logistic(fit_on, list(REGULARISATION), tolerance=tolerance)
+    seconds = time.perf_counter() - started
+    results = []
     for index, c in enumerate(REGULARISATION):
-        model = fit_logistic(fit_on, c, FEATURES, rows, tolerance, mirrored=True)
-        models.append(model)
-        score = _macro_f1(positive_probability(model.transform(check_on)))
-        results.append((index, f"vectors_c{c:g}", "vectors", c, score, model.numFeatures - 1,
-                        0.0, "train_only"))
+        score = _macro_f1(positive_probability(models[c].transform(check_on)))
+        results.append((index, f"vectors_c{c:g}", "vectors", c, score,
+                        models[c].numFeatures - 1, seconds, "train_only"))
     search = select_candidate(assigned.sparkSession.createDataFrame(results, _SEARCH))
     chosen = search.where("selected").first()
-    best = models[chosen["candidate_index"]]
+    best = models[chosen["C"]]
     return Rung(
         PRETRAINED_NAME,
         best,

@@ -27,7 +27,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of the regularised fit on all vectors, intercept last."""
     rows = views.embedding_labels(spark, folder)
-    model = learn.fit_logistic(learn.GivenVectors("embedding").transform(rows))
+    vectors = learn.GivenVectors("embedding").transform(rows)
+    model = learn.fit_logistic(vectors, [1.0], tolerance=1e-8)[1.0]
     weights = [(i, float(w)) for i, w in enumerate(model.coefficients)]
     return spark.createDataFrame(weights, "place int, weight double")
 
@@ -51,7 +52,7 @@ def _unigram_rung(assigned: DataFrame) -> learn.Rung:
     fit_on = materialise(
         vectoriser.transform(train), "unigram-vectors", learn.FIT_PARTITION_BYTES
     )
-    model = learn.fit_logistic(fit_on, tolerance=learn.SOLVER_TOLERANCE)
+    model = learn.fit_logistic(fit_on, [1.0])[1.0]
     return learn.Rung(learn.TFIDF_NAME, model, 0.0, vectoriser.feature_count + 1, vectoriser)
 
 
