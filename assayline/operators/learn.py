@@ -47,7 +47,9 @@ MAX_ITERATIONS = 2_000
 # Fixed value: the stopping tolerance the reference solver uses by default.
 SOLVER_TOLERANCE = 1e-4
 # Written bytes of training vectors per partition of an iterative fit.
-FIT_PARTITION_BYTES = 64 * 1024 * 1024
+FIT_PARTITION_BYTES = 4 * 1024 * 1024
+# The same for texts, which cost more work per byte.
+TEXT_PARTITION_BYTES = 512 * 1024
 
 # Coefficients of a linear model live on the driver; more terms than this must be bounded
 # by the caller with ``max_terms``.

@@ -21,7 +21,7 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return materialise(views.assigned(spark, folder), "assigned")
+    return materialise(views.assigned(spark, folder), "assigned", learn.TEXT_PARTITION_BYTES)
 
 
 def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:

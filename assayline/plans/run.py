@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assayline.operators import compare, profile, split, uncertainty
 from assayline.operators.dedup import prepare_checked
 from assayline.operators.learn import (
+    TEXT_PARTITION_BYTES,
     Rung,
     candidate_search,
     embedding_rung,
@@ -131,7 +132,9 @@ def run_benchmark(
     started = time.perf_counter()
     raw_rows = labelled.count()
     prepared = materialise(prepare_checked(labelled, order), "prepared")
-    assigned = materialise(split.create_splits(prepared, split_config), "assigned")
+    assigned = materialise(
+        split.create_splits(prepared, split_config), "assigned", TEXT_PARTITION_BYTES
+    )
     rungs = [
         candidate_search(assigned, max_terms),
         embedding_rung(

@@ -75,8 +75,9 @@ def materialise(df: DataFrame, name: str, partition_bytes: int | None = None) ->
     """Write ``df`` once to the shared folder and read it back.
 
     Later steps then neither recompute it nor depend on cached executor blocks. With
-    ``partition_bytes`` the result has about one partition per that many written bytes,
-    so an iterative fit on a small table does not pay for empty tasks on every pass.
+    ``partition_bytes`` a small result is dealt out into about one partition per that many
+    written bytes, at most one per core: an iterative fit then neither runs on one core nor
+    pays for empty tasks. A result of ``SPREAD_BYTES`` per core or more is left as it is.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -84,8 +85,12 @@ def materialise(df: DataFrame, name: str, partition_bytes: int | None = None) ->
     written = spark.read.schema(df.schema).parquet(path)
     if partition_bytes is None:
         return written
+    cores = spark.sparkContext.defaultParallelism
     sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length"))
-    return written.coalesce(1 + int(sizes.first()[0] or 0) // partition_bytes)
+    size = int(sizes.first()[0] or 0)
+    if size >= SPREAD_BYTES * cores:
+        return written
+    return written.repartition(min(cores, 1 + size // partition_bytes))
 
 
 BROADCAST_ROWS = 100_000
