@@ -44,7 +44,7 @@ FAMILIES = {
     PRETRAINED_NAME: "pretrained_vectors",
 }
 MAX_ITERATIONS = 2_000
-# Fixed value: the stopping tolerance the reference solver uses by default.
+# Fixed value: stopping tolerance, relative to the gradient at the start.
 SOLVER_TOLERANCE = 1e-4
 # Written bytes of training vectors per partition of an iterative fit.
 FIT_PARTITION_BYTES = 4 * 1024 * 1024
