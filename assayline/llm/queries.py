@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import line_dedup
+from assayline.llm import line_dedup, simhash, substring_dedup
 from assayline.session import table
 
 
@@ -14,14 +14,27 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES = {
     "op3_line_dedup": """
 with lines as (
-  select doc_id, generate_subscripts(parts, 1) as at, unnest(parts) as line
+  select doc_id, generate_subscripts(parts, 1) as pos, unnest(parts) as line
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
 ), keyed as (
   select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
@@ -34,7 +47,7 @@ with lines as (
   from keyed k left join shared s on k.key = s.key
 )
 select doc_id, count(*) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) order by at) filter (where not gone), '')) as kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
 """,
 }
