@@ -31,7 +31,7 @@ class Words(NamedTuple):
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray  # texts + 1 word numbers
-    hashes: np.ndarray | None  # uint64
+    hashes: np.ndarray  # uint64
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -89,12 +89,14 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int]]:
         row = after
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, also: bytes = b""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(data):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(offsets), np.int64)
     inside = np.ones(256, bool)
-    inside[[9, 10, 11, 12, 13, 32]] = False
+    inside[[9, 10, 11, 12, 13, 32, *also]] = False
     word = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -106,13 +108,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def words_of(column: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
-    """The words of a chunk; ``lower`` lower-cases A-Z first."""
+def words_of(column: pa.Array, lower: bool = False, also: bytes = b"") -> Words:
+    """The words of a chunk; ``lower`` lower-cases A-Z first, ``also`` adds separators."""
     data, offsets = text_buffer(column)
     if lower:
         table = np.arange(256, dtype=np.uint8)
         table[65:91] += 32
         data = table[data]
-    starts, ends, first = word_spans(data, offsets)
-    hashed = span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE) if hashes else None
+    starts, ends, first = word_spans(data, offsets, also)
+    hashed = span_hashes(data.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)
     return Words(data, starts, ends, first, hashed)

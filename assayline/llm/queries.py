@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.llm import line_dedup, simhash, substring_dedup
+from assayline.llm import decontaminate, line_dedup, packing, simhash, substring_dedup, toxicity
 from assayline.session import table
 
 
+def tokenizer_path() -> str:
+    """Where the installed byte-level tokenizer's file is."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, folder, "labels").where(~_held_out())
+    scored = toxicity.score(docs, toxicity.fit(docs, labels)).drop("text", "lang")
+    return scored.select(
+        "doc_id", _held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "flagged",
+    )
+
+
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path())
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -26,6 +56,9 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_packing": op4_packing,
     "op3_line_dedup": op3_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
