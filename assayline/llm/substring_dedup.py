@@ -12,7 +12,7 @@ rows of ``CELLS`` cells, kept sparse), the sketches are added up by ranges of ce
 is broadcast is one bit per cell, "counted at least twice": 2 * CELLS / 8 bytes at any size of the
 data. On data too large for the sketch more windows pass and the second pass does more; none is lost.
 
-Second pass. Windows whose two bits are set get 128 bits of hash. Each block of about
+Second pass. Windows whose two bits are set get 96 bits of hash. Each block of about
 ``BLOCK_WINDOWS`` windows keeps the first of equal ones and settles the others at once, so a window
 that a third of the documents hold reaches the shuffle once per block. The rest are grouped exactly.
 
@@ -27,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayline.llm import kernels
 from assayline.llm.columns import same_row, text_digest
-from assayline.session import materialise
 
 WINDOW = 20
 GRAM = 8
@@ -43,6 +42,11 @@ BLOCK_WINDOWS = 1 << 20
 _ROW = ["doc_id", "digest"]
 
 
+def _digest() -> Column:
+    """Tells rows of one id apart; 32 bits are enough for that."""
+    return text_digest(F.col("text")).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     have = 1
@@ -139,8 +143,8 @@ def _ranges(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 _CANDIDATES = pa.schema([
-    ("doc_id", pa.int64()), ("digest", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()),
-    ("h1", pa.int64()), ("h2", pa.int64()), ("settled", pa.bool_()),
+    ("doc_id", pa.int64()), ("digest", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()),
+    ("h1", pa.int64()), ("h2", pa.int32()), ("settled", pa.bool_()),
 ])
 
 
@@ -165,7 +169,7 @@ def _settle(ids, digests, rows, starts, h1, h2, window) -> Iterator[pa.RecordBat
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(sort)), 0))
     later = np.any(place != place[:, head], axis=0)
-    first, gone = sort[new], sort[later]
+    first, gone = np.sort(sort[new]), sort[later]
     yield _batch(ids, digests, rows[first], starts[first], starts[first] + window, h1[first], h2[first], False)
     gone = gone[np.lexsort((starts[gone], rows[gone]))]
     spans = []
@@ -174,16 +178,16 @@ def _settle(ids, digests, rows, starts, h1, h2, window) -> Iterator[pa.RecordBat
             spans += [(rows[part[0]], low, high) for low, high in _ranges(starts[part], window)]
     if spans:
         at, low, high = np.array(spans, np.int64).T
-        yield _batch(ids, digests, at, low, high, None, None, True)
+        # nothing is looked for with these; their hashes only deal them out
+        h1 = kernels.mix(digests[at].astype(np.uint64) << np.uint64(32) ^ low.astype(np.uint64))
+        yield _batch(ids, digests, at, low, high, h1, h1, True)
 
 
 def _batch(ids, digests, rows, low, high, h1, h2, settled) -> pa.RecordBatch:
     doc_ids = pa.array(ids, pa.int64()).take(pa.array(rows))
-    nothing = pa.nulls(len(rows), pa.int64())
     return pa.RecordBatch.from_arrays([
         doc_ids, pa.array(digests[rows]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)),
-        nothing if h1 is None else pa.array(h1.view(np.int64)),
-        nothing if h2 is None else pa.array(h2.view(np.int64)),
+        pa.array(h1.view(np.int64)), pa.array(h2.astype(np.uint32).view(np.int32)),
         pa.array(np.full(len(rows), settled)),
     ], schema=_CANDIDATES)
 
@@ -191,7 +195,7 @@ def _batch(ids, digests, rows, low, high, h1, h2, settled) -> pa.RecordBatch:
 def repeated_windows(docs: DataFrame, window: int, gram: int, cells: int) -> DataFrame:
     """``(doc_id, digest, start, stop, h1, h2, settled)``: ranges settled inside a block, and
     the windows left to be grouped."""
-    rows = docs.select("text", F.col("doc_id").cast("bigint"), text_digest(F.col("text")).alias("digest"))
+    rows = docs.select("text", F.col("doc_id").cast("bigint"), _digest().alias("digest"))
     sketch = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, window, gram, cells))
 
     def passing(words: kernels.Words):
@@ -232,20 +236,15 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, cells: int) -> Dat
 
     return rows.mapInArrow(
         candidates,
-        "doc_id bigint, digest bigint, start int, stop int, h1 bigint, h2 bigint, settled boolean",
+        "doc_id bigint, digest int, start int, stop int, h1 bigint, h2 int, settled boolean",
     )
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """``(doc_id, digest, ranges)``: the word ranges to remove, unsorted and overlapping."""
-    found = materialise(repeated_windows(docs, window, gram, cells), "windows")
-    order = [F.col("doc_id").asc_nulls_last(), "digest", "start"]
-    grouped = found.where("not settled").withColumn(
-        "place", F.rank().over(W.partitionBy("h1", "h2").orderBy(*order))
-    )
-    gone = found.where("settled").select(*_ROW, "start", "stop").unionAll(
-        grouped.where("place > 1").select(*_ROW, "start", "stop")
-    )
+    found = repeated_windows(docs, window, gram, cells)
+    order = W.partitionBy("settled", "h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "digest", "start")
+    gone = found.withColumn("place", F.rank().over(order)).where("settled or place > 1")
     return gone.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
 
 
@@ -265,7 +264,7 @@ def _kept_words(text: bytes, ranges) -> tuple[int, int, bytes]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, kept_sha256)`` of every row; ``kept`` is the kept
     words joined by one space."""
-    left = docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest")).alias("l")
+    left = docs.select("doc_id", "text", _digest().alias("digest")).alias("l")
     right = removed_ranges(docs, window, gram, cells).alias("r")
     joined = left.join(right, same_row("l", "r", _ROW), "left").select("l.doc_id", "l.text", "r.ranges")
 
