@@ -172,6 +172,20 @@ def _scan(docs: DataFrame, block: list[tuple[int, bytes]], rate: float) -> DataF
     return docs.select("doc_id", "text").mapInArrow(search, _MATCHES.format(kind))
 
 
+def _pass(docs: DataFrame, block: list[tuple[int, bytes]], rate: float) -> DataFrame:
+    """The rows in which no item of the block is found."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, rate)
+        for batch in batches:
+            texts = batch.column("text")
+            keep = [not (t.is_valid and matcher.matches(normalise(t.as_py()))) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_bytes: int = MIN_ITEM_BYTES
 ) -> DataFrame:
@@ -189,10 +203,8 @@ def find_leaks(
 def without_leaks(
     docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_bytes: int = MIN_ITEM_BYTES
 ) -> DataFrame:
-    """The rows of ``docs`` in which no item is found; a row without id is judged like others."""
-    tagged = docs.withColumn("__digest", F.xxhash64("text", F.lit(0)))
-    leaks = find_leaks(
-        tagged.select(F.struct("doc_id", "__digest").alias("doc_id"), "text"), benchmark, rate, min_bytes
-    ).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__digest").alias("__d")).distinct()
-    same = tagged["doc_id"].eqNullSafe(F.col("__id")) & (tagged["__digest"] == F.col("__d"))
-    return tagged.join(leaks, same, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` in which no item is found, with all their columns; no shuffle."""
+    kept = docs
+    for block in _blocks(benchmark, min_bytes):
+        kept = _pass(kept, block, rate)
+    return kept

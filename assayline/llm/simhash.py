@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm import kernels
+from assayline.llm.columns import text_digest
 from assayline.llm.components import component_of
 from assayline.session import materialise
 
@@ -174,15 +175,37 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return grouped.mapInArrow(verify, "a bigint, b bigint").distinct()
 
 
+def _classes(distinct: DataFrame, distance: int, first: str) -> DataFrame:
+    """``(fp, <first>)``: the least ``first`` among all fingerprints reachable from one."""
+    reach = component_of(links(distinct, distance)).withColumnRenamed("node", "fp")
+    joined = distinct.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    joined = materialise(joined, "components")
+    least = joined.groupBy("component").agg(F.min(first).alias(first))
+    return joined.drop(first).join(least, "component").select("fp", first)
+
+
 def near_duplicates(
     docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = DISTANCE
 ) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row; the component is the smallest id reachable."""
     rows = materialise(fingerprints(docs, shingle_words), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    reach = component_of(links(distinct, distance)).withColumnRenamed("node", "fp")
-    joined = distinct.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    joined = materialise(joined, "components")
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = joined.join(least, "component").select("fp", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(_classes(distinct, distance, "component_id"), "fp").select(
+        "doc_id", "fp", "component_id"
+    )
+
+
+def keep_one(docs: DataFrame, shingle_words: int, distance: int) -> DataFrame:
+    """One row of each class of near-duplicates, with all its columns: that of the smallest id
+    (null last), then of the smallest text hash; of rows that repeat, one."""
+    # 128 bits stand for (id, text); the rows are dealt out by them once, for both steps below
+    keyed = docs.withColumn("__key1", F.xxhash64("doc_id", text_digest(F.col("text")))).withColumn(
+        "__key2", F.xxhash64(F.lit(1), "doc_id", F.col("text"), F.col("text").isNull())
+    )
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key1", "__key2")
+    prints = fingerprints(keyed.select(place.alias("doc_id"), "text"), shingle_words)
+    rows = materialise(prints, "fingerprints")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("kept"))
+    kept = _classes(distinct, distance, "kept").select("kept.__key1", "kept.__key2").distinct()
+    once = keyed.dropDuplicates(["__key1", "__key2"])
+    return once.join(kept, ["__key1", "__key2"], "left_semi").select(*docs.columns)
