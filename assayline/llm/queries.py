@@ -124,5 +124,53 @@ with lines as (
 select doc_id, count(*) as n_lines, cast(count(*) filter (where gone) as bigint) as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op7_chat_format": r"""
+with turns as (
+  select conv_id, turn, role, text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), placed as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over w as place, lag(coalesce(role, ''), 1, '') over w as before,
+    lead(1) over w is null as last
+  from turns window w as (partition by conv_id order by turn, role, text)
+), judged as (
+  select *, case before when '' then role in ('system', 'user') when 'system' then role = 'user'
+      when 'user' then role = 'assistant' when 'assistant' then role = 'user' else false end
+      and (not last or role = 'assistant') as fits,
+    case role when 'system' then 11 when 'user' then 13 when 'assistant' then 7 else 17 + length(role) end
+    + length(regexp_replace(text,
+      '([\[<])(\\*)(SYS\]|/SYS\]|INST\]|/INST\]|s>|/s>|TURN\]|/TURN\]|AS\])', '\1\\\2\3', 'g')) as chars
+  from placed
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by place) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars, bool_and(fits) as valid
+from judged group by conv_id
+""",
+    "op9_substring_dedup": r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), words as (
+  select doc_id, unnest(words) as word, generate_subscripts(words, 1) as place from split
+), windows as (
+  select doc_id, generate_series as place, array_to_string(words[generate_series:generate_series + 19], ' ') as words
+  from split, generate_series(1, cast(len(words) as bigint) - 19)
+), judged as (
+  select doc_id, place, row_number() over (partition by words order by doc_id, place) > 1 as gone from windows
+), marked as (
+  select w.doc_id, w.word, w.place, coalesce(max(cast(j.gone as int)) over (
+    partition by w.doc_id order by w.place rows between 19 preceding and current row), 0) = 1 as gone
+  from words w left join judged j on w.doc_id = j.doc_id and w.place = j.place
+), counted as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+    string_agg(word, ' ' order by place) filter (where not gone) as kept
+  from marked group by doc_id
+)
+select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join counted c on d.doc_id = c.doc_id
 """,
 }
