@@ -95,16 +95,16 @@ def _turn_segments(turn: Column, template: Template) -> Column:
 
 def _machine(roles: Column, template: Template) -> Column:
     """``(state, at, error)``: the last state, the number of turns, and the first turn (from 0)
-    that must not follow; the state is null from there on."""
-    allowed = [f"{state}>{role}" for state, after in template.follows.items() for role in after]
+    that must not follow; nothing follows from there on."""
+    allowed = [f"{state}\0{role}" for state, after in template.follows.items() for role in after]
     start = F.struct(
         F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("error")
     )
 
     def step(now: Column, role: Column) -> Column:
-        fits = F.coalesce(F.concat(now["state"], F.lit(">"), role).isin(allowed), F.lit(False))
+        fits = F.coalesce(F.concat(now["state"], F.lit("\0"), role).isin(allowed), F.lit(False))
         return F.struct(
-            F.when(fits, role).alias("state"),
+            F.when(fits, role).otherwise(F.lit("\0")).alias("state"),
             (now["at"] + 1).alias("at"),
             F.coalesce(now["error"], F.when(~fits, now["at"])).alias("error"),
         )

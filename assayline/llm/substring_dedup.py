@@ -38,7 +38,7 @@ WINDOW = 20
 GRAM = 8
 CELLS = 1 << 27
 SHARD_BITS = 20
-BLOCK_WINDOWS = 1 << 20
+BLOCK_WINDOWS = 1 << 19
 _ROW = ["doc_id", "digest"]
 
 
@@ -107,7 +107,7 @@ def repeated_cells(rows: DataFrame, window: int, gram: int, cells: int) -> np.nd
                 _, selected = np.unique(places, return_index=True)
                 waiting += _cells(anchors[selected], cells)
                 size += 2 * len(selected)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield _sketch_rows(np.concatenate(waiting))
                     waiting, size = [], 0
         if waiting:
