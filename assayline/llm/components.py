@@ -40,7 +40,8 @@ def _state(edges: DataFrame) -> tuple:
 def component_of(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node with an edge; the component is its least node.
 
-    ``edges`` has two bigint columns a and b; direction, loops and repeats don't matter.
+    ``edges`` has two columns a and b of one type that can be ordered; direction, loops and repeats
+    don't matter.
     """
     edges = materialise(edges.where("a <> b").select("a", "b").distinct(), "edges")
     state = _state(edges)

@@ -7,9 +7,9 @@ sample of queries the exact neighbours are found by one scan of all rows, the ra
 in the queries' own orders are noted, and visits are widened until the mean recall reaches
 ``RECALL``; with all leaves the search is exact.
 
-Queries and rows meet by leaf in an equality join of blocks: a leaf's rows are dealt out into parts
-of about ``PART`` rows, its queries likewise, so a leaf that holds a third of all rows is many
-tasks. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest; the others
+Queries and rows meet in an equality join of blocks: neighbouring leaves of together about ``PART``
+rows are a block, a larger leaf is dealt out into several, and the queries of a block likewise, so a leaf
+that holds a third of all rows is many tasks. A block returns each query's k best rows in the leaves it visits. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest; the others
 are left out of the parts, which loses nothing.
 
 Nearness is the inner product in double precision, summed in the order of the components; ties go
@@ -40,7 +40,9 @@ LEAF_ROWS = 512
 LEAF_SAMPLE = 8
 CALIBRATION = 128
 RECALL = 0.96
-PART = 4096
+PART = 16_384
+#: Queries compared with a block at a time.
+STRIP = 256
 SEED = 3
 
 
@@ -143,24 +145,41 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def block_best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query place, row place, score) of each query's k best rows of a block, ties included."""
-    if not len(queries) or not len(rows):
+def block_best(queries, query_ids, rows, ids, k: int, visited=None):
+    """(query place, row place, score) of each query's k best rows of a block; ``visited`` says
+    which rows (columns) a query (row) may see."""
+    found = []
+    for low in range(0, len(queries) if len(rows) else 0, STRIP):
+        part, own = queries[low : low + STRIP], query_ids[low : low + STRIP]
+        dots = part @ rows.T
+        dots[own[:, None] == ids[None, :]] = -np.inf
+        if visited is not None:
+            dots[~visited[low : low + STRIP]] = -np.inf
+        cut = np.full(len(part), -np.inf)
+        if len(rows) > k:
+            cut = np.partition(dots, len(rows) - k, axis=1)[:, len(rows) - k]
+        # the order of summation may move a product by less than this
+        slack = 1e-12 * np.linalg.norm(part, axis=1) * np.linalg.norm(rows, axis=1).max()
+        q, r = np.nonzero((dots >= (cut - slack)[:, None]) & (dots > -np.inf))
+        score = _exact(part[q], rows[r])
+        order = np.lexsort((ids[r], -score, q))
+        q, r, score = q[order], r[order], score[order]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        found.append((q[first] + low, r[first], score[first]))
+    if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    dots = queries @ rows.T
-    dots[query_ids[:, None] == ids[None, :]] = -np.inf
-    if len(rows) > k:
-        cut = np.partition(dots, len(rows) - k, axis=1)[:, len(rows) - k]
-    else:
-        cut = np.full(len(queries), -np.inf)
-    # the order of summation may move a product by less than this
-    slack = 1e-12 * np.linalg.norm(queries, axis=1) * np.linalg.norm(rows, axis=1).max()
-    q, r = np.nonzero((dots >= (cut - slack)[:, None]) & (dots > -np.inf))
-    score = _exact(queries[q], rows[r])
-    order = np.lexsort((ids[r], -score, q))
-    q, r, score = q[order], r[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[place < k], r[place < k], score[place < k]
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def blocks_of(sizes: np.ndarray) -> np.ndarray:
+    """Block of each leaf: neighbours that hold at most ``PART`` rows together."""
+    block, held, out = -1, PART + 1, []
+    for size in sizes.tolist():
+        if held + size > PART:
+            block, held = block + 1, 0
+        held += size
+        out.append(block)
+    return np.array(out, np.int32)
 
 
 def build_index(vectors: DataFrame, k: int) -> tuple[DataFrame, Tree, np.ndarray]:
@@ -237,41 +256,60 @@ def search(index: DataFrame, queries: DataFrame, tree: Tree, sizes: np.ndarray,
     """``(query_id, rank, id, score)`` of each query's k nearest rows in the leaves it visits."""
     sent = index.sparkSession.sparkContext.broadcast([tree.centroids, tree.child, tree.count, tree.leaf])
 
+    blocks = blocks_of(sizes)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = Tree(*sent.value)
         for batch in batches:
-            dots = _matrix(batch.column("vector")) @ tree.centroids.T
-            taken = [tree.visits(d, sizes, visits, k + 1) for d in dots]
-            rows = pa.array(np.repeat(np.arange(len(taken)), [len(t) for t in taken]))
-            leaf = pa.array(np.concatenate(taken), pa.int32()) if taken else pa.array([], pa.int32())
-            names = ["id", "vector", "h1"]
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(rows) for c in names] + [leaf], [*names, "leaf"])
-
-    walked = materialise(
-        queries.mapInArrow(walk, "id bigint, vector array<double>, h1 bigint, leaf int"), "visits"
-    )
-    row_parts = np.maximum(1, -(-sizes // PART))
-    asked = np.zeros(tree.leaves, np.int64)
-    for row in walked.groupBy("leaf").count().collect():  # one row per leaf
-        asked[row.leaf] = row["count"]
+            rows, in_block, leaves = [], [], []
+            for row, dots in enumerate(_matrix(batch.column("vector")) @ tree.centroids.T):
+                taken = np.array(tree.visits(dots, sizes, visits, k + 1))
+                for block in np.unique(blocks[taken]):
+                    rows.append(row), in_block.append(block), leaves.append(taken[blocks[taken] == block])
+            kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in ("id", "vector", "h1")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(in_block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))],
+                ["id", "vector", "h1", "block", "leaves"],
+            )
+
+    walked = materialise(queries.mapInArrow(
+        walk, "id bigint, vector array<double>, h1 bigint, block int, leaves array<int>"
+    ), "visits")
+    count = int(blocks.max()) + 1
+    row_parts = np.maximum(1, -(-np.bincount(blocks, sizes, count).astype(int) // PART))
+    asked = np.zeros(count, np.int64)
+    for row in walked.groupBy("block").count().collect():  # one row per block
+        asked[row.block] = row["count"]
     query_parts = np.maximum(1, -(-asked // PART))
-    parts = F.broadcast(index.sparkSession.createDataFrame(  # one row per leaf
-        list(zip(range(tree.leaves), row_parts.tolist(), query_parts.tolist())), "leaf int, row_parts int, query_parts int"
+    spark = index.sparkSession
+    parts = F.broadcast(spark.createDataFrame(  # one row per block
+        list(zip(range(count), row_parts.tolist(), query_parts.tolist())), "block int, row_parts int, query_parts int"
+    ))
+    block_of_leaf = F.broadcast(spark.createDataFrame(  # one row per leaf
+        list(enumerate(blocks.tolist())), "leaf int, block int"
     ))
 
-    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+    def dealt(rows: DataFrame, own: str, other: str, leaf: str) -> DataFrame:
         part = F.pmod(F.xxhash64("id", "h1"), F.col(f"{own}_parts")).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1)).alias(f"{other}_part")
-        return rows.join(parts, "leaf").select("id", "h1", "vector", "leaf", part.alias(f"{own}_part"), every)
+        return rows.join(parts, "block").select("id", "h1", "vector", leaf, "block", part.alias(f"{own}_part"), every)
 
-    keys = ["leaf", "row_part", "query_part"]
-    left = dealt(walked, "query", "row").groupBy(*keys)
-    right = dealt(index, "row", "query").groupBy(*keys)
+    keys = ["block", "row_part", "query_part"]
+    left = dealt(walked, "query", "row", "leaves").groupBy(*keys)
+    right = dealt(index.join(block_of_leaf, "leaf"), "row", "query", "leaf").groupBy(*keys)
 
     def compare(asking: pa.Table, rows: pa.Table) -> pa.Table:
-        ids = asking.column("id").to_numpy()
-        names = rows.column("id").to_numpy()
-        q, r, score = block_best(_matrix(asking.column("vector")), ids, _matrix(rows.column("vector")), names, k)
+        ids, names = asking.column("id").to_numpy(), rows.column("id").to_numpy()
+        lists = asking.column("leaves").combine_chunks()
+        leaf = rows.column("leaf").to_numpy()
+        first = int(leaf.min()) if len(leaf) else 0
+        may = np.zeros((len(ids), int(leaf.max()) - first + 1 if len(leaf) else 1), bool)
+        wanted, of = lists.flatten().to_numpy() - first, np.repeat(np.arange(len(ids)), lists.value_lengths())
+        inside = (wanted >= 0) & (wanted < may.shape[1])
+        may[of[inside], wanted[inside]] = True
+        q, r, score = block_best(
+            _matrix(asking.column("vector")), ids, _matrix(rows.column("vector")), names, k, may[:, leaf - first]
+        )
         return pa.table({
             "query_id": pa.array(ids[q], pa.int64()), "h1": asking.column("h1").take(pa.array(q)),
             "id": pa.array(names[r], pa.int64()), "score": pa.array(score, pa.float64()),

@@ -14,10 +14,12 @@ from assayline.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from assayline.llm.queries import tokenizer_path
 from assayline.session import materialise, table
 
-#: Near-duplicates: shingles of five words. Seven bits is where fingerprints stop meeting
-#: by chance in a corpus of 10**6 documents; README.md has what it finds of pairs at 0.8 or more.
+#: Near-duplicates are pairs at 0.8 or more of their shingles of five words. Fingerprints of such a pair
+#: differ in about 19 of 128 bits; README.md has what these settings find.
 SHINGLE_WORDS = 5
-DISTANCE = 7
+LANES = 2
+SEGMENTS = 4  # of 16 bits, in each lane
+DISTANCE = 24
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, SHINGLE_WORDS, DISTANCE)
+    return simhash.keep_one(docs, SHINGLE_WORDS, DISTANCE, LANES, SEGMENTS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

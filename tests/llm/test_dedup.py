@@ -159,6 +159,16 @@ def test_links_of_a_dense_group(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_keep_one_in_two_lanes(spark):
+    draw = random.Random(7)
+    base = [f"w{draw.randrange(900)}" for _ in range(200)]
+    near = base[:90] + ["changed"] + base[91:]
+    other = [f"w{draw.randrange(900)}" for _ in range(200)]
+    rows = [(2, " ".join(near)), (1, " ".join(base)), (3, " ".join(other)), (4, " ".join(base).upper())]
+    kept = simhash.keep_one(frame(spark, rows), 5, 24, lanes=2, segments=4)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_keep_one(spark, odd_rows):
     kept = simhash.keep_one(frame(spark, odd_rows), 5, 7)
     assert kept.columns == ["doc_id", "text", "digest", "kept"]
@@ -171,6 +181,29 @@ def test_keep_one(spark, odd_rows):
         assert order((number, None)) == min(order((n, None)) for n in mates)
 
 
+def test_two_lanes_and_wider_segments(spark):
+    draw = random.Random(4)
+    bases = [[draw.getrandbits(64), draw.getrandbits(64)] for _ in range(30)]
+    values = {tuple(b) for b in bases}
+    for base in bases:
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(draw.randint(1, 12)):
+                copy[draw.randrange(2)] ^= 1 << draw.randrange(64)
+            values.add(tuple(copy))
+    signed = [([v - (1 << 64) if v >> 63 else v for v in pair],) for pair in sorted(values)]
+    rows = spark.createDataFrame(signed, "fp array<bigint>").repartition(3)
+    found = {tuple(r.node): tuple(r.component) for r in components.component_of(simhash.links(rows, 15, 2)).collect()}
+    whole = [pair[0] << 64 | pair[1] for pair in values]
+    groups, expected = {}, {}
+    for pair, in signed:
+        key = sum((x & (1 << 64) - 1) << s for x, s in zip(pair, (64, 0)))
+        groups.setdefault(found.get(tuple(pair), tuple(pair)), set()).add(key)
+    for value, root in brute_components(set(whole), 15).items():
+        expected.setdefault(root, set()).add(value)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 120)]
     star = [(1000, i) for i in range(1001, 1300)]

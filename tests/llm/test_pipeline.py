@@ -26,7 +26,7 @@ def corpus(spark, tmp_path_factory):
     copies = {500 + n: n for n in (1, 2, 3)}
     rows += [(c, rows[n][1]) for c, n in copies.items()]
     near = {510 + n: n for n in (4, 5, 6)}
-    rows += [(c, rows[n][1].replace(rows[n][1].split()[7], "changed", 1)) for c, n in near.items()]
+    rows += [(c, " ".join(["changed", *rows[n][1].split()[1:]])) for c, n in near.items()]
     leaks = [520 + n for n, _ in items]
     rows += [(520 + n, prose(30) + " " + text.upper() + ", " + prose(30)) for n, text in items]
     line = "this very line is in two of the documents"
