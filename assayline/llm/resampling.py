@@ -140,7 +140,8 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float = FRACTION, see
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("target")
     )
-    flagged = docs.select("doc_id", "text").join(good, "doc_id", "left").select(
+    # labels grow with the documents: a merge join at every size, never a broadcast
+    flagged = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select(
         "text", F.coalesce("target", F.lit(False)).alias("target")
     )
     ratios = log_ratios(gram_counts(flagged))
