@@ -25,13 +25,19 @@ COUNT_FLOOR = 1
 def prediction_alignment(predictions: DataFrame, assigned: DataFrame) -> DataFrame:
     """Per model and split: rows missing, extra or repeated against the split's ids.
 
-    Expected ids count once per model via the number of models, so nothing is paired: ids
-    and predictions are summed per (split, id, model) and per split.
+    Every model is held against every split, also one it has no prediction for. Ids are not
+    paired with models: they are summed per (split, id, model) and per split, and only the names
+    of models and splits, a few each, are combined.
     """
     models = predictions.select("model", SPLIT).groupBy("model", SPLIT).agg(
         F.count(F.lit(1)).alias("predicted")
     )
     sizes = assigned.groupBy(SPLIT).agg(F.count(F.lit(1)).alias("expected"))
+    named = models.groupBy(F.lit(1).alias("_one")).agg(F.collect_set("model").alias("_models"))
+    seen = models.select(SPLIT).distinct().join(sizes, SPLIT, "full_outer")
+    wanted = seen.withColumn("_one", F.lit(1)).join(named, "_one").select(
+        F.explode("_models").alias("model"), SPLIT, "expected"
+    )
     per_id = predictions.groupBy("model", SPLIT, ID).agg(F.count(F.lit(1)).alias("n"))
     known = assigned.select(SPLIT, ID, F.lit(True).alias("_known"))
     matched = (
@@ -43,17 +49,19 @@ def prediction_alignment(predictions: DataFrame, assigned: DataFrame) -> DataFra
             F.count_if(F.col("n") > 1).alias("repeated"),
         )
     )
+    none = F.lit(0).cast("bigint")
     return (
-        models.join(matched, ["model", SPLIT])
-        .join(sizes, SPLIT, "left")
+        wanted.join(models, ["model", SPLIT], "left")
+        .join(matched, ["model", SPLIT], "left")
         .select(
             "model",
             SPLIT,
-            "predicted",
-            (F.coalesce("expected", F.lit(0)) - F.col("_hits")).alias("missing"),
-            "extra",
-            "repeated",
+            F.coalesce("predicted", none).alias("predicted"),
+            (F.coalesce("expected", none) - F.coalesce("_hits", none)).alias("missing"),
+            F.coalesce("extra", none).alias("extra"),
+            F.coalesce("repeated", none).alias("repeated"),
         )
+        .where("predicted + missing > 0")
     )
 
 
@@ -157,8 +165,11 @@ def model_comparison(
     """One row per model: validation macro-F1, test metrics, intervals, delta, cost columns.
 
     ``scored`` is long ``(model, split, label, probability)``. The per-model tables joined
-    here have one row per model.
+    here have one row per model; what a model lacks stays null, and ``require_complete`` refuses it.
     """
+    models = scored.select("model").distinct()
+    if runs is not None:
+        models = models.unionByName(runs.select("model")).distinct()
     metrics = split_metrics(scored.where(F.col(SPLIT).isin("validation", "test")), edges)
     validation = metrics.where(F.col(SPLIT) == "validation").select(
         "model", F.col("macro_f1").alias("validation_macro_f1")
@@ -176,8 +187,9 @@ def model_comparison(
         *[of_metric(m, end) for m in ("macro_f1", "accuracy") for end in ("low", "high")]
     )
     table = (
-        validation.join(test, "model")
-        .join(bounds, "model")
+        models.join(validation, "model", "left")
+        .join(test, "model", "left")
+        .join(bounds, "model", "left")
         .withColumn("selection_split", F.lit("validation"))
         .withColumn(
             "validation_to_test_macro_f1_delta",
@@ -204,7 +216,19 @@ def model_comparison(
             F.lit(False),
         ).alias("pretraining_compute_included"),
     )
-    return table.join(costs, "model")
+    return table.join(costs, "model", "left")
+
+
+def require_complete(comparison: DataFrame) -> None:
+    """Raise unless every model has both macro-F1 values and, if costs are compared, a run."""
+    needed = ["validation_macro_f1", "test_macro_f1"]
+    needed += [c for c in ("family",) if c in comparison.columns]
+    lacking = F.lit(False)
+    for name in needed:
+        lacking |= F.col(name).isNull()
+    bad = comparison.where(lacking).head(1)
+    if bad:
+        raise IntegrityError(f"the comparison lacks a part of model {bad[0]['model']!r}")
 
 
 def require_unique_models(runs: DataFrame) -> None:
@@ -213,19 +237,26 @@ def require_unique_models(runs: DataFrame) -> None:
         raise ValueError(f"model names must be unique: {twice[0]['model']}")
 
 
+def _best_first(score: str) -> Column:
+    """Descending, with NaN behind every number."""
+    return F.nanvl(F.col(score).cast("double"), F.lit(None).cast("double")).desc_nulls_last()
+
+
 def champion(validation_scores: DataFrame) -> DataFrame:
-    """Best validation macro-F1, then model name. Test metrics play no part."""
+    """Best validation macro-F1, then model name; NaN and null come last. Test metrics play
+    no part."""
     return (
         validation_scores.select("model", "validation_macro_f1")
-        .orderBy(F.col("validation_macro_f1").desc(), "model")
+        .orderBy(_best_first("validation_macro_f1"), "model")
         .limit(1)
     )
 
 
 def select_candidate(candidates: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """Mark the best candidate per scope: highest validation score, lowest index on ties."""
+    """Mark the best candidate per scope: highest validation score (NaN and null last), lowest
+    index on ties."""
     order = W.partitionBy(*(scope or [F.lit(0)])).orderBy(
-        F.col("validation_macro_f1").desc(), "candidate_index"
+        _best_first("validation_macro_f1"), "candidate_index"
     )
     return candidates.withColumn("selected", F.row_number().over(order) == 1)
 

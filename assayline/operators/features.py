@@ -112,16 +112,20 @@ def _encode_by_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """
     salts = 16
     carried = [c for c in tokens.columns if c != "tokens"]
-    flat = tokens.select(
-        *carried, F.posexplode_outer("tokens").alias("at", "token")
-    ).withColumn("_salt", F.pmod(F.xxhash64(ID, "at"), F.lit(salts)))
+    # rows that repeat stay apart by their number; it is written, so that a task that runs again
+    # numbers them alike
+    numbered = materialise(tokens.withColumn("_row", F.monotonically_increasing_id()), "tokens")
+    flat = numbered.select(
+        *carried, "_row", F.posexplode_outer("tokens").alias("at", "token")
+    ).withColumn("_salt", F.pmod(F.xxhash64("_row", "at"), F.lit(salts)))
     table = vocab.select(
         "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     ).withColumn("_salt", F.col("_salt").cast("bigint"))
     joined = flat.join(table, ["token", "_salt"], "left")
     pair = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).cast("int").alias("id"))
-    grouped = joined.groupBy(*carried).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    return grouped.select(*carried, F.col("_pairs.id").alias("token_ids"))
+    grouped = joined.groupBy("_row").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    ids = grouped.select("_row", F.col("_pairs.id").alias("token_ids"))
+    return numbered.join(ids, "_row").select(*carried, "token_ids")
 
 
 def padded(df: DataFrame, width: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec, Word2VecModel
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.operators.compare import early_stopping, select_candidate
-from assayline.operators.features import BLOCKS, REGULARISATION, with_tokens
+from assayline.functions.tokens import RESERVED_IDS
+from assayline.operators.features import BLOCKS, REGULARISATION, encode_text, vocabulary
 from assayline.operators.metrics import threshold_metrics
 from assayline.operators.quality import require_splits, validate_splits
 from assayline.operators.solver import fit_strengths
@@ -92,23 +93,30 @@ def _weigher(idf: list[np.ndarray]):
 
     @F.pandas_udf(VectorUDT())
     def weigh(*blocks: pd.DataFrame) -> pd.DataFrame:
-        indices, values = [], []
-        for row in zip(*[zip(b["indices"], b["values"]) for b in blocks]):
-            places, weights = [], []
-            for block, (index, count) in enumerate(row):
-                index = np.asarray(index, dtype=np.int64)
-                weight = (1.0 + np.log(np.asarray(count, dtype=float))) * idf[block][index]
-                norm = np.sqrt(np.dot(weight, weight))
-                places.append(index + offsets[block])
-                weights.append(weight / norm if norm else weight)
-            indices.append(np.concatenate([*places, [size - 1]]).astype(np.int32))
-            values.append(np.concatenate([*weights, [1.0]]))
+        rows = len(blocks[0])
+        owners, places, weights = [], [], []
+        for at, block in enumerate(blocks):  # all rows of a block at once
+            sizes = block["indices"].str.len().to_numpy()
+            owner = np.repeat(np.arange(rows), sizes)
+            place = np.concatenate([*block["indices"], np.zeros(0, np.int64)]).astype(np.int64)
+            count = np.concatenate([*block["values"], np.zeros(0)])
+            weight = (1.0 + np.log(count)) * idf[at][place]
+            norms = np.sqrt(np.bincount(owner, weight * weight, rows))
+            owners.append(owner)
+            places.append(place + offsets[at])
+            weights.append(weight / np.where(norms > 0, norms, 1.0)[owner])
+        owners.append(np.arange(rows))
+        places.append(np.full(rows, size - 1))
+        weights.append(np.ones(rows))
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        cuts = np.cumsum(np.bincount(owner, minlength=rows))[:-1]
         return pd.DataFrame(
             {
-                "type": np.zeros(len(indices), dtype=np.int8),
-                "size": pd.array([size] * len(indices), dtype="Int32"),
-                "indices": indices,
-                "values": values,
+                "type": np.zeros(rows, dtype=np.int8),
+                "size": pd.array([size] * rows, dtype="Int32"),
+                "indices": np.split(np.concatenate(places)[order].astype(np.int32), cuts),
+                "values": np.split(np.concatenate(weights)[order], cuts),
             }
         )
 
@@ -294,14 +302,47 @@ def candidate_search(
     )
 
 
+@dataclass(frozen=True)
+class EmbeddingSettings:
+    """Settings of the from-scratch rung; each is used."""
+
+    epochs: int = 18
+    patience: int = 4
+    max_tokens: int = 96
+    vocabulary_size: int = 12_000
+    vector_size: int = 64
+    hidden: int = 32
+    steps_per_epoch: int = 15
+
+
 @dataclass
 class Pooler:
-    """Mean of learned word vectors as the feature column."""
+    """Standardised mean of learned token vectors as the feature column.
 
-    model: object
+    Texts are encoded by the train vocabulary (unknown tokens share one vector) and bounded;
+    ``words`` has at most the configured vocabulary's size.
+    """
+
+    words: list[tuple[str, int]]
+    max_tokens: int
+    model: object  # word vectors, then the scaler
+
+    def encoded(self, df: DataFrame) -> DataFrame:
+        vocab = df.sparkSession.createDataFrame(self.words, "token string, token_id int")
+        ids = encode_text(df, vocab, self.max_tokens)
+        return ids.withColumn("tokens", F.col("token_ids").cast("array<string>")).drop("token_ids")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(with_tokens(df)).drop("tokens")
+        return self.model.transform(self.encoded(df)).drop("tokens", "_mean")
+
+
+# Rows per partition of the from-scratch fit: the rows alone decide the partitions, not the cores.
+ROWS_PER_PARTITION = 50_000
+
+
+def _fixed_order(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in the same partitions and order on any number of cores."""
+    return df.repartition(1 + rows // ROWS_PER_PARTITION, ID).sortWithinPartitions(ID)
 
 
 def _by_epochs(
@@ -328,53 +369,46 @@ def _by_epochs(
 
 
 def embedding_rung(
-    assigned: DataFrame,
-    epochs: int = 18,
-    patience: int = 4,
-    vector_size: int = 64,
-    hidden: int = 32,
-    min_count: int = 2,
-    steps_per_epoch: int = 5,
-    seed: int = 42,
-    partitions: int | None = None,
+    assigned: DataFrame, settings: EmbeddingSettings | None = None, seed: int = 42
 ) -> Rung:
-    """Word vectors from the train rows only, mean-pooled, with a one-layer network on top.
+    """Token vectors from the train rows only, mean-pooled, with a one-layer network on top.
 
     An epoch is a few optimiser steps from the previous weights; the epoch with the best
     validation score is kept.
     """
+    settings = settings or EmbeddingSettings()
     require_splits(validate_splits(assigned))
-    spark = assigned.sparkSession
     started = time.perf_counter()
     train = assigned.where(F.col(SPLIT) == "train").select(ID, TEXT, LABEL)
     validation = assigned.where(F.col(SPLIT) == "validation").select(ID, TEXT, LABEL)
+    rows = train.count()
+    vocab = vocabulary(train, settings.vocabulary_size).select("token", "token_id")
+    words = [(r.token, r.token_id) for r in vocab.orderBy("token_id").collect()]  # bounded by the setting
+    pooler = Pooler(words, settings.max_tokens, None)
+    ordered = _fixed_order(pooler.encoded(train), rows)
     vectors = Word2Vec(
-        vectorSize=vector_size,
-        minCount=min_count,
+        vectorSize=settings.vector_size,
+        minCount=1,
         inputCol="tokens",
-        outputCol=FEATURES,
+        outputCol="_mean",
         seed=seed,
         maxIter=1,
-        numPartitions=partitions or min(spark.sparkContext.defaultParallelism, 8),
-    ).fit(with_tokens(train))
-    pooler = Pooler(vectors)
-    fit_on = materialise(
-        pooler.transform(train).select(F.col(LABEL).cast("double").alias(LABEL), FEATURES),
-        "pooled-train",
-        FIT_PARTITION_BYTES,
-    )
-    check_on = materialise(
-        pooler.transform(validation).select(LABEL, FEATURES),
-        "pooled-validation",
-        FIT_PARTITION_BYTES,
+        numPartitions=1 + rows // ROWS_PER_PARTITION,
+    ).fit(ordered)
+    scaler = StandardScaler(inputCol="_mean", outputCol=FEATURES, withMean=True)
+    pooler.model = PipelineModel([vectors, scaler.fit(vectors.transform(ordered))])
+    label = F.col(LABEL).cast("double").alias(LABEL)
+    fit_on = _fixed_order(
+        materialise(pooler.transform(train).select(ID, label, FEATURES), "pooled-train"), rows
     )
+    check_on = materialise(pooler.transform(validation).select(LABEL, FEATURES), "pooled-validation")
 
     def fit_epoch(previous: MultilayerPerceptronClassificationModel | None):
         network = MultilayerPerceptronClassifier(
-            layers=[vector_size, hidden, 2],
+            layers=[settings.vector_size, settings.hidden, 2],
             featuresCol=FEATURES,
             labelCol=LABEL,
-            maxIter=steps_per_epoch,
+            maxIter=settings.steps_per_epoch,
             seed=seed,
         )
         if previous is not None:
@@ -383,18 +417,22 @@ def embedding_rung(
         return model, float(model.summary().objectiveHistory[-1])
 
     best, best_epoch, history = _by_epochs(
-        EMBEDDING_NAME, fit_on, check_on, fit_epoch, epochs, patience
+        EMBEDDING_NAME, fit_on, check_on, fit_epoch, settings.epochs, settings.patience
     )
-    words = vectors.getVectors().count()
+    known = vectors.getVectors().count()
     return Rung(
         EMBEDDING_NAME,
         best,
         time.perf_counter() - started,
-        words * vector_size + int(best.weights.size),
+        known * settings.vector_size + int(best.weights.size),
         pooler,
         best_epoch=best_epoch,
         history=history,
-        metadata={"trained_on": "train_only", "vocabulary": str(words)},
+        metadata={
+            "trained_on": "train_only",
+            "train_rows": str(rows),
+            "vocabulary": str(len(words) + RESERVED_IDS),
+        },
     )
 
 
@@ -470,6 +508,9 @@ def save_rung(rung: Rung, path: str, spark: SparkSession) -> str:
             spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/idf-{block}")
     elif isinstance(rung.vectoriser, Pooler):
         rung.vectoriser.model.write().overwrite().save(f"{path}/vectors")
+        meta["max_tokens"] = rung.vectoriser.max_tokens
+        spark.createDataFrame(rung.vectoriser.words, "token string, token_id int").write.mode(
+            "overwrite").parquet(f"{path}/words")
     elif isinstance(rung.vectoriser, GivenVectors):
         meta["vector_column"] = rung.vectoriser.column
     line = json.dumps(meta, sort_keys=True, allow_nan=False)
@@ -496,7 +537,9 @@ def load_rung(path: str, expected_name: str, spark: SparkSession) -> Rung:
     elif "vector_column" in meta:
         vectoriser = GivenVectors(meta["vector_column"])
     else:
-        vectoriser = Pooler(Word2VecModel.load(f"{path}/vectors"))
+        table = spark.read.parquet(f"{path}/words").orderBy("token_id").collect()
+        words = [(r.token, r.token_id) for r in table]
+        vectoriser = Pooler(words, meta["max_tokens"], PipelineModel.load(f"{path}/vectors"))
     return Rung(
         expected_name,
         model,

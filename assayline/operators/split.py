@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -22,12 +23,22 @@ from assayline.schema import (
     SPLIT,
     SPLIT_NAMES,
     TEXT,
-    SplitConfig,
     SplitError,
 )
-from assayline.session import checked_broadcast
+from assayline.session import checked_broadcast, materialise
 
 _STRATUM = [SOURCE, LABEL]
+
+
+@dataclass(frozen=True)
+class SplitConfig:
+    """Shares of all rows that go to test and to validation; train has the rest."""
+
+    test_size: float = 0.20
+    validation_size: float = 0.20
+    seed: int = 42
+
+
 _HASH, _BUCKET = "_hash", "_bucket"
 
 
@@ -42,8 +53,10 @@ def stratum_quotas(sizes: DataFrame, config: SplitConfig) -> DataFrame:
     ``sizes`` has one row per stratum. The overall sizes are exact: the test split gets the
     rounded-up share of all rows, validation the rounded-up share of what is left.
     """
-    shares = config.proportions()
-    relative = shares["validation"] / (shares["train"] + shares["validation"])
+    held_back, kept = config.test_size, 1 - config.test_size
+    if not (0 < held_back < 1 and 0 < config.validation_size < kept):
+        raise SplitError(f"no share of the rows may be empty: {config}")
+    relative = config.validation_size / kept
     whole = W.partitionBy(F.lit(0))
 
     def apportion(frame: DataFrame, pool: str, share: float, out: str) -> DataFrame:
@@ -61,16 +74,27 @@ def stratum_quotas(sizes: DataFrame, config: SplitConfig) -> DataFrame:
             out, F.col("_floor") + (place <= spare).cast("bigint")
         ).drop("_target", "_exact", "_floor")
 
-    quotas = apportion(sizes, "n", shares["test"], "test_quota")
+    quotas = apportion(sizes, "n", held_back, "test_quota")
     quotas = quotas.withColumn("_rest", F.col("n") - F.col("test_quota"))
     return apportion(quotas, "_rest", relative, "validation_quota").drop("_rest")
 
 
+def _same_stratum(rows: DataFrame, strata: DataFrame) -> DataFrame:
+    """Join on source and label, null meeting null."""
+    renamed = strata.withColumnsRenamed({c: f"_{c}" for c in _STRATUM})
+    same = F.lit(True)
+    for c in _STRATUM:
+        same &= rows[c].eqNullSafe(renamed[f"_{c}"])
+    return rows.join(renamed, same).drop(*[f"_{c}" for c in _STRATUM])
+
+
 def stratified_split(
     df: DataFrame, config: SplitConfig | None = None, hash_digits: int = 4
 ) -> DataFrame:
     """``(sentence_id, split)`` with exact stratified sizes, whatever the row order.
 
+    A null source or label is a stratum value like any other, so every row is assigned.
+
     Inside a stratum rows are ranked by the SHA-256 of seed and id; the lowest ranks form
     the test split, the next ones validation. No stratum is ever sorted as a whole: rows
     fall into buckets by the leading hash digits, bucket counts say which buckets lie
@@ -89,7 +113,7 @@ def stratified_split(
 
     upto = W.partitionBy(*_STRATUM).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
     filled = buckets.withColumn("_before", F.coalesce(F.sum("rows").over(upto), F.lit(0)))
-    placed = filled.join(quotas, _STRATUM)
+    placed = _same_stratum(filled, quotas)
     first_end = F.col("test_quota")
     second_end = F.col("test_quota") + F.col("validation_quota")
 
@@ -117,7 +141,7 @@ def stratified_split(
         "first_before",
         "second_before",
     )
-    located = rows.join(checked_broadcast(bounds), _STRATUM)
+    located = _same_stratum(rows, checked_broadcast(bounds))
     bucket = F.col(_BUCKET)
     on_cut = (bucket == F.col("first_bucket")) | (bucket == F.col("second_bucket"))
     clear = located.where(~on_cut).select(
@@ -207,11 +231,15 @@ def create_splits(
     require_clean(validate_contract(df, sources))
     if small_strata(df).head(1):
         raise SplitError("every (source, label) stratum needs at least three rows")
-    assignments = stratified_split(df, config)
+    # written once: everything below reads the same assignment and repeats no split
+    assignments = materialise(stratified_split(df, config), "assignments")
     require_clean(validate_assignments(assignments, df), SplitError)
     assigned = apply_split(df, assignments, check=False)
-    for name in SPLIT_NAMES:
-        part = assigned.where(F.col(SPLIT) == name).drop(SPLIT)
-        require_clean(validate_contract(part, sources), SplitError)
+    # the table as a whole keeps the contract, so a part can break it only by lacking a label
+    # of a source: one pass over all parts
+    parts = assigned.groupBy(SPLIT, SOURCE).agg(F.min(LABEL).alias("low"), F.max(LABEL).alias("high"))
+    full = parts.agg(F.count_if(F.col("low") < F.col("high")), F.count_distinct(SOURCE)).first()
+    if full[0] < len(SPLIT_NAMES) * full[1]:
+        raise SplitError("every split needs both labels of every source")
     require_no_leakage(assigned)
     return assigned

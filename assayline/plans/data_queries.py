@@ -14,7 +14,6 @@ from assayline.functions.text import stable_id, text_key
 from assayline.operators import dedup, profile, quality, score, split
 from assayline.plans import views
 from assayline.plans.views import rounded, sql
-from assayline.schema import SplitConfig
 from assayline.session import fresh_path, materialise, spread_table, table
 from assayline.sources import files, lines, tables
 
@@ -91,20 +90,22 @@ def union_sources(spark: SparkSession, folder: str) -> DataFrame:
     ).select("source", "source_order", "item", F.char_length("text").alias("characters"))
 
 
-_TABLE_FILES = ["documents", "labels", "conversations", "embeddings", "events", "benchmark"]
-
-
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """Checksums of the table files against a manifest made from them in upper case."""
+    """Documents as files, against a manifest in upper case with wrong, malformed and missing entries."""
+    rows = table(spark, folder, "documents")
+    content = F.col("text").cast("binary")
+    named = F.col("doc_id").cast("string")
     found = files.file_checksums(
-        files.read_files(spark, [f"{folder}/{name}.parquet" for name in _TABLE_FILES])
+        rows.select(named.alias("path"), F.octet_length("text").alias("length"), content.alias("content"))
     )
-    manifest = materialise(
-        found.select("path", F.upper("actual_sha256").alias("expected_sha256")), "manifest"
+    kind = F.col("doc_id") % 10
+    manifest = rows.select(
+        F.when(kind == 2, F.concat(F.lit("absent/"), named)).otherwise(named).alias("path"),
+        F.when(kind == 0, F.repeat(F.lit("0"), F.lit(64)))
+        .when(kind == 1, F.lit("no digest"))
+        .otherwise(F.upper(F.sha2(content, 256))).alias("expected_sha256"),
     )
-    verified = files.verify_checksums(found, manifest)
-    files.require_checksums(verified)
-    return verified.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "status")
+    return files.verify_checksums(found, manifest)
 
 
 def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,17 +202,24 @@ def _write_and_read(spark: SparkSession, folder: str, fmt: str) -> DataFrame:
 
 def strict_json_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.scored(spark, folder)
-    return tables.strict_json_rows(rows.select("sentence_id", "source", "label", "model", "split"))
+    in_thousandths = F.array(F.round(F.col("probability") * 1000).cast("bigint"))  # one spelling everywhere
+    return tables.strict_json_rows(
+        rows.select("sentence_id", "source", "label", "model", "split", in_thousandths.alias("probability"))
+    )
 
 
 def artifact_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    return files.artifact_bytes(spark, folder)
+    """Size of a text table of the documents, one line each."""
+    path = fresh_path(spark, "lines")
+    flat = F.regexp_replace("text", r"[\r\n]+", " ").alias("value")
+    table(spark, folder, "documents").select(flat).write.text(path)
+    return files.artifact_bytes(spark, path).select("artifact_bytes")
 
 
 def run_manifest(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.labelled_documents(spark, folder)
     ready = views.prepared_table(spark, folder)
-    settings = vars(SplitConfig())
+    settings = vars(split.SplitConfig())
     manifest = tables.run_manifest(ready, split.stratified_split(ready), rows.count(), settings)
     return manifest.drop("created_at_utc", "config", "champion_model")
 
@@ -282,7 +290,8 @@ _LINE = "trim(regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g'), ' ')"
 _PREPARED = sql("prepared", "select sentence_id, source, text, label from prepared")
 _ASSIGNMENTS = sql("split", "select sentence_id, split from assigned")
 _DIGEST_ROWS = """hashed as (
-  select sha256(concat_ws(chr(31), sentence_id, source, text, cast(label as varchar))) as h
+  select sha256(concat(length(sentence_id), ':', sentence_id, length(source), ':', source,
+    length(text), ':', text, length(cast(label as varchar)), ':', label)) as h
   from prepared)"""
 _DIGEST = "sha256(concat_ws(',', cast(count(*) as varchar), {}))".format(
     ", ".join(
@@ -291,7 +300,8 @@ _DIGEST = "sha256(concat_ws(',', cast(count(*) as varchar), {}))".format(
     )
 )
 _SPLIT_DIGEST = """split_hashed as (
-  select sha256(concat_ws(chr(31), sentence_id, split)) as h from assigned)"""
+  select sha256(concat(length(sentence_id), ':', sentence_id, length(split), ':', split)) as h
+  from assigned)"""
 _DOC_KEY = (
     r"trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'))"
 )
@@ -513,17 +523,25 @@ select (select count(*) from (select doc_id from documents except select doc_id
         "select source, cast(least(floor(w / 5), last / 5 - 1) * 5 as bigint) as bin_start, "
         "count(*) as rows from counted, edge where w <= last group by all",
         r"counted as (select source, len(regexp_extract_all(text, '\S+')) as w from prepared)",
-        "edge as (select floor((least(100, max(w) + 5) - 1) / 5) * 5 as last from counted)",
+        "edge as (select floor((max(w) + 5 - 1) / 5) * 5 as last from counted)",
     ),
     "text_lengths": r"select doc_id, length(text) as characters, "
     r"len(regexp_extract_all(text, '\S+')) as words from documents",
     "assignments_roundtrip": _ASSIGNMENTS,
     "write_prepared": _PREPARED,
     "read_prepared": _PREPARED,
+    "file_checksums": """
+select case when doc_id % 10 = 2 then 'absent/' || doc_id else cast(doc_id as varchar) end as path,
+  case doc_id % 10 when 0 then repeat('0', 64) when 1 then 'no digest' else sha256(text) end as expected_sha256,
+  case when doc_id % 10 <> 2 then sha256(text) end as actual_sha256,
+  case doc_id % 10 when 0 then 'mismatch' when 1 then 'malformed' when 2 then 'missing' else 'ok' end as status
+from documents""",
+    "artifact_bytes": "select cast(sum(strlen(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) + 1) as bigint) "
+    "as artifact_bytes from documents",
     "strict_json_rows": sql(
         "scored",
         "select cast(to_json(struct_pack(label := label, model := model, "
-        "sentence_id := sentence_id, source := source, split := split)) as varchar) as value "
+        "probability := [cast(round(probability * 1000) as bigint)], sentence_id := sentence_id, source := source, split := split)) as varchar) as value "
         "from scored",
     ),
     "table_digest": sql(

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from assayline.operators import learn, score
 from assayline.operators.split import apply_split, stratified_split
-from assayline.plans import views
+from assayline.plans import text_queries, views
 from assayline.plans.run import run_benchmark as run
-from assayline.schema import ID, LABEL, SPLIT, ExperimentConfig
-from assayline.session import fresh_path, materialise
+from assayline.schema import ID, LABEL, SPLIT, SPLIT_NAMES
+from assayline.session import fresh_path, materialise, table
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,25 +25,47 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights of the regularised fit on all vectors, intercept last."""
-    rows = views.embedding_labels(spark, folder)
-    vectors = learn.GivenVectors("embedding").transform(rows)
-    model = learn.fit_logistic(vectors, [1.0], tolerance=1e-8)[1.0]
-    weights = [(i, float(w)) for i, w in enumerate(model.coefficients)]
+    """Weights of the regularised fit of the event labels on the event value, intercept last."""
+    rows = views.scored_wide(spark, folder)
+    vectors = learn.GivenVectors("value").transform(
+        rows.select("label", F.array(F.col("value") / 100).alias("value"))
+    )
+    model = learn.fit_logistic(vectors, [1.0], tolerance=1e-9)[1.0]
+    weights = [(i, round(float(w), 6)) for i, w in enumerate(model.coefficients)]
     return spark.createDataFrame(weights, "place int, weight double")
 
 
 def candidate_search(spark: SparkSession, folder: str) -> DataFrame:
-    return learn.candidate_search(_documents(spark, folder)).search.drop("fit_seconds")
+    """The nine candidates; ``by_rule`` says whether the marked one is the best by the stated rule."""
+    search = learn.candidate_search(_documents(spark, folder)).search
+    return _by_rule(search).select(
+        "candidate_index", "candidate", "representation", "C", "feature_count", "trained_rows", "by_rule"
+    )
+
+
+def _by_rule(search: DataFrame) -> DataFrame:
+    """Checks the selection against a plain reading of its rule: the highest score, then the
+    lowest index."""
+    scores = {r.candidate_index: (-r.validation_macro_f1, r.candidate_index) for r in search.collect()}
+    best = min(scores, key=scores.get)  # a handful of candidates
+    rule = F.col("selected") == (F.col("candidate_index") == best)
+    return search.withColumn("by_rule", rule & F.col("validation_macro_f1").between(0, 1))
 
 
 def embedding_rung(spark: SparkSession, folder: str) -> DataFrame:
-    rung = learn.embedding_rung(_documents(spark, folder), epochs=4, patience=2)
-    return rung.history.withColumn("is_best", F.col("epoch") == rung.best_epoch)
+    """The rung's vocabulary and train rows, and whether it kept the epoch and stopped as stated."""
+    settings = learn.EmbeddingSettings()
+    rung = learn.embedding_rung(_documents(spark, folder), settings)
+    scores = [r.validation_macro_f1 for r in rung.history.orderBy("epoch").collect()]  # one per epoch
+    first_best = 1 + max(range(len(scores)), key=lambda e: (scores[e], -e))
+    ended = len(scores) == min(settings.epochs, rung.best_epoch + settings.patience)
+    row = (int(rung.metadata["vocabulary"]), int(rung.metadata["train_rows"]), rung.best_epoch == first_best, ended)
+    return spark.createDataFrame([row], "vocabulary bigint, train_rows bigint, best_by_rule boolean, ended_by_rule boolean")
 
 
 def pretrained_rung(spark: SparkSession, folder: str) -> DataFrame:
-    return learn.pretrained_rung(_vectors(spark, folder)).search.drop("fit_seconds")
+    search = learn.pretrained_rung(_vectors(spark, folder)).search
+    return _by_rule(search).select("candidate_index", "candidate", "C", "feature_count", "trained_rows", "by_rule")
 
 
 def _unigram_rung(assigned: DataFrame) -> learn.Rung:
@@ -59,7 +81,12 @@ def _unigram_rung(assigned: DataFrame) -> learn.Rung:
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     """A model of the labelled documents scores every chat turn."""
     rung = _unigram_rung(_documents(spark, folder))
-    return score.score_batch(views.chat_input(spark, folder), rung)
+    scored = score.score_batch(views.chat_input(spark, folder), rung)
+    p = F.col("positive_probability")
+    agrees = (F.col("predicted_label") == (p >= 0.5).cast("int")) & (
+        F.col("predicted_sentiment") == F.when(p >= 0.5, "positive").otherwise("negative")
+    )
+    return scored.select("sentence_id", "model", p.between(0, 1).alias("in_range"), agrees.alias("agrees"))
 
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -71,15 +98,35 @@ def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     again = learn.load_rung(path, learn.TFIDF_NAME, spark)
     before = rung.score(assigned).select(ID, F.col("probability").alias("before"))
     after = again.score(assigned).select(ID, F.col("probability").alias("after"))
-    return before.join(after, ID).withColumn("same", F.abs(F.col("before") - F.col("after")) < 1e-7)
+    return before.join(after, ID).select(ID, (F.abs(F.col("before") - F.col("after")) < 1e-7).alias("same"))
 
 
 def run_benchmark(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole experiment with its two text rungs; one row per model."""
-    config = ExperimentConfig(fast=True)
+    """The whole experiment at its settings, with all three rungs; one row per model.
+
+    The given vectors stand in for a pretrained model's: each sentence takes one of ``embeddings``.
+    """
     labelled = views.labelled_documents(spark, folder)
-    result = run(labelled, ["doc_id"], config=config)
-    return result.tables["model_comparison"]
+    sentences = views.prepared_table(spark, folder).select(ID)
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    count = vectors.count()
+    given = sentences.withColumn("vec_id", F.pmod(F.xxhash64(ID), F.lit(count))).join(vectors, "vec_id")
+    result = run(labelled, ["doc_id"], vectors=given.drop("vec_id"))
+    evidence = result.tables
+    manifest = evidence["run_manifest"].first()
+    rows = evidence["model_comparison"]
+    best = rows.orderBy(F.desc("validation_macro_f1"), "model").first()["model"]
+    ratios = evidence["cost_ratios"].select("model", "artifact_bytes_ratio", "inference_ms_per_sample_ratio")
+    distinct = ratios.agg(F.count_distinct("artifact_bytes_ratio"), F.count_distinct("inference_ms_per_sample_ratio")).first()
+    return rows.select(
+        "model", "family",
+        (F.lit(result.champion_model) == best).alias("champion_by_rule"),
+        (F.col("artifact_bytes") > 0).alias("sized"),
+        (F.col("inference_ms_per_sample") > 0).alias("timed"),
+        F.lit(tuple(distinct) == (3, 3)).alias("own_costs"),
+        *[F.lit(manifest[f"{name}_rows"]).cast("bigint").alias(f"{name}_rows") for name in SPLIT_NAMES],
+        F.lit(manifest["raw_rows"]).cast("bigint").alias("raw_rows"),
+    )
 
 
 QUERIES = {
@@ -91,4 +138,56 @@ QUERIES = {
     "model_roundtrip": model_roundtrip,
     "run_benchmark": run_benchmark,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _newton(steps: int = 12) -> list[str]:
+    """The same fit as so many Newton steps: one CTE each, over all events."""
+    ctes = ["rows as (select label, value / 100 as x from wide)",
+            "w0 as (select cast(0 as double) as a, cast(0 as double) as b)"]
+    for k in range(steps):
+        ctes.append(f"""g{k} as (select any_value(a) as a, any_value(b) as b,
+          any_value(a) + sum((p - label) * x) as ga, any_value(b) + sum(p - label) as gb,
+          1 + sum(p * (1 - p) * x * x) as haa, sum(p * (1 - p) * x) as hab, 1 + sum(p * (1 - p)) as hbb
+          from (select a, b, label, x, 1 / (1 + exp(-(a * x + b))) as p from rows, w{k}))""")
+        ctes.append(f"""w{k + 1} as (select a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as a,
+          b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b from g{k})""")
+    return ctes
+
+
+_CANDIDATES = ", ".join(
+    f"({i}, '{name}', '{representation}', cast({c} as double))"
+    for i, name, representation, c in learn.candidate_specs()
+)
+ORACLES: dict[str, str] = {
+    "logistic_fit": views.sql(
+        "wide", "select 0 as place, round(a, 6) as weight from w12 union all select 1, round(b, 6) from w12",
+        *_newton(),
+    ),
+    "candidate_search": f"with counts as ({text_queries.ORACLES['feature_counts']}) "
+    "select candidate_index, candidate, c.representation, c.C, feature_count, 'train_only' as trained_rows, "
+    f"true as by_rule from (values {_CANDIDATES}) c(candidate_index, candidate, representation, C) "
+    "join counts on counts.representation = c.representation",
+    "embedding_rung": views.sql(
+        "split",
+        "select least(12000, 2 + (select count(distinct token) from (select unnest("
+        f"{text_queries._TOKENS}) as token from assigned where split = 'train'))) as vocabulary, "
+        "(select count(*) from assigned where split = 'train') as train_rows, "
+        "true as best_by_rule, true as ended_by_rule",
+    ),
+    "run_benchmark": views.sql(
+        "split",
+        "select m.model, m.family, true as champion_by_rule, true as sized, true as timed, true as own_costs, "
+        "count(*) filter (split = 'train') as train_rows, count(*) filter (split = 'validation') as validation_rows, "
+        "count(*) filter (split = 'test') as test_rows, (select count(*) from labelled) as raw_rows "
+        "from assigned, (values ('tfidf_logistic_regression', 'traditional'), "
+        "('embedding_network', 'deep_learning_from_scratch'), ('pretrained_vectors', 'pretrained_vectors')) "
+        "m(model, family) group by all",
+    ),
+    "pretrained_rung": "select candidate_index, candidate, C, cast((select max(len(embedding)) from embeddings) "
+    "as bigint) as feature_count, 'train_only' as trained_rows, true as by_rule from (values "
+    "(0, 'vectors_c0.5', cast(0.5 as double)), (1, 'vectors_c1', 1.0), (2, 'vectors_c2', 2.0)) "
+    "c(candidate_index, candidate, C)",
+    "score_batch": "select conv_id || '-' || turn as sentence_id, 'tfidf_logistic_regression' as model, "
+    "true as in_range, true as agrees from conversations",
+    "model_roundtrip": views.sql("split", "select sentence_id, true as same from assigned"),
+}

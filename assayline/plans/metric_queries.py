@@ -69,8 +69,27 @@ def _slices(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.threshold_metrics(views.scored(spark, folder), ["model", "source"])
 
 
+def _judged(intervals: DataFrame, of: str) -> DataFrame:
+    """Intervals as facts that SQL can tell: the point, the resamples used, and whether the
+    interval brackets the point without being of no width."""
+    held = (F.col("ci_low") <= F.col(of)) & (F.col(of) <= F.col("ci_high")) & (F.col("ci_low") < F.col("ci_high"))
+    return rounded(intervals.withColumn("brackets", held).drop("ci_low", "ci_high"))
+
+
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return uncertainty.bootstrap_interval(views.scored(spark, folder), ["model"])
+    """Intervals, judged; that of the accuracy also by its width, within a fifth of the normal one."""
+    rows = views.scored(spark, folder)
+    found = uncertainty.bootstrap_interval(rows, ["model"]).join(
+        rows.groupBy("model").agg(F.count("*").alias("n")), "model"
+    )
+    normal = 2 * 1.959964 * F.sqrt(F.col("point") * (1 - F.col("point")) / F.col("n"))
+    ratio = (F.col("ci_high") - F.col("ci_low")) / normal
+    near = F.when(F.col("metric") == "accuracy", ratio.between(0.8, 1.25))
+    return _judged(found.withColumn("normal_width", near).drop("n"), "point")
+
+
+def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged(uncertainty.paired_bootstrap(_cells(spark, folder)), "delta")
 
 
 def _wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,11 +113,12 @@ def custom_metric(spark: SparkSession, folder: str) -> DataFrame:
 
 def custom_metric_ci(spark: SparkSession, folder: str) -> DataFrame:
     chosen = {"youden": _youden}
-    return uncertainty.bootstrap_interval(views.scored(spark, folder), ["model"], chosen)
+    return _judged(uncertainty.bootstrap_interval(views.scored(spark, folder), ["model"], chosen), "point")
 
 
 def prediction_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """Model a is complete; b lacks errors, repeats clicks and files views elsewhere."""
+    """Model a is complete; b lacks errors, repeats clicks and files views elsewhere; c has no
+    test predictions at all."""
     rows = views.scored(spark, folder)
     other = F.when(F.col("split") == "test", "validation").otherwise("test")
     moved = F.when((F.col("model") == "b") & (F.col("source") == "view"), other)
@@ -109,13 +129,27 @@ def prediction_alignment(spark: SparkSession, folder: str) -> DataFrame:
     expected = views.scored_wide(spark, folder).select(
         F.col("id").cast("string").alias("sentence_id"), "split"
     )
-    return compare.prediction_alignment(predicted.unionByName(again), expected)
+    partial = rows.where((F.col("model") == "a") & (F.col("split") == "validation"))
+    every = predicted.unionByName(again).unionByName(partial.withColumn("model", F.lit("c")))
+    return compare.prediction_alignment(every, expected)
+
+
+def _with_judged_bounds(table_: DataFrame) -> DataFrame:
+    """The comparison with a verdict on each interval in place of its ends."""
+    held = {}
+    for metric in ("macro_f1", "accuracy"):
+        low, high = (F.col(f"test_{metric}_ci_{end}") for end in ("low", "high"))
+        held[f"test_{metric}_bracketed"] = F.col(f"test_{metric}").between(low, high) & (low < high)
+    ends = [f"test_{m}_ci_{e}" for m in ("macro_f1", "accuracy") for e in ("low", "high")]
+    return rounded(table_.withColumns(held).drop(*ends))
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    table_ = compare.model_comparison(views.scored(spark, folder), iterations=200)
-    drop = [f"test_{m}_ci_{e}" for m in ("macro_f1", "accuracy") for e in ("low", "high")]
-    return rounded(table_.drop(*drop, "display_name"))
+    """Both models, and one without validation rows, which keeps its row."""
+    rows = views.scored(spark, folder)
+    half = rows.where((F.col("model") == "a") & (F.col("split") == "test"))
+    table_ = compare.model_comparison(rows.unionByName(half.withColumn("model", F.lit("c"))))
+    return _with_judged_bounds(table_)
 
 
 def model_comparison_ci(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,7 +165,9 @@ def model_comparison_ci(spark: SparkSession, folder: str) -> DataFrame:
             "metadata": F.create_map(F.lit("device"), F.lit("cpu")),
         }
     )
-    return compare.model_comparison(named, runs)
+    chosen = ["model", "validation_macro_f1", "test_macro_f1", "test_accuracy", "family", "parameter_count",
+              "artifact_bytes", "device", "pretrained", "test_macro_f1_bracketed", "test_accuracy_bracketed"]
+    return _with_judged_bounds(compare.model_comparison(named, runs)).select(*chosen)
 
 
 def champion(spark: SparkSession, folder: str) -> DataFrame:
@@ -197,7 +233,7 @@ QUERIES = {
     "custom_metric": custom_metric,
     "custom_metric_ci": custom_metric_ci,
     "bootstrap_ci": bootstrap_ci,
-    "paired_bootstrap": lambda s, f: uncertainty.paired_bootstrap(_cells(s, f)),
+    "paired_bootstrap": paired_bootstrap,
     "paired_deltas": lambda s, f: rounded(uncertainty.paired_deltas(_cells(s, f))),
     "prediction_alignment": prediction_alignment,
     "wide_predictions": _wide,
@@ -373,22 +409,27 @@ ORACLES = {
     ),
     "prediction_alignment": sql(
         "scored",
-        """select g.model, g.split, g.predicted, e.expected - g.hits as missing, g.extra, g.repeated
-           from (select model, split, sum(n) as predicted, count(*) filter (known) as hits,
+        """select m.model, e.split, coalesce(g.predicted, 0) as predicted,
+             e.expected - coalesce(g.hits, 0) as missing, coalesce(g.extra, 0) as extra,
+             coalesce(g.repeated, 0) as repeated
+           from (values ('a'), ('b'), ('c')) m(model)
+           cross join (select split, count(*) as expected from wide group by split) e
+           left join (select model, split, sum(n) as predicted, count(*) filter (known) as hits,
                         count(*) filter (not known) as extra, count(*) filter (n > 1) as repeated
                  from (select p.model, p.split, p.sentence_id, count(*) as n,
                               bool_or(w.id is not null) as known
                        from predicted p left join wide w
                          on cast(w.id as varchar) = p.sentence_id and w.split = p.split
                        group by all) group by model, split) g
-           join (select split, count(*) as expected from wide group by split) e
-             on e.split = g.split""",
+             on e.split = g.split and m.model = g.model""",
         """predicted as (
           select model, sentence_id, case when model = 'b' and source = 'view'
             then case split when 'test' then 'validation' else 'test' end else split end as split
           from scored where model = 'a' or source <> 'error'
           union all select model, sentence_id, split from scored
-          where model = 'b' and source = 'click')""",
+          where model = 'b' and source = 'click'
+          union all select 'c', sentence_id, split from scored
+          where model = 'a' and split = 'validation')""",
     ),
     "wide_predictions": sql("wide", _WIDE_ROWS),
     "disagreements": sql("wide", f"select * from ({_WIDE_ROWS}) where a_prediction <> b_prediction"),
@@ -396,11 +437,45 @@ ORACLES = {
         "scored",
         "select t.model, 'validation' as selection_split, v.macro_f1 as validation_macro_f1, "
         + ", ".join(f"t.{name} as test_{name}" for name in _RENAMED)
-        + ", round(t.raw_f1 - v.raw_f1, 9) as validation_to_test_macro_f1_delta "
-        "from m t join m v on t.model = v.model "
-        "where t.split = 'test' and v.split = 'validation'",
-        f"m as (select *, {_F1} as raw_f1 from ({_all_metrics('model, split', 'scored')}) "
-        f"join ({_counts('model, split')}) using (model, split))",
+        + ", round(t.raw_f1 - v.raw_f1, 9) as validation_to_test_macro_f1_delta, "
+        "t.model as display_name, true as test_macro_f1_bracketed, true as test_accuracy_bracketed "
+        "from m t left join m v on t.model = v.model and v.split = 'validation' "
+        "where t.split = 'test'",
+        "three as (select model, split, label, probability from scored union all "
+        "select 'c', split, label, probability from scored where model = 'a' and split = 'test')",
+        f"m as (select *, {_F1} as raw_f1 from ({_all_metrics('model, split', 'three')}) "
+        f"join ({_counts('model, split', 'three')}) using (model, split))",
+    ),
+    "model_comparison_ci": sql(
+        "scored",
+        f"""select t.model, round(v.f1, 9) as validation_macro_f1, round(t.f1, 9) as test_macro_f1,
+             round(t.acc, 9) as test_accuracy, case when r.model is not null then 'traditional' end as family,
+             r.parameter_count, r.artifact_bytes, case when r.model is not null then 'cpu' end as device,
+             case when r.model is not null then false end as pretrained,
+             true as test_macro_f1_bracketed, true as test_accuracy_bracketed
+           from (select * from f where split = 'test') t
+           join (select * from f where split = 'validation') v on t.model = v.model
+           left join (select model || '-a' as model, parameter_count, artifact_bytes from runs) r
+             on r.model = t.model""",
+        "named as (select source || '-' || model as model, split, label, probability from scored)",
+        f"f as (select model, split, {_F1} as f1, {_ACCURACY} as acc from ({_counts('model, split', 'named')}))",
+        _RUNS,
+    ),
+    "bootstrap_ci": sql(
+        "scored",
+        f"""select model, 'macro_f1' as metric, round({_F1}, 9) as point, 1000 as used_iterations,
+             null as normal_width, true as brackets from ({_counts('model')})
+           union all select model, 'accuracy', round({_ACCURACY}, 9), 1000, true, true from ({_counts('model')})""",
+    ),
+    "custom_metric_ci": sql(
+        "scored",
+        "select model, 'youden' as metric, round(tp / cast(tp + fn as double) + tn / cast(tn + fp as double) - 1, 9) "
+        f"as point, 1000 as used_iterations, true as brackets from ({_counts('model')})",
+    ),
+    "paired_bootstrap": sql(
+        "scored",
+        "select *, 1000 as used_iterations, 1000 as bootstrap_iterations, true as brackets from "
+        f"({_delta('macro_f1', _F1)} union all {_delta('accuracy', _ACCURACY)})",
     ),
     "champion": sql(
         "scored",

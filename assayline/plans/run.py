@@ -12,24 +12,25 @@ from assayline.operators import compare, profile, split, uncertainty
 from assayline.operators.dedup import prepare_checked
 from assayline.operators.learn import (
     TEXT_PARTITION_BYTES,
+    EmbeddingSettings,
     Rung,
     candidate_search,
     embedding_rung,
     pretrained_rung,
+    save_rung,
 )
 from assayline.operators.metrics import source_metrics
 from assayline.schema import (
+    DECISION_THRESHOLD,
     ID,
     LABEL,
     MODEL_RUNS,
     PREDICTIONS,
     SOURCE,
     SPLIT,
-    ExperimentConfig,
-    SplitConfig,
 )
-from assayline.session import materialise
-from assayline.sources import tables
+from assayline.session import fresh_path, materialise
+from assayline.sources import files, tables
 
 
 @dataclass
@@ -40,44 +41,40 @@ class Evaluation:
     tables: dict[str, DataFrame]
 
 
-def predictions_of(rungs: list[Rung], assigned: DataFrame) -> DataFrame:
-    """Validation and test probabilities of every rung, stacked and written once."""
+def scored_rungs(
+    rungs: list[Rung], assigned: DataFrame, bundles: str
+) -> tuple[DataFrame, DataFrame]:
+    """Validation and test probabilities of all rungs, and one row of costs per rung.
+
+    Each rung is saved below ``bundles`` and sized there, and its own scoring, written to the
+    shared folder, is timed by itself.
+    """
+    spark = assigned.sparkSession
     rows = assigned.where(F.col(SPLIT).isin("validation", "test"))
-    stacked = None
+    samples = rows.count()
+    stacked, costs = None, []
     for rung in rungs:
-        scored = rung.score(rows).select(
-            F.lit(rung.name).alias("model"), SPLIT, ID, "probability"
-        )
-        stacked = scored if stacked is None else stacked.unionByName(scored)
-    return materialise(stacked.select(*PREDICTIONS.names), "predictions")
-
-
-def timed_runs(
-    spark: SparkSession, rungs: list[Rung], seconds: dict[str, float], samples: int
-) -> DataFrame:
-    rows = [
-        (
-            r.name,
-            r.family,
-            float(r.train_seconds),
-            float(seconds.get(r.name, 0.0)),
-            samples,
-            int(r.parameter_count),
-            int(r.parameter_count),
-            0,
-            r.best_epoch,
-            r.metadata,
-        )
-        for r in rungs
-    ]
-    return spark.createDataFrame(rows, MODEL_RUNS)
+        path = save_rung(rung, f"{bundles}/{rung.name}", spark)
+        size = files.artifact_bytes(spark, path).first()["artifact_bytes"]
+        clock = time.perf_counter()
+        scored = rung.score(rows).select(F.lit(rung.name).alias("model"), SPLIT, ID, "probability")
+        written = materialise(scored.select(*PREDICTIONS.names), f"predictions-{rung.name}")
+        spent = time.perf_counter() - clock
+        stacked = written if stacked is None else stacked.unionByName(written)
+        parameters = int(rung.parameter_count)
+        costs.append((
+            rung.name, rung.family, float(rung.train_seconds), spent, samples, parameters, parameters,
+            int(size), rung.best_epoch, rung.metadata,
+        ))
+    return stacked, spark.createDataFrame(costs, MODEL_RUNS)
 
 
 def evaluate(
     predictions: DataFrame,
     assigned: DataFrame,
     runs: DataFrame,
-    config: ExperimentConfig,
+    resamples: int,
+    seed: int,
     baseline: str = compare.BASELINE,
 ) -> Evaluation:
     """Common evaluation after validation-only selection."""
@@ -89,73 +86,84 @@ def evaluate(
     )
     test = scored.where(F.col(SPLIT) == "test")
     models = sorted(r["model"] for r in runs.select("model").collect())
-    iterations = config.effective_bootstrap_iterations
     comparison = materialise(
-        compare.model_comparison(scored, runs, iterations, config.seed), "comparison"
+        compare.model_comparison(scored, runs, resamples, seed), "comparison"
     )
+    compare.require_complete(comparison)
     best = compare.champion(comparison).first()["model"]
     wide = compare.wide_predictions(test, models)
     slices = source_metrics(test)
     evidence = {
         "model_comparison": comparison.orderBy(F.col("validation_macro_f1").desc(), "model"),
-        "test_predictions": wide,
-        "model_disagreements": compare.disagreements(wide, models),
+        "test_predictions": wide.orderBy(ID),
+        "model_disagreements": compare.disagreements(wide, models).orderBy(ID),
         "source_metrics": slices.where(~F.col("is_overall")).drop("is_overall"),
         "cost_ratios": compare.cost_ratios(comparison, baseline),
     }
     if baseline in models and len(models) > 1:
         cells = uncertainty.joint_cells(wide, models, baseline)
         evidence["paired_deltas"] = uncertainty.paired_bootstrap(
-            cells, iterations=iterations, seed=config.seed
+            cells, iterations=resamples, seed=seed
         )
     return Evaluation(best, evidence)
 
 
+def metrics_report(comparison: DataFrame, champion_model: str, resamples: int) -> DataFrame:
+    """One nested row: the champion, how it was chosen, and every model's metrics by name."""
+    values = [c for c, kind in comparison.dtypes if kind == "double"]
+    named = F.create_map(*[cell for c in values for cell in (F.lit(c), F.col(c))])
+    return comparison.groupBy().agg(
+        F.map_from_entries(F.collect_list(F.struct("model", named))).alias("models")
+    ).select(
+        F.lit(champion_model).alias("champion_model"),
+        F.lit("highest validation macro-F1, then the model name").alias("selection_rule"),
+        F.lit(DECISION_THRESHOLD).alias("decision_threshold"),
+        F.lit(resamples).alias("bootstrap_iterations"),
+        "models",
+    )
+
+
 def run_benchmark(
     labelled: DataFrame,
     order: list[str],
     folder: str | None = None,
     vectors: DataFrame | None = None,
     vector_column: str = "embedding",
-    config: ExperimentConfig | None = None,
-    split_config: SplitConfig | None = None,
+    embedding: EmbeddingSettings | None = None,
+    split_config: split.SplitConfig | None = None,
     max_terms: int | None = None,
+    resamples: int = 1_000,
+    seed: int = 42,
+    assignments: DataFrame | None = None,
 ) -> Evaluation:
     """Labelled rows to evidence tables; with ``folder`` they are also published there.
 
     ``vectors`` maps the prepared sentence ids to given vectors and adds the third rung.
-    The prepared rows, the assigned rows and the predictions are written once each and
+    Saved ``assignments`` take the place of a new split. The prepared rows, the assigned rows and the predictions are written once each and
     read by everything after them.
     """
-    config = config or ExperimentConfig()
-    split_config = split_config or SplitConfig(seed=config.seed)
+    embedding = embedding or EmbeddingSettings()
+    split_config = split_config or split.SplitConfig(seed=seed)
     started = time.perf_counter()
     raw_rows = labelled.count()
     prepared = materialise(prepare_checked(labelled, order), "prepared")
-    assigned = materialise(
-        split.create_splits(prepared, split_config), "assigned", TEXT_PARTITION_BYTES
-    )
+    if assignments is None:
+        divided = split.create_splits(prepared, split_config)
+    else:
+        divided = split.apply_split(prepared, assignments)
+        split.require_no_leakage(divided)
+    assigned = materialise(divided, "assigned", TEXT_PARTITION_BYTES)
     rungs = [
         candidate_search(assigned, max_terms),
-        embedding_rung(
-            assigned,
-            config.effective_embedding_epochs,
-            config.embedding_patience,
-            seed=config.seed,
-        ),
+        embedding_rung(assigned, embedding, seed),
     ]
     scored_rows = assigned
     if vectors is not None:
         scored_rows = materialise(assigned.join(vectors, ID), "with-vectors")
         rungs.append(pretrained_rung(scored_rows, vector_column))
-    clock = time.perf_counter()
-    predictions = predictions_of(rungs, scored_rows)
-    spent = time.perf_counter() - clock
-    samples = predictions.count() // len(rungs)
-    runs = timed_runs(
-        prepared.sparkSession, rungs, {r.name: spent / len(rungs) for r in rungs}, samples
-    )
-    evaluation = evaluate(predictions, assigned, runs, config)
+    bundles = f"{folder}/models" if folder is not None else fresh_path(assigned.sparkSession, "models")
+    predictions, runs = scored_rungs(rungs, scored_rows, bundles)
+    evaluation = evaluate(predictions, assigned, runs, resamples, seed)
     evidence = evaluation.tables
     evidence["dataset_by_source"] = profile.source_profile(prepared)
     evidence["split_distribution"] = profile.split_distribution(assigned)
@@ -165,28 +173,28 @@ def run_benchmark(
         if rung.history is not None:
             evidence[f"{rung.name}_history"] = rung.history
     assignments = assigned.select(ID, SPLIT)
-    settings = {**config.to_dict(), **vars(split_config), "max_terms": max_terms}
+    settings = {**vars(embedding), **vars(split_config), "max_terms": max_terms, "resamples": resamples}
     manifest = tables.run_manifest(
         prepared, assignments, raw_rows, settings, evaluation.champion_model
     )
     summary = profile.dataset_summary(raw_rows, assigned)
-    if folder is not None:
-        tables.write_evidence(evidence, folder)
-        tables.write_json(manifest, f"{folder}/run_manifest")
-        tables.write_json(summary, f"{folder}/dataset_summary")
-    evidence["run_manifest"] = manifest
-    evidence["dataset_summary"] = summary
-    evidence["run_summary"] = prepared.sparkSession.createDataFrame(
+    report = prepared.sparkSession.createDataFrame(
         [
             (
                 evaluation.champion_model,
                 ",".join(r.name for r in rungs),
                 raw_rows,
                 time.perf_counter() - started,
-                config.fast,
             )
         ],
-        "champion_model string, models_compared string, raw_rows bigint, "
-        "elapsed_seconds double, fast boolean",
+        "champion_model string, models_compared string, raw_rows bigint, elapsed_seconds double",
     )
+    metrics = metrics_report(evidence["model_comparison"], evaluation.champion_model, resamples)
+    if folder is not None:
+        tables.write_evidence(evidence, folder)
+        tables.publish(assignments.orderBy(ID), f"{folder}/assignments")
+        for name, rows in (("run_manifest", manifest), ("dataset_summary", summary),
+                           ("run_summary", report), ("metrics", metrics)):
+            tables.write_json(rows, f"{folder}/{name}")
+    evidence |= {"run_manifest": manifest, "dataset_summary": summary, "run_summary": report, "metrics": metrics}
     return evaluation

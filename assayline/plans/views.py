@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayline.operators.dedup import prepare
-from assayline.operators.split import apply_split, stratified_split
-from assayline.schema import SplitConfig
+from assayline.operators.split import SplitConfig, apply_split, stratified_split
 from assayline.session import materialise, spread_table, table
 
 
@@ -131,8 +130,8 @@ def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
 
 # --- the same views as SQL -------------------------------------------------------------
 
-_SHARES = SplitConfig().proportions()
-_RELATIVE = _SHARES["validation"] / (_SHARES["train"] + _SHARES["validation"])
+_TEST = SplitConfig().test_size
+_RELATIVE = SplitConfig().validation_size / (1 - _TEST)
 
 CTES = {
     "labelled": """labelled as (
@@ -152,8 +151,8 @@ CTES = {
     "split": f"""sizes as (
   select source, label, count(*) as n from prepared group by all),
 quota0 as (
-  select *, ceil(cast({_SHARES['test']!r} as double) * sum(n) over ()) as target,
-         n * ceil(cast({_SHARES['test']!r} as double) * sum(n) over ()) / sum(n) over () as exact
+  select *, ceil(cast({_TEST!r} as double) * sum(n) over ()) as target,
+         n * ceil(cast({_TEST!r} as double) * sum(n) over ()) / sum(n) over () as exact
   from sizes),
 quota1 as (
   select source, label, n, floor(exact) + cast(row_number() over (

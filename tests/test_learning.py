@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assayline.operators import features, learn, score
 from assayline.plans.run import run_benchmark
-from assayline.schema import ExperimentConfig, IntegrityError
+from assayline.schema import IntegrityError
 from assayline.sources import tables
 from assayline.streaming.scoring import score_stream
 
@@ -163,7 +163,9 @@ def test_whole_run(spark, tmp_path):
         vectors.append((row["sentence_id"], (rng.normal(size=4) + 2 * row["label"]).tolist()))
     given = spark.createDataFrame(vectors, "sentence_id string, embedding array<double>")
     folder = str(tmp_path / "evidence")
-    result = run_benchmark(labelled, ["line"], folder, given, config=ExperimentConfig(fast=True))
+    result = run_benchmark(
+        labelled, ["line"], folder, given, embedding=learn.EmbeddingSettings(epochs=3), resamples=50
+    )
     tables_ = result.tables
     comparison = tables_["model_comparison"].collect()
     assert {r["model"] for r in comparison} == set(learn.FAMILIES)

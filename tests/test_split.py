@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayline.operators import quality, split
-from assayline.schema import IntegrityError, SplitConfig, SplitError
+from assayline.operators.split import SplitConfig
+from assayline.schema import IntegrityError, SplitError
 from assayline.sources import tables
 
 # Published strata of the official corpus: (source, label) -> rows.

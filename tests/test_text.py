@@ -18,8 +18,8 @@ from assayline.functions.tokens import (
 from assayline.operators import features
 
 SAMPLES = [
-    "ＣＬＥＡＮ   Text",
-    "great\x0b PHONE　ok",
+    "Ｗｉｄｅ  ＬＥＴＴＥＲＳ  here",
+    "upper\x0b LOWER　mixed",
     "Straße ﬁne İstanbul ΣΑΣ Ⅷ ½",
     "  a b\x1cc\x85d\xa0e  ",
     "don't it’s o'clock' x1y2",
