@@ -35,6 +35,7 @@ from assayline.session import materialise
 SHINGLE_WORDS = 3
 DISTANCE = 2
 SEED = 42
+SALTS = 16
 
 
 def _shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -196,12 +197,19 @@ def links(prints: DataFrame, distance: int = DISTANCE, lanes: int = 1, segments:
 
 
 def _classes(distinct: DataFrame, found: DataFrame, first: str) -> DataFrame:
-    """``(fp, <first>)``: the least ``first`` among all fingerprints reachable over the links found."""
+    """``(fp, <first>)``: the least ``first`` among all fingerprints reachable over the links found.
+
+    A class may hold a good part of all fingerprints: it meets its least value in ``SALTS`` parts.
+    """
     reach = component_of(found).withColumnRenamed("node", "fp")
-    joined = distinct.join(reach, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    joined = materialise(joined, "components")
-    least = joined.groupBy("component").agg(F.min(first).alias(first))
-    return joined.drop(first).join(least, "component").select("fp", first)
+    joined = materialise(distinct.join(reach, "fp", "left"), "components")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
+    linked = joined.where("component is not null").select("fp", first, "component", salt)
+    least = linked.groupBy("component").agg(F.min(first).alias(first)).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    )
+    classes = linked.drop(first).join(least, ["component", "salt"]).select("fp", first)
+    return classes.unionAll(joined.where("component is null").select("fp", first))
 
 
 def near_duplicates(
