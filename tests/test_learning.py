@@ -181,3 +181,22 @@ def test_whole_run(spark, tmp_path):
             "paired_deltas", "dataset_by_source", "split_distribution", "run_manifest",
             "dataset_summary", f"{learn.TFIDF_NAME}_search", f"{learn.EMBEDDING_NAME}_history"} <= written
     assert tables.strict_json_rows(tables_["run_summary"]).count() == 1
+
+
+def test_embedding_rung_learns_and_repeats_itself(spark):
+    rng = np.random.default_rng(11)
+    filler = [f"f{i}" for i in range(40)]
+    rows = []
+    for i in range(240):
+        label = int(rng.random() < 0.6)
+        words = [*rng.choice(filler, 6), ["bad", "good"][label], ["poor", "fine"][label]]
+        split = ("train", "train", "train", "validation", "test")[i % 5]
+        rows.append((str(i), " ".join(rng.permutation(words)), label, split))
+    schema = "sentence_id string, text string, label bigint, split string"
+    settings = learn.EmbeddingSettings(epochs=4, patience=2)
+    rungs = [learn.embedding_rung(spark.createDataFrame(rows, schema).repartition(n), settings) for n in (2, 7)]
+    history = [[tuple(r) for r in g.history.orderBy("epoch").collect()] for g in rungs]
+    assert history[0] == history[1]
+    test = rungs[0].score(spark.createDataFrame(rows, schema).where("split = 'test'")).collect()
+    right = np.mean([(r.probability >= 0.5) == r.label for r in test])
+    assert right > 0.2 + max(np.mean([r.label for r in test]), 1 - np.mean([r.label for r in test])) - 0.05

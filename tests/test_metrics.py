@@ -175,3 +175,30 @@ def test_cost_columns_and_ratios(spark):
     assert costs.where("model <> 'x'").first()["inference_ms_per_sample"] == 0.0
     ratios = compare.cost_ratios(costs, compare.BASELINE).where("model = 'x'").first()
     assert ratios["train_seconds_ratio"] == 10.0 and ratios["artifact_bytes_ratio"] == 2.0**20
+
+
+def test_a_model_without_a_whole_split_is_not_aligned(spark):
+    assigned = spark.createDataFrame([("1", "validation"), ("2", "test")], "sentence_id string, split string")
+    rows = [("a", "validation", "1", 0.5), ("a", "test", "2", 0.5), ("b", "validation", "1", 0.5)]
+    predictions = spark.createDataFrame(rows, "model string, split string, sentence_id string, probability double")
+    found = {(r.model, r.split): r.missing for r in compare.prediction_alignment(predictions, assigned).collect()}
+    assert found == {("a", "validation"): 0, ("a", "test"): 0, ("b", "validation"): 0, ("b", "test"): 1}
+    with pytest.raises(IntegrityError, match="aligned"):
+        compare.require_aligned(predictions, assigned)
+
+
+def test_a_model_without_validation_rows_stays_and_is_refused(spark):
+    rows = [(m, s, y, 0.9 if y else 0.1) for m, s in (("a", "validation"), ("a", "test"), ("b", "test")) for y in (0, 1, 0, 1)]
+    scored = spark.createDataFrame(rows, "model string, split string, label bigint, probability double")
+    table = compare.model_comparison(scored, iterations=20)
+    assert {r.model: r.validation_macro_f1 for r in table.collect()} == {"a": 1.0, "b": None}
+    with pytest.raises(IntegrityError, match="'b'"):
+        compare.require_complete(table)
+
+
+def test_nan_scores_are_never_selected(spark):
+    rows = [(0, float("nan")), (1, 0.4), (2, None), (3, 0.4)]
+    table = spark.createDataFrame(rows, "candidate_index int, validation_macro_f1 double")
+    assert [r.candidate_index for r in compare.select_candidate(table).where("selected").collect()] == [1]
+    models = table.selectExpr("cast(candidate_index as string) as model", "validation_macro_f1")
+    assert compare.champion(models).first()["model"] == "1"

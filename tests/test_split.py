@@ -107,8 +107,16 @@ def test_tiny_stratum_and_bad_proportions(spark):
     with pytest.raises(SplitError, match="three"):
         split.create_splits(frame)
     for test, validation in ((0.0, 0.2), (0.6, 0.5), (float("nan"), 0.2), (-0.1, 0.2)):
-        with pytest.raises(ValueError):
-            SplitConfig(test_size=test, validation_size=validation).proportions()
+        with pytest.raises(SplitError, match="share"):
+            split.stratified_split(frame, SplitConfig(test_size=test, validation_size=validation))
+
+
+def test_rows_with_a_null_source_or_label_are_assigned_too(spark):
+    rows = [(str(i), None if i % 3 == 0 else "a", None if i % 5 == 0 else i % 2) for i in range(60)]
+    frame = spark.createDataFrame(rows, "sentence_id string, source string, label bigint")
+    found = {r.sentence_id: r.split for r in split.stratified_split(frame).collect()}
+    assert sorted(found) == sorted(r[0] for r in rows)
+    assert sorted(found.values()).count("test") == 12 and None not in found.values()
 
 
 def test_split_rules_for_training(spark):

@@ -153,3 +153,14 @@ def test_weights_agree_whatever_the_join(spark):
         assert as_set(features.weigh_terms(terms, idf, broadcast_rows=0)) == whole
     finally:
         features.HOT_SHARE = old
+
+
+def test_encoding_is_the_same_on_both_sides_of_the_size_switch(spark):
+    rows = [("1", "a b"), ("1", "a b"), ("2", ""), ("2", "c a c"), (None, "b")]
+    frame = spark.createDataFrame(rows, "sentence_id string, text string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3)], "token string, token_id int")
+    sides = [
+        sorted(map(repr, features.encode_text(frame, vocab, shipped=n).select("sentence_id", "text", "token_ids").collect()))
+        for n in (10, 1)
+    ]
+    assert sides[0] == sides[1] and len(sides[0]) == 5
