@@ -23,6 +23,7 @@ result; a null id sorts last. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,7 +171,7 @@ def _settle(ids, digests, rows, starts, h1, h2, window) -> Iterator[pa.RecordBat
     head = np.maximum.accumulate(np.where(new, np.arange(len(sort)), 0))
     later = np.any(place != place[:, head], axis=0)
     first, gone = np.sort(sort[new]), sort[later]
-    yield _batch(ids, digests, rows[first], starts[first], starts[first] + window, h1[first], h2[first], False)
+    yield _batch(ids, digests, rows[first], starts[first], np.zeros(len(first), int), h1[first], h2[first], False)
     gone = gone[np.lexsort((starts[gone], rows[gone]))]
     spans = []
     for part in np.split(gone, np.flatnonzero(np.diff(rows[gone])) + 1):
@@ -194,7 +195,7 @@ def _batch(ids, digests, rows, low, high, h1, h2, settled) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, window: int, gram: int, cells: int) -> DataFrame:
     """``(doc_id, digest, start, stop, h1, h2, settled)``: ranges settled inside a block, and
-    the windows left to be grouped."""
+    the windows left to be grouped (their stop is 0, which takes no room in the shuffle)."""
     rows = docs.select("text", F.col("doc_id").cast("bigint"), _digest().alias("digest"))
     sketch = rows.sparkSession.sparkContext.broadcast(repeated_cells(rows, window, gram, cells))
 
@@ -241,11 +242,29 @@ def repeated_windows(docs: DataFrame, window: int, gram: int, cells: int) -> Dat
 
 
 def removed_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
-    """``(doc_id, digest, ranges)``: the word ranges to remove, unsorted and overlapping."""
+    """``(doc_id, digest, ranges)``: the word ranges to remove, unsorted and overlapping, each a
+    bigint of start (upper half) and stop."""
     found = repeated_windows(docs, window, gram, cells)
     order = W.partitionBy("settled", "h1", "h2").orderBy(F.col("doc_id").asc_nulls_last(), "digest", "start")
     gone = found.withColumn("place", F.rank().over(order)).where("settled or place > 1")
-    return gone.groupBy(*_ROW).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    stop = F.when(F.col("settled"), F.col("stop")).otherwise(F.col("start") + window)
+    span = F.shiftleft(F.col("start").cast("bigint"), 32) + stop
+    return gone.groupBy(*_ROW).agg(F.collect_list(span).alias("ranges"))
+
+
+def _deflated(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, digest, text) with the text deflated, half the size in a shuffle."""
+
+    def deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).fill_null("").cast(pa.binary())
+            packed = [zlib.compress(t.as_py(), 1) for t in texts]
+            yield pa.record_batch({
+                "doc_id": batch.column(0), "digest": batch.column(1), "packed": pa.array(packed, pa.binary())
+            })
+
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.mapInArrow(deflate, f"doc_id {kind}, digest int, packed binary")
 
 
 def _kept_words(text: bytes, ranges) -> tuple[int, int, bytes]:
@@ -264,20 +283,20 @@ def _kept_words(text: bytes, ranges) -> tuple[int, int, bytes]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, cells: int = CELLS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept, kept_sha256)`` of every row; ``kept`` is the kept
     words joined by one space."""
-    left = docs.select("doc_id", "text", _digest().alias("digest")).alias("l")
+    left = _deflated(docs.select("doc_id", _digest().alias("digest"), "text")).alias("l")
     right = removed_ranges(docs, window, gram, cells).alias("r")
-    joined = left.join(right, same_row("l", "r", _ROW), "left").select("l.doc_id", "l.text", "r.ranges")
+    joined = left.join(right, same_row("l", "r", _ROW), "left").select("l.doc_id", "l.packed", "r.ranges")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column(1).fill_null("").cast(pa.binary()), batch.column(2)
+            texts, lists = batch.column(1), batch.column(2)
             sizes, gone, kept, digests = [], [], [], []
             for text, spans in zip(texts, lists):
                 ranges = None
                 if spans.is_valid:
-                    flat = spans.values
-                    ranges = flat.field("start").to_numpy(), flat.field("stop").to_numpy()
-                n, removed, words = _kept_words(text.as_py(), ranges)
+                    flat = spans.values.to_numpy()
+                    ranges = flat >> 32, flat & 0xFFFFFFFF
+                n, removed, words = _kept_words(zlib.decompress(text.as_py()), ranges)
                 sizes.append(n), gone.append(removed), kept.append(words)
                 digests.append(hashlib.sha256(words).hexdigest())
             yield pa.record_batch({
