@@ -7,7 +7,7 @@ from functools import partial
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -215,20 +215,26 @@ def feature_union(df: DataFrame, train: DataFrame, representation: str = "word_c
     )
 
 
-def feature_counts(train: DataFrame, representation: str) -> DataFrame:
-    """Distinct terms of the train rows; a linear model has one parameter more (intercept)."""
-    flat = None
-    for block, make in BLOCKS[representation].items():
-        terms = make(train.select(TEXT), TEXT, "_terms")
-        part = _flat(terms.select(F.lit(block).alias("block"), F.explode_outer("_terms").alias("term")))
-        flat = part if flat is None else flat.unionByName(part)
-    return (
-        flat.groupBy("block", "term")
-        .agg(F.lit(1).alias("one"))
-        .agg(F.count(F.lit(1)).alias("feature_count"))
-        .select(
-            F.lit(representation).alias("representation"),
-            "feature_count",
-            (F.col("feature_count") + 1).alias("parameter_count"),
-        )
+def feature_counts(train: DataFrame) -> DataFrame:
+    """Distinct terms of the train rows by representation; a linear model has one parameter more
+    (intercept).
+
+    The widest representation holds the terms of the others - unigrams are its word terms
+    without a blank - so each text is cut up once and the terms are made distinct once.
+    """
+    blocks = BLOCKS["word_char"]
+    cut = blocks["c"](blocks["w"](train.select(TEXT), TEXT, "_w"), TEXT, "_c")
+
+    def tagged(block: str) -> Column:
+        return F.transform(f"_{block}", lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
+
+    flat = _flat(cut.select(F.inline_outer(F.concat(tagged("w"), tagged("c")))))
+    terms = flat.groupBy("block", "term").agg(F.lit(1).alias("one"))
+    word = F.col("block") == "w"
+    counts = terms.agg(
+        F.count_if(word & ~F.contains("term", F.lit(" "))).alias("word_unigram"),
+        F.count_if(word).alias("word_bigram"),
+        F.count(F.lit(1)).alias("word_char"),
     )
+    each = F.array(*[F.struct(F.lit(n).alias("representation"), F.col(n).alias("feature_count")) for n in BLOCKS])
+    return counts.select(F.inline(each)).withColumn("parameter_count", F.col("feature_count") + 1)

@@ -38,14 +38,14 @@ SPREAD_BYTES = 128 * 1024 * 1024
 def spread_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """A text table dealt out to all cores when it is too small to be split by itself.
 
-    A small file is one row group and so one task, whatever is done with its texts. Tables
-    with at least ``SPREAD_BYTES`` per core are read as they are, without a shuffle.
+    A small file is one row group and so one task, whatever is done with its texts. A table
+    of ``SPREAD_BYTES`` or more is read as it is, without a shuffle, on any number of cores.
     """
     path = f"{folder}/{name}.parquet"
     cores = spark.sparkContext.defaultParallelism
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
     rows = spark.read.parquet(path).select(*columns)
-    return rows.repartition(cores) if size < SPREAD_BYTES * cores else rows
+    return rows.repartition(cores) if size < SPREAD_BYTES else rows
 
 
 def shared_folder(spark: SparkSession) -> str:

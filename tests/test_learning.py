@@ -72,7 +72,7 @@ def test_vectors_hold_the_relational_weights(assigned):
     want = {r["sentence_id"]: sorted(np.round([*r["w"], 1.0], 9)) for r in table.groupBy(
         "sentence_id").agg(F.collect_list("weight").alias("w")).collect()}
     assert got == want
-    total = features.feature_counts(train, "word_char").first()
+    total = features.feature_counts(train).where("representation = 'word_char'").first()
     assert total["feature_count"] == model.feature_count
     bounded = learn.fit_vectoriser(train, "word_unigram", max_terms=3)
     assert bounded.feature_count == 3 and "item" in bounded.counters["w"].vocabulary
