@@ -25,16 +25,20 @@ DISTANCE = 24
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of their language; the model learns from ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(~F.col("flagged")).select(*docs.columns)
+    scored = toxicity.score(docs, model, "__score", "__flagged")
+    return scored.where("not __flagged").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the lines that an earlier one holds."""
-    kept = line_dedup.dedup_lines(docs)
+    other = [c for c in docs.columns if c != "text"]  # carried as one, so no name can clash
+    kept = line_dedup.dedup_lines(docs.select("doc_id", "text", F.struct(*other).alias("__other")))
     changed = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.length("kept").cast(dict(docs.dtypes)["n_chars"])
-    return kept.withColumns(changed).select(*docs.columns)
+    return kept.select(*[
+        changed.get(c, F.col(f"__other.`{c}`")).alias(c) for c in docs.columns
+    ])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

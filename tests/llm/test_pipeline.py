@@ -68,6 +68,19 @@ def test_every_stage_takes_effect(spark, corpus):
     assert sorted(tuple(r)[:5] for r in run) == sorted(tuple(r)[:5] for r in packed)
 
 
+def test_columns_of_any_name_come_through(spark, corpus):
+    folder = corpus[0]
+    names = ["score", "flagged", "digest", "dropped", "kept", "n_lines", "n_dropped", "fp", "item_id", "__lang2", "length"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 200 or doc_id > 500")
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, folder), name)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert len(rows) > 20 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_an_empty_corpus_passes_through(spark, corpus):
     folder = corpus[0]
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("false")
