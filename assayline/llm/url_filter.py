@@ -7,8 +7,11 @@ of host suffixes) and judge the others. All of it is DataFrame work: the feature
 expressions and the trees are Spark ML's.
 
 The trees are fitted on at most ``MAX_ROWS`` labelled urls, in the order of a hash of the url.
-Suffix statistics cover all labelled urls and are kept for the ``MAX_SUFFIXES`` most frequent
-suffixes, a table of fixed size; other suffixes have the overall rate.
+Suffix statistics cover all labelled urls and are kept for every suffix these have; a suffix without
+labelled urls has the overall rate. The statistic of a labelled url leaves out its own fold (of ``FOLDS``, by a
+hash of the url), or a suffix with one url would tell that url's label. The table of suffixes is
+broadcast up to ``BROADCAST_BYTES`` and joined by shuffle beyond, suffixes with more than one of ``HOT``
+rows over ``SALTS`` groups each.
 
 A null url, or one without "://", has an empty host and path and fits no rule; it is judged by its
 other features. Rows that repeat are judged alike. Without labelled urls of both verdicts the
@@ -30,8 +33,11 @@ from assayline.llm.columns import let
 from assayline.session import materialise
 
 MAX_ROWS = 20_000
-MAX_SUFFIXES = 1_000
 PRIOR_ROWS = 10.0
+FOLDS = 5
+BROADCAST_BYTES = 16 * 1024 * 1024
+HOT = 1_000
+SALTS = 16
 TREES = 20
 DEPTH = 4
 SEED = 5
@@ -134,14 +140,51 @@ def with_features(urls: DataFrame) -> DataFrame:
     })
 
 
-def suffix_rates(labelled: DataFrame, suffix: str, base: float) -> DataFrame:
-    """Smoothed rate of "block" for the most frequent values of a suffix column."""
-    counts = labelled.groupBy(suffix).agg(F.count("*").alias("n"), F.sum("__label").alias("blocked"))
-    rate = (F.col("blocked") + base * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
-    return counts.orderBy(F.desc("n"), suffix).limit(MAX_SUFFIXES).select(suffix, rate.alias(f"{suffix}_rate"))
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
 
 
-def judge(urls: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> DataFrame:
+def suffix_rates(features: DataFrame, suffix: str, base: float) -> DataFrame:
+    """Smoothed rates of "block" of every value of a suffix column: ``rate`` over its labelled urls,
+    ``others`` over those outside each fold; with the counts of its labelled (``n``) and all rows."""
+    given, label = F.col("__label").isNotNull(), F.col("__label")
+    inside = [F.struct(
+        F.count_if(given & (_fold() == k)).alias("n"),
+        F.coalesce(F.sum(F.when(_fold() == k, label)), F.lit(0.0)).alias("blocked"),
+    ) for k in range(FOLDS)]
+    counts = features.groupBy(suffix).agg(
+        F.count("*").alias("rows"), F.count("__label").alias("n"),
+        F.coalesce(F.sum("__label"), F.lit(0.0)).alias("blocked"), F.array(*inside).alias("folds"),
+    )
+
+    def rate(blocked: Column, n: Column) -> Column:
+        return (blocked + base * PRIOR_ROWS) / (n + PRIOR_ROWS)
+
+    others = F.transform("folds", lambda f: rate(F.col("blocked") - f["blocked"], F.col("n") - f["n"]))
+    return counts.select(suffix, "rows", "n", rate(F.col("blocked"), F.col("n")).alias("rate"), others.alias("others"))
+
+
+def with_rate(features: DataFrame, rates: DataFrame, suffix: str, base: float, most_bytes: int) -> DataFrame:
+    """``features`` (with a row number ``__row``) and the rate of their suffix; ``rates`` is written."""
+    known = rates.where("n > 0").select(suffix, "rate", "others", "rows")
+    total, size = rates.agg(F.sum("rows"), F.sum(F.octet_length(suffix) + F.lit(16 * (FOLDS + 4)))).first()
+    if (size or 0) <= most_bytes:
+        joined = features.join(F.broadcast(known.drop("rows")), suffix, "left")
+    else:
+        hot = F.col("rows") * HOT > total
+        often = rates.where(hot).select(suffix, F.lit(True).alias("__hot"))  # fewer than HOT rows
+        last = F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("bigint")
+        dealt = known.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).drop("rows")
+        salt = F.when(F.col("__hot"), F.pmod("__row", F.lit(SALTS))).otherwise(F.lit(0)).cast("bigint")
+        joined = features.join(F.broadcast(often), suffix, "left").withColumn("__salt", salt)
+        joined = joined.join(dealt, [suffix, "__salt"], "left").drop("__salt", "__hot")
+    rate = F.when(F.col("rule").isNull(), F.col("rate")).otherwise(F.element_at("others", _fold() + 1))
+    return joined.withColumn(f"{suffix}_rate", F.coalesce(rate, F.lit(base))).drop("rate", "others")
+
+
+def judge(
+    urls: DataFrame, rules=RULES, max_rows: int = MAX_ROWS, most_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """``urls`` (column ``url``) with host, path, rule, score (of "block", null where a rule
     decides) and verdict."""
     own = [c for c in urls.columns if c.lower() not in RESULTS]
@@ -150,7 +193,8 @@ def judge(urls: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> DataFrame:
         "rule": _longest(rules, lambda r: r.text),
         "__label": (_longest(rules, lambda r: r.verdict) == "block").cast("double"),
     })
-    features = materialise(with_features(ruled), "urls")
+    # the row number is written, so a task that runs again deals its rows out alike
+    features = materialise(with_features(ruled).withColumn("__row", F.monotonically_increasing_id()), "urls")
     labelled = features.where("rule is not null")
     base, least, most = labelled.agg(F.avg("__label"), F.min("__label"), F.max("__label")).first()
     if base is None or least == most:
@@ -160,8 +204,8 @@ def judge(urls: DataFrame, rules=RULES, max_rows: int = MAX_ROWS) -> DataFrame:
             F.when(F.col("__label") == 1, "block").when(F.col("__label") == 0, "allow").otherwise(rest).alias("verdict"),
         )
     for suffix in SUFFIXES:
-        rates = F.broadcast(suffix_rates(labelled, f"__{suffix}", base))  # MAX_SUFFIXES rows at most
-        features = features.join(rates, f"__{suffix}", "left").fillna({f"__{suffix}_rate": base})
+        rates = materialise(suffix_rates(features.select("url", f"__{suffix}", "__label"), f"__{suffix}", base), "suffixes")
+        features = with_rate(features, rates, f"__{suffix}", base, most_bytes)
     inputs = [*(f"__{k}" for k in LEXICAL), *(f"__{s}_rate" for s in SUFFIXES)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="__features").transform(features)
     sample = vectors.where("rule is not null").orderBy(F.xxhash64("url"), "url").limit(max_rows)

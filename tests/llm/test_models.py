@@ -189,6 +189,32 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sum((found[n].verdict == "block") == bad for n, bad in rest) > 0.95 * len(rest)
 
 
+def test_urls_of_any_frequent_or_rare_suffix_have_its_rate(spark):
+    """1,500 hosts, each with labelled urls of one verdict: only the host's own rate tells it."""
+    rows = [
+        (f"http://h{host:04d}.com/{'ab'[host % 2] if place < 6 else 'x'}/{place}", place)
+        for host in range(1500) for place in range(8)
+    ]
+    pages = spark.createDataFrame([(n, u) for n, (u, _) in enumerate(rows)], "page_id bigint, url string")
+    rules = (url_filter.Rule("block", "com/b/"), url_filter.Rule("allow", "com/a/"))
+    one = url_filter.judge(pages, rules).where("rule is null").collect()
+    assert len(one) == 3000
+    assert sum((r.verdict == "block") == bool(int(r.host[1:5]) % 2) for r in one) > 0.99 * len(one)
+    shuffled = url_filter.judge(pages, rules, most_bytes=0).where("rule is null").collect()
+    assert {(r.page_id, r.verdict, round(r.score, 9)) for r in shuffled} == {
+        (r.page_id, r.verdict, round(r.score, 9)) for r in one
+    }
+
+
+def test_a_labelled_url_does_not_count_in_its_own_rate(spark):
+    urls = [("http://one.com/b/1", 1.0), ("http://two.com/b/1", 1.0), ("http://two.com/b/2", 1.0), ("http://no.com/", None)]
+    rows = spark.createDataFrame([(u, u.split("/")[2], y) for u, y in urls], "url string, __last_two string, __label double")
+    rates = {r["__last_two"]: r for r in url_filter.suffix_rates(rows, "__last_two", 0.5).collect()}
+    assert len(rates) == 3 and rates["no.com"].rate == 0.5
+    assert rates["one.com"].rate == pytest.approx(6 / 11) and min(rates["one.com"].others) == 0.5
+    assert rates["two.com"].rate == pytest.approx(7 / 12) and max(rates["two.com"].others) == pytest.approx(7 / 12)
+
+
 def test_entropy(spark):
     rows = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "t string")
     found = [round(r[0], 9) for r in rows.select(url_filter.entropy(rows.t)).collect()]
