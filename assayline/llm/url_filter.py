@@ -6,7 +6,9 @@ boosted trees learn from them (length, depth, digit ratio, entropy, parameter co
 of host suffixes) and judge the others. All of it is DataFrame work: the features are column
 expressions and the trees are Spark ML's.
 
-The trees are fitted on at most ``MAX_ROWS`` labelled urls, in the order of a hash of the url.
+The trees are fitted on at most ``MAX_ROWS`` distinct labelled urls, half of them of each verdict as far as
+there are so many, each weighted by its rows. Beyond that a priority sample is drawn by a hash of the url: urls with
+many rows are all in it and the others stand for those left out, so sums of weights are right on average.
 Suffix statistics cover all labelled urls and are kept for every suffix these have; a suffix without
 labelled urls has the overall rate. The statistic of a labelled url leaves out its own fold (of ``FOLDS``, by a
 hash of the url), or a suffix with one url would tell that url's label. The table of suffixes is
@@ -182,6 +184,27 @@ def with_rate(features: DataFrame, rates: DataFrame, suffix: str, base: float, m
     return joined.withColumn(f"{suffix}_rate", F.coalesce(rate, F.lit(base))).drop("rate", "others")
 
 
+def weighted_sample(labelled: DataFrame, size: int) -> DataFrame:
+    """At most ``size`` distinct urls (two at least) with ``__label`` and ``__weight``, both labels among them.
+
+    A url's priority is its rows by a uniform number from its hash; the first are taken and weigh their
+    rows or, if that is more, the priority of the first one left out.
+    """
+    uniform = (F.shiftrightunsigned(F.xxhash64("url"), 11) + 0.5) / 2.0**53
+    urls = labelled.groupBy("url", "__label").agg(F.count("*").cast("double").alias("__weight"))
+    urls = materialise(urls.withColumn("__priority", F.col("__weight") / uniform), "distinct-urls")
+    sizes = {row["__label"]: row["count"] for row in urls.groupBy("__label").count().collect()}
+    parts = []
+    for label, other in ((0.0, 1.0), (1.0, 0.0)):
+        count = min(sizes[label], max(size // 2, size - sizes[other]))
+        order = urls.where(F.col("__label") == label).orderBy(F.desc("__priority"), "url")
+        least = 0.0
+        if count < sizes[label]:
+            least = order.select("__priority").limit(count + 1).agg(F.min("__priority")).first()[0]
+        parts.append(order.limit(count).withColumn("__weight", F.greatest("__weight", F.lit(least))))
+    return materialise(parts[0].unionAll(parts[1]).drop("__priority"), "sampled-urls")
+
+
 def judge(
     urls: DataFrame, rules=RULES, max_rows: int = MAX_ROWS, most_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -203,15 +226,19 @@ def judge(
             *own, "host", "path", "rule", F.lit(base).cast("double").alias("score"),
             F.when(F.col("__label") == 1, "block").when(F.col("__label") == 0, "allow").otherwise(rest).alias("verdict"),
         )
+    chosen = weighted_sample(labelled, max_rows).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    sample = with_features(chosen.withColumn("rule", _longest(rules, lambda r: r.text)))
+    sample = sample.withColumn("__row", F.monotonically_increasing_id())
     for suffix in SUFFIXES:
         rates = materialise(suffix_rates(features.select("url", f"__{suffix}", "__label"), f"__{suffix}", base), "suffixes")
         features = with_rate(features, rates, f"__{suffix}", base, most_bytes)
+        sample = with_rate(sample, rates, f"__{suffix}", base, most_bytes)
     inputs = [*(f"__{k}" for k in LEXICAL), *(f"__{s}_rate" for s in SUFFIXES)]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="__features").transform(features)
-    sample = vectors.where("rule is not null").orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    sample = materialise(sample.select("__features", "__label"), "labelled-urls")
+    assembler = VectorAssembler(inputCols=inputs, outputCol="__features")
+    vectors = assembler.transform(features)
+    sample = materialise(assembler.transform(sample).select("__features", "__label", "__weight"), "labelled-urls")
     learner = GBTClassifier(
-        featuresCol="__features", labelCol="__label", predictionCol="__prediction",
+        featuresCol="__features", labelCol="__label", predictionCol="__prediction", weightCol="__weight",
         maxIter=TREES, maxDepth=DEPTH, seed=SEED,
     ).setRawPredictionCol("__raw").setProbabilityCol("__probability")
     trees = learner.fit(sample)

@@ -215,6 +215,30 @@ def test_a_labelled_url_does_not_count_in_its_own_rate(spark):
     assert rates["two.com"].rate == pytest.approx(7 / 12) and max(rates["two.com"].others) == pytest.approx(7 / 12)
 
 
+def test_url_sample_holds_distinct_urls_of_both_verdicts(spark):
+    rows = [("http://hot.com/a/1", 0.0)] * 5_000 + [(f"http://h{n}.com/{'ab'[n % 9 == 0]}/", float(n % 9 == 0)) for n in range(3_000)]
+    labelled = spark.createDataFrame(rows, "url string, __label double").repartition(4)
+    chosen = url_filter.weighted_sample(labelled, 1_000).collect()
+    weights = {r.url: r["__weight"] for r in chosen}
+    assert len(chosen) == len(weights) == 1_000  # no url twice
+    assert sum(r["__label"] == 1 for r in chosen) == 334  # all there are
+    assert weights["http://hot.com/a/1"] == 5_000
+    assert sum(weights.values()) == pytest.approx(8_000, rel=0.02)
+    few = url_filter.weighted_sample(labelled, 2).collect()
+    assert {r["__label"] for r in few} == {0.0, 1.0}
+    whole = url_filter.weighted_sample(labelled, 5_000).collect()
+    assert len(whole) == 3_001 and sum(r["__weight"] for r in whole) == 8_000
+
+
+def test_a_hot_labelled_url_leaves_the_others_in_the_fit(spark):
+    rows = ["http://hot.com/a/1"] * 600 + [f"http://{'123456'[n % 6] * 9 if n % 2 else 'abcdef'[n % 6] * 9}.com/{'ab'[n % 2] if n < 60 else 'x'}/{n}" for n in range(90)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
+    rules = (url_filter.Rule("block", "com/b/"), url_filter.Rule("allow", "com/a/"))
+    found = [r for r in url_filter.judge(pages, rules, max_rows=100).collect() if r.rule is None]
+    assert len(found) == 30
+    assert all(r.verdict == ("block" if r.host[0].isdigit() else "allow") for r in found)
+
+
 def test_entropy(spark):
     rows = spark.createDataFrame([("aabb",), ("",), ("abcd",)], "t string")
     found = [round(r[0], 9) for r in rows.select(url_filter.entropy(rows.t)).collect()]
