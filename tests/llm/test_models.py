@@ -65,6 +65,37 @@ def test_toxicity_without_labels_of_both_classes(spark, toxic):
         assert scored.select("score").distinct().collect() == [(rate,)]
 
 
+def test_toxic_words_of_few_texts_are_learnt(spark):
+    draw = random.Random(3)
+    rows = []
+    for number in range(1600):
+        words = [draw.choice(WORDS) for _ in range(draw.randint(5, 30))]
+        if number % 4 == 0:  # 50 rude words, of eight texts each; five or six of them in the fit
+            words[draw.randrange(len(words))] = f"rude{number // 4 % 50}"
+        rows.append((number, " ".join(words), int(number % 4 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(n, bad) for n, _, bad in rows], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels.where("doc_id < 1200"))
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = rows[1200:]
+    assert sum((found[n] >= 0.5) == bool(bad) for n, _, bad in held) >= 0.95 * len(held)
+
+
+def test_the_row_bound_leaves_out_labels_0_first(spark):
+    labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 300 = 0 as int) as toxic")
+    sample, stands_for = toxicity.labelled_sample(labels, 100)
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {1: 10, 0: 90}
+    assert stands_for == {1: 1.0, 0: pytest.approx(2990 / 90)}
+    sample, _ = toxicity.labelled_sample(labels.selectExpr("doc_id", "1 - toxic as toxic"), 20)
+    assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {1: 15, 0: 5}
+
+
+def test_weights_count_as_rows():
+    scores, labels, times = np.array([0.9, 0.8, 0.6, 0.4, 0.1]), np.array([1, 0, 1, 0, 0]), np.array([1, 3, 2, 3, 1])
+    many, of = np.repeat(scores, times), np.repeat(labels, times)
+    assert toxicity.best_threshold(scores, labels, times) == pytest.approx(toxicity.best_threshold(many, of))
+
+
 def test_thresholds_weigh_precision():
     scores, labels = np.array([0.9, 0.8, 0.7, 0.2, 0.1]), np.array([1, 1, 0, 0, 1])
     assert toxicity.best_threshold(scores, labels) == pytest.approx(0.75)
