@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayline.llm import queries, resampling, toxicity, url_filter
 
@@ -81,6 +82,20 @@ def test_toxic_words_of_few_texts_are_learnt(spark):
     assert sum((found[n] >= 0.5) == bool(bad) for n, _, bad in held) >= 0.95 * len(held)
 
 
+def test_toxicity_past_one_labelled_text_over_the_word_bound(spark, toxic):
+    docs, labels, rows = toxic
+    first = spark.createDataFrame([(n,) for n in range(5000, 9000)], "n bigint").orderBy(F.xxhash64("n")).first().n
+    long = spark.createDataFrame([(first, "word1 " * 90_000, "en")], docs.schema)
+    given = labels.where("doc_id < 1200").unionAll(spark.createDataFrame([(first, 0)], labels.schema))
+    model = toxicity.fit(docs.unionAll(long), given, max_words=80_000)
+    assert model.net is not None
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [r for r in rows if r[0] >= 1200]
+    assert sum((found[n] >= 0.5) == bool(bad) for n, _, _, bad in held) >= 0.95 * len(held)
+    with pytest.raises(ValueError, match="bound"):
+        toxicity.fit(docs, given, max_words=8)
+
+
 def test_the_row_bound_leaves_out_labels_0_first(spark):
     labels = spark.range(3000).selectExpr("id as doc_id", "cast(id % 300 = 0 as int) as toxic")
     sample, stands_for = toxicity.labelled_sample(labels, 100)
