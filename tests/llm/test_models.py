@@ -277,7 +277,9 @@ def test_url_sample_holds_distinct_urls_of_both_verdicts(spark):
 
 
 def test_a_hot_labelled_url_leaves_the_others_in_the_fit(spark):
-    rows = ["http://hot.com/a/1"] * 600 + [f"http://{'123456'[n % 6] * 9 if n % 2 else 'abcdef'[n % 6] * 9}.com/{'ab'[n % 2] if n < 60 else 'x'}/{n}" for n in range(90)]
+    urls = spark.range(1000).selectExpr("concat('http://hot.com/a/', id) as url")
+    hot = urls.orderBy(F.xxhash64("url")).first().url  # first in hash order
+    rows = [hot] * 600 + [f"http://{'123456'[n % 6] * 9 if n % 2 else 'abcdef'[n % 6] * 9}.com/{'ab'[n % 2] if n < 60 else 'x'}/{n}" for n in range(90)]
     pages = spark.createDataFrame(list(enumerate(rows)), "page_id bigint, url string")
     rules = (url_filter.Rule("block", "com/b/"), url_filter.Rule("allow", "com/a/"))
     found = [r for r in url_filter.judge(pages, rules, max_rows=100).collect() if r.rule is None]
