@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the white space [\x20\x09-\x0D] that separates words and pads lines.
@@ -37,3 +37,13 @@ def same_row(left: str, right: str, columns: list[str]) -> Column:
     for name in columns:
         condition &= F.col(f"{left}.`{name}`").eqNullSafe(F.col(f"{right}.`{name}`"))
     return condition
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on columns of the same names; the keys come from the left side."""
+    names = {k: f"__right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    condition = F.lit(True)
+    for mine, other in names.items():
+        condition &= F.col(mine).eqNullSafe(F.col(other))
+    return left.join(renamed, condition, how).drop(*names.values())

@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayline.llm import (
-    chat, decontaminate, kmeans_tree, line_dedup, packing, resampling, simhash, substring_dedup,
-    toxicity, url_filter,
+    chat, decontaminate, hash_tree, kmeans_tree, lexical, line_dedup, packing, repair, resampling, simhash,
+    substring_dedup, toxicity, url_filter,
 )
-from assayline.session import table
+from assayline.llm.columns import join_on
+from assayline.session import materialise, table
 
 
 def tokenizer_path() -> str:
@@ -93,6 +94,57 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with the faults of the contract: by the row's remainder it is dropped, emptied,
+    robbed of its full stops, repeated, or given to the user."""
+    part = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat_ws(":", *part).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    faulty = rows.where(kind != 0).select(
+        "conv_id", "turn", F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return faulty.drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    turns, report = repair.repair(_damaged(given))
+    found = join_on(given.select("conv_id").distinct(), report, ["conv_id"], "left")
+    found = join_on(found, repair.digests(turns), ["conv_id"], "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return found.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+SHARDS = 8
+
+
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (F.length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = hash_tree.assign(docs, hash_tree.uniform(SHARDS), ["doc_id"], "shard")
+    grown = hash_tree.assign(placed, hash_tree.uniform(SHARDS + 1), ["doc_id"], "grown_shard")
+    rows = materialise(grown, "sharded")
+    slots = hash_tree.with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])
+    return slots.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+ANSWERS = 50
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ANSWERS)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -104,6 +156,9 @@ QUERIES = {
     "op7_chat_format": op7_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_sharding": op12_sharding,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 ORACLES = {
@@ -172,5 +227,34 @@ with split as (
 select d.doc_id, cast(coalesce(n_words, 0) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed,
   sha256(coalesce(kept, '')) as kept_sha256
 from documents d left join counted c on d.doc_id = c.doc_id
+""",
+    "op13_lexical_search": r"""
+with texts as (
+  select doc_id, row_number() over () as row, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), cut as (
+  select doc_id, row, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from texts
+), totals as (
+  select count(*) filter (where len(terms) > 0) as docs, sum(len(terms)) as length from cut
+), held as (
+  select doc_id, row, n, term, count(*) as tf
+  from (select doc_id, row, len(terms) as n, unnest(terms) as term from cut) group by all
+), asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weights as (
+  select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+  from held, totals group by term
+), scored as (
+  select item_id, row, any_value(doc_id) as doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length)))) as bigint) as score
+  from asked join held using (term) join weights using (term), totals group by item_id, row
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+  from scored where score > 0
+)
+select * from ranked where rank <= 50
 """,
 }
