@@ -52,7 +52,8 @@ RACKS_OF_REGION = 2
 
 def uniform(count: int) -> list[Leaf]:
     """Shards 0 to count - 1 of equal weight: the first eight in two regions of two racks of two
-    shards, each further one in the next rack in turn, as a generation of its own."""
+    shards, each further one in the next rack in turn, as a generation of its own. Fewer than eight
+    are a generation each, so only the step from seven to eight lays all shards out anew."""
     if count < 1:
         raise ValueError("at least one shard")
     leaves = []
