@@ -39,6 +39,16 @@ def same_row(left: str, right: str, columns: list[str]) -> Column:
     return condition
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def salted(df: DataFrame, salts: int, name: str = "salt") -> DataFrame:
+    """Every row once for each salt, to meet the other side of a join in as many parts."""
+    return df.withColumn(name, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Null-safe join on columns of the same names; the keys come from the left side."""
     names = {k: f"__right_{k}" for k in keys}

@@ -9,13 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.columns import salted
 from assayline.session import materialise
 
 
+SALTS = 16
+
+
 def _towards_minimum(arcs: DataFrame) -> DataFrame:
-    """Arcs (a, b): every b joined to the least of a and all its b."""
-    least = arcs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return arcs.join(least, "a")
+    """Arcs (a, b): every b joined to the least of a and all its b; the hub of a star meets its
+    arcs in ``SALTS`` parts."""
+    least = salted(arcs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), SALTS)
+    parts = arcs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    return parts.join(least, ["a", "salt"]).drop("salt")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.columns import SPACES, join_on
+from assayline.llm.columns import SPACES, join_on, salted
 from assayline.session import materialise
 
 BLOCK = 256  # rows of a signature at most
@@ -278,11 +278,10 @@ def _solve(blocks: DataFrame, kind: str) -> DataFrame:
     joined = join_on(blocks.drop("rows"), after, ["conv_id", "block"], "left")
     asked = materialise(joined.fillna({"after": FINISH, "base": 0}), "signatures")
     # a signature may be that of a third of all conversations: it meets them in parts
-    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    answers = _automaton(asked.select("after", "backwards")).withColumn("part", parts)
-    salted = asked.withColumn("part", F.pmod(F.xxhash64("conv_id", "block"), F.lit(SALTS)))
+    answers = salted(_automaton(asked.select("after", "backwards")), SALTS)
+    parts = asked.withColumn("salt", F.pmod(F.xxhash64("conv_id", "block"), F.lit(SALTS)))
     solved = materialise(
-        salted.join(answers, ["after", "backwards", "part"]).drop("part", "after", "backwards"), "solved"
+        parts.join(answers, ["after", "backwards", "salt"]).drop("salt", "after", "backwards"), "solved"
     )
     starts = _starts(solved.where("not alone"), kind)
     started = join_on(solved, starts, ["conv_id", "block"], "left").withColumn(
