@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayline.llm import kernels
-from assayline.llm.columns import text_digest
+from assayline.llm.columns import salted, text_digest, whole_row
 from assayline.llm.components import component_of
 from assayline.session import materialise
 
@@ -205,9 +205,7 @@ def _classes(distinct: DataFrame, found: DataFrame, first: str) -> DataFrame:
     joined = materialise(distinct.join(reach, "fp", "left"), "components")
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")
     linked = joined.where("component is not null").select("fp", first, "component", salt)
-    least = linked.groupBy("component").agg(F.min(first).alias(first)).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    )
+    least = salted(linked.groupBy("component").agg(F.min(first).alias(first)), SALTS)
     classes = linked.drop(first).join(least, ["component", "salt"]).select("fp", first)
     return classes.unionAll(joined.where("component is null").select("fp", first))
 
@@ -219,7 +217,9 @@ def near_duplicates(
     rows = materialise(fingerprints(docs, shingle_words), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("component_id"))
     classes = _classes(distinct, links(distinct, distance), "component_id")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint may be that of a third of all rows
+    parts = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return parts.join(salted(classes, SALTS), ["fp", "salt"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(
@@ -227,14 +227,17 @@ def keep_one(
 ) -> DataFrame:
     """One row of each class of near-duplicates, with all its columns: that of the smallest id
     (null last), then of the smallest text hash; of rows that repeat, one."""
-    # 128 bits stand for (id, text); the rows are dealt out by them once, for both steps below
-    keyed = docs.withColumn("__key1", F.xxhash64("doc_id", text_digest(F.col("text")))).withColumn(
-        "__key2", F.xxhash64(F.lit(1), "doc_id", F.col("text"), F.col("text").isNull())
+    # 128 bits stand for (id, text); the rows, as structs, are dealt out by them once, for both steps below
+    keyed = docs.select(
+        whole_row(docs).alias("row"), F.xxhash64("doc_id", text_digest(F.col("text"))).alias("key1"),
+        F.xxhash64(F.lit(1), "doc_id", F.col("text"), F.col("text").isNull()).alias("key2"),
     )
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key1", "__key2")
-    prints = fingerprints(keyed.select(place.alias("doc_id"), "text"), shingle_words, lanes)
+    row = F.col("row")
+    place = F.struct(row["doc_id"].isNull().alias("none"), row["doc_id"].alias("doc_id"), "key1", "key2")
+    prints = fingerprints(keyed.select(place.alias("doc_id"), row["text"].alias("text")), shingle_words, lanes)
     rows = materialise(prints, "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("kept"))
-    kept = _classes(distinct, links(distinct, distance, lanes, segments), "kept").select("kept.__key1", "kept.__key2").distinct()
-    once = keyed.dropDuplicates(["__key1", "__key2"])
-    return once.join(kept, ["__key1", "__key2"], "left_semi").select(*docs.columns)
+    classes = _classes(distinct, links(distinct, distance, lanes, segments), "kept")
+    kept = classes.select("kept.key1", "kept.key2").distinct()
+    once = keyed.dropDuplicates(["key1", "key2"]).join(kept, ["key1", "key2"], "left_semi")
+    return once.select(*[row.getField(c).alias(c) for c in docs.columns])

@@ -204,6 +204,13 @@ def test_two_lanes_and_wider_segments(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_keep_one_with_clashing_names(spark):
+    names = ["__key1", "__key2", "key1", "row", "place", "salt", "fp"]
+    docs = frame(spark, [(1, "a b c d"), (2, "a b c d"), (3, "x y z")]).selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    kept = simhash.keep_one(docs, 3, 2).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3] and all(r[n] == f"{n}{r.doc_id}" for r in kept for n in names)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 120)]
     star = [(1000, i) for i in range(1001, 1300)]
