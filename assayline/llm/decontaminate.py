@@ -13,7 +13,7 @@ about ``BLOCK_BYTES`` normalised bytes, one scan of the documents per block, so
 a task has a bound however many items there are.
 
 Items of fewer than ``MIN_ITEM_BYTES`` normalised bytes (a null text has none) match nothing:
-a stray word is no leak. Rows that repeat are judged each by itself; items that share an id are
+a stray word is no leak; ``unmatched_items`` lists them. Rows that repeat are judged each by itself; items that share an id are
 reported under it once. Other columns are ignored. Whole texts are scanned, whatever their length.
 """
 
@@ -122,24 +122,35 @@ class Matcher:
         return sorted(best.items())
 
 
-def _blocks(benchmark: DataFrame, min_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
-    """Normalised items, about ``BLOCK_BYTES`` at a time through the driver."""
-
-    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _normalised(benchmark: DataFrame) -> DataFrame:
+    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [normalise(t) for t in batch.column(1).fill_null("").to_pylist()]
             yield pa.record_batch({"item_id": batch.column(0), "text": pa.array(texts, pa.binary())})
 
     rows = benchmark.select(F.col("item_id").cast("bigint"), "text")
-    items = rows.mapInArrow(normalised, "item_id bigint, text binary")
-    items = items.where(F.length("text") >= min_bytes).where("item_id is not null").distinct()
+    return rows.mapInArrow(convert, "item_id bigint, text binary")
+
+
+def unmatched_items(benchmark: DataFrame, min_bytes: int = MIN_ITEM_BYTES) -> DataFrame:
+    """``(item_id, n_bytes)`` of the items that match nothing, being shorter than ``min_bytes`` or
+    without an id."""
+    items = _normalised(benchmark).select("item_id", F.length("text").alias("n_bytes"))
+    return items.where(F.col("item_id").isNull() | (F.col("n_bytes") < min_bytes))
+
+
+def _blocks(benchmark: DataFrame, min_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Normalised items in the order of their ids, about ``BLOCK_BYTES`` at a time through the driver;
+    what shares an id is in one block."""
+
+    items = _normalised(benchmark).where(F.length("text") >= min_bytes).where("item_id is not null").distinct()
     block, size = [], 0
-    for row in items.toLocalIterator():
-        block.append((row.item_id, bytes(row.text)))
-        size += len(row.text)
-        if size >= BLOCK_BYTES:
+    for row in items.orderBy("item_id").toLocalIterator():
+        if size >= BLOCK_BYTES and row.item_id != block[-1][0]:
             yield block
             block, size = [], 0
+        block.append((row.item_id, bytes(row.text)))
+        size += len(row.text)
     if block:
         yield block
 

@@ -2,13 +2,13 @@
 
 Only the histogram of piece lengths (one count per possible length) reaches the driver. There
 patterns of few lengths that fill a sequence exactly are enumerated, their repeat counts are fitted to
-the histogram by non-negative least squares, rounded down, and what is left is packed best-fit
+the histogram by non-negative least squares, rounded to whole numbers that the lengths left allow, and what is left is packed best-fit
 decreasing, many equal lengths at a time. The plan is a list of (pattern, copies); its size
 depends on the sequence length and not on the data.
 
 Pieces find their places without meeting: a piece's number among those of its length comes from
 counts by (length, bucket) and its order inside the bucket, and the plan gives each range of numbers its
-sequences and offset. A length that a third of the pieces have is spread over ``BUCKETS`` groups.
+sequences and offset. A length that a third of the pieces have is spread over ``BUCKETS`` groups or more.
 
 Every row is a document, null text an empty one of just the end id; rows that share an id or
 repeat are packed each by itself. Other columns are ignored. Texts are tokenised whole.
@@ -31,6 +31,8 @@ from assayline.session import materialise
 SEQUENCE = 1024
 END_ID = 2
 BUCKETS = 256
+MOST_BUCKETS = 4096  # the broadcast counts have size + 1 times as many numbers
+BUCKET_PIECES = 1 << 16
 FIT_STEPS = 1000
 #: Lengths per pattern, fit after fit; a fit sees what rounding has left of the ones before.
 FIT_ROUNDS = (2, 3, 3, 3)
@@ -115,12 +117,12 @@ def best_fit(histogram: np.ndarray, size: int) -> list[tuple[tuple[int, ...], in
 def plan(histogram: np.ndarray, size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
     """``(lengths, copies)`` of all sequences; together they hold exactly the histogram.
 
-    Whichever number of fits leaves the fewest sequences once the rest is packed is taken: where
-    lengths hardly repeat, rounding makes later fits worth less than packing the rest.
+    Every plan comes from one fit at least. Whichever number of fits leaves the fewest sequences once
+    the rest is packed is taken, of equal ones the smallest number: where lengths hardly
+    repeat, rounding makes later fits worth less than packing the rest.
     """
     left = histogram.astype(np.int64).copy()
-    chosen = []
-    plans = [best_fit(left, size)]
+    chosen, plans = [], []
     for count in FIT_ROUNDS:
         patterns = few_length_patterns(size, count)
         patterns = patterns[np.all(left[patterns] > 0, axis=1)]
@@ -152,14 +154,22 @@ def _slots(sequences: list[tuple[tuple[int, ...], int]]) -> list[np.ndarray]:
 
 
 def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
-    """``pieces`` (column ``length``, 1 to ``size``) with ``sequence_id`` and ``offset``."""
+    """Written ``pieces`` (column ``length``, 1 to ``size``) with ``sequence_id`` and ``offset``.
+
+    Pieces of the full size are sequences by themselves and are numbered where they lie; the others are
+    numbered within (length, bucket), with more buckets for more pieces.
+    """
     own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    bucketed = pieces.select(*own, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).alias("__bucket"))
-    counts = np.zeros((size + 1, BUCKETS), np.int64)  # the counts' table has no more rows than this
+    short = pieces.where(F.col("length") < size)
+    buckets = min(MOST_BUCKETS, max(BUCKETS, pieces.count() // BUCKET_PIECES))
+    bucketed = short.select(*own, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("__bucket"))
+    counts = np.zeros((size + 1, buckets), np.int64)  # the counts' table has no more rows than this
     for length, bucket, n in bucketed.groupBy("length", "__bucket").count().collect():
         counts[length, bucket] = n
     before = np.cumsum(counts, axis=1) - counts
-    lengths, lows, sequences, offsets = _slots(plan(counts.sum(1), size))
+    sequences = plan(counts.sum(1), size)
+    taken = sum(copies for _, copies in sequences)
+    lengths, lows, sequences, offsets = _slots(sequences)
     order = W.partitionBy("length", "__bucket").orderBy(*own)
     numbered = bucketed.withColumn("__number", F.row_number().over(order))
     sent = pieces.sparkSession.sparkContext.broadcast((before, lengths << 40 | lows, lows, sequences, offsets))
@@ -176,7 +186,10 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, *placed], [*own, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*own).dtypes)
-    return numbered.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    placed = numbered.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    alone = (F.monotonically_increasing_id() + F.lit(taken)).alias("sequence_id")
+    full = pieces.where(F.col("length") == size).select(*own, alone, F.lit(0).cast("bigint").alias("offset"))
+    return placed.unionAll(full)
 
 
 def pack_documents(

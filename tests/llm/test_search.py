@@ -98,6 +98,24 @@ def test_plans_are_near_the_bound():
     assert packing.plan(counts([])) == []
 
 
+def test_patterns_make_the_plan_where_best_fit_would_do_as_well():
+    lengths = [424, 600] * 100
+    assert sum(copies for _, copies in packing.best_fit(counts(lengths), 1024)) == 100
+    assert packing.plan(counts(lengths)) == [((424, 600), 100)]  # a pattern's lengths ascend
+
+
+def test_items_of_one_id_are_one_item_in_any_block(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    texts = {n: " ".join(f"{n}word{i}" for i in range(12)) for n in range(6)}
+    bench = [(n % 2, t) for n, t in texts.items()] + [(9, "too short"), (None, texts[0]), (10, None)]
+    bench = spark.createDataFrame(bench, "item_id bigint, text string").repartition(4)
+    docs = spark.createDataFrame([(1, " ".join(texts.values())), (2, texts[3])], "doc_id bigint, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect())
+    assert found == [(1, 0), (1, 1), (2, 1)]
+    left = {(r.item_id, r.n_bytes) for r in decontaminate.unmatched_items(bench).collect()}
+    assert left == {(9, 8), (10, 0), (None, len(decontaminate.normalise(texts[0])))}
+
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
