@@ -1,9 +1,8 @@
 """Quality by importance resampling of hashed n-gram models.
 
 Two bag-of-n-gram models over ``BUCKETS`` hashed unigrams and bigrams are counted, one over the
-target texts and one over all texts; a document's log weight is the log ratio of the two, taken
-per n-gram and scaled to a text of ``SCALE`` n-grams so that long texts are not decided by
-their length alone. A Gumbel variate is added, and the documents with the largest sums are kept: a sample
+target texts and one over all texts; a document's log weight is the log ratio of its probabilities under the
+two, the sum over its n-grams. A Gumbel variate is added, and the documents with the largest sums are kept: a sample
 without replacement with probabilities in proportion to the weights. (Xie et al. 2023, "Data Selection for
 Language Models via Importance Resampling".)
 
@@ -32,7 +31,6 @@ from assayline.session import materialise
 
 BUCKETS = 10_000
 SMOOTHING = 1.0
-SCALE = 100.0
 FRACTION = 0.5
 SEED = 11
 
@@ -90,8 +88,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray, seed: int = SEED) -> DataFrame
             weights = np.zeros(len(texts))
             for a, b in kernels.chunks(texts):
                 buckets, text = gram_buckets(texts.slice(a, b - a))
-                total = np.bincount(text, sent.value[buckets], b - a)
-                weights[a:b] = SCALE * total / np.maximum(np.bincount(text, minlength=b - a), 1)
+                weights[a:b] = np.bincount(text, sent.value[buckets], b - a)
             draws = kernels.mix(batch.column(2).to_numpy().view(np.uint64))
             uniform = ((draws >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
             yield pa.record_batch({
