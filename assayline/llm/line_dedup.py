@@ -56,7 +56,10 @@ def dropped_lines(hashes: DataFrame) -> DataFrame:
     """``(doc_id, digest, position)`` of the lines that an earlier document holds too."""
     runs = W.partitionBy("h1", "h2", "salt").orderBy(F.col("doc_id").asc_nulls_last())
     whole = W.partitionBy("h1", "h2").orderBy(F.col("doc_id").asc_nulls_last())
-    ranked = hashes.repartitionByRange("h1", "h2", "salt").withColumn("place", F.rank().over(runs))
+    ranged = hashes.repartitionByRange("h1", "h2", "salt").sortWithinPartitions(
+        "h1", "h2", "salt", F.col("doc_id").asc_nulls_last(), "position"
+    )
+    ranked = ranged.withColumn("place", F.rank().over(runs))  # streams in that order, sorted once
     in_run = ranked.where("place > 1")
     firsts = ranked.where("place = 1").withColumn("place", F.rank().over(whole))
     return in_run.select(*_ROW, "position").unionAll(

@@ -16,7 +16,7 @@ Second pass. Windows whose two bits are set get 96 bits of hash. Each block of a
 ``BLOCK_WINDOWS`` windows keeps the first of equal ones and settles the others at once, so a window
 that a third of the documents hold reaches the shuffle once per block. The rest are grouped exactly.
 
-Null text has no words. Rows with the same id and text count as one document and get the same
+Ids are integers (others fail in the cast to bigint). Null text has no words. Rows with the same id and text count as one document and get the same
 result; a null id sorts last. Other columns are ignored.
 """
 
