@@ -14,19 +14,11 @@ from assayline.llm import decontaminate, line_dedup, packing, simhash, toxicity
 from assayline.llm.queries import tokenizer_path
 from assayline.session import materialise, table
 
-#: Near-duplicates are pairs at 0.8 or more of their shingles of five words. Fingerprints of such a pair
-#: differ in about 19 of 128 bits; README.md has what these settings find.
-SHINGLE_WORDS = 5
-LANES = 2
-SEGMENTS = 4  # of 16 bits, in each lane
-DISTANCE = 24
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold of their language; the model learns from ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, "__score", "__flagged")
-    return scored.where("not __flagged").select(*docs.columns)
+    return toxicity.without_flagged(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, SHINGLE_WORDS, DISTANCE, LANES, SEGMENTS)
+    """One document of each group whose fingerprints over three-word shingles link at two bits."""
+    return simhash.keep_one(docs, simhash.SHINGLE_WORDS, simhash.DISTANCE)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
