@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
@@ -21,14 +22,12 @@ from assayline.functions.tokens import (
     with_term_counts,
     with_word_ngrams,
 )
+from assayline.operators.terms import weights, with_idf
 from assayline.schema import ID, TEXT
 from assayline.session import materialise
 
-# Beyond this many entries a vocabulary is joined instead of shipped to every task.
+# Entries of a vocabulary that travel to the tasks at once.
 SHIPPED_VOCABULARY = 500_000
-# A term counts as hot when it alone makes up this share of all (row, term) pairs; by
-# construction there are at most 1 / share such terms.
-HOT_SHARE = 1e-5
 
 # The term blocks of each representation, each adding an array of terms.
 BLOCKS: dict[str, dict[str, Callable[[DataFrame, str, str], DataFrame]]] = {
@@ -79,53 +78,45 @@ def encode_text(
     """Add ``token_ids``; unknown tokens become 1 and a text without tokens ``[1]``.
 
     ``max_tokens`` bounds the sequence as a model asks for it; by default every token of
-    the text is encoded. A vocabulary within ``shipped`` entries travels to the tasks and
-    the rows stay where they are; a larger one is joined by token.
+    the text is encoded. Rows stay where they are: the vocabulary travels to the tasks, sorted by a hash of the token, in
+    shards of about ``shipped`` entries, each of which fills in the ids it knows.
     """
     tokens = _bounded(df, max_tokens)
-    entries = vocab.select("token", "token_id").limit(shipped + 1).collect()
-    if len(entries) > shipped:
-        return _encode_by_join(tokens, vocab)
-    words = pa.array([row["token"] for row in entries], pa.string())
-    ids = pa.array([row["token_id"] for row in entries], pa.int32())
+    hashed = tokens.withColumn("_hashes", F.transform("tokens", lambda t: F.xxhash64(t)))
+    encoded = hashed.withColumn("token_ids", F.array().cast("array<int>"))
+    words = vocab.select("token", "token_id", F.xxhash64("token").alias("hash"))
+    count = -(-words.count() // shipped) or 1
+    for number in range(count):
+        shard = words.where(F.pmod(F.xxhash64("hash"), F.lit(count)) == number).toArrow()
+        encoded = encoded.withColumn("token_ids", _lookup(shard, df.sparkSession)("tokens", "_hashes", "token_ids"))
+    known = F.when(F.size("token_ids") == 0, F.array(F.lit(UNKNOWN_ID))).otherwise(F.col("token_ids"))
+    return encoded.drop("tokens", "_hashes").withColumn("token_ids", known)
+
+
+def _lookup(shard: pa.Table, spark: SparkSession) -> Callable[..., Column]:
+    """Ids of tokens by their hashes, the strings compared as well; others keep their id."""
+    hashes = shard.column("hash").to_numpy()
+    order = np.argsort(hashes)
+    words = shard.column("token").combine_chunks().take(pa.array(order))
+    sent = spark.sparkContext.broadcast((hashes[order], words, shard.column("token_id").to_numpy()[order]))
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(batch: pa.Array) -> pa.Array:
-        places = pc.index_in(batch.flatten(), value_set=words)
-        found = pc.fill_null(pc.take(ids, places), UNKNOWN_ID)
-        starts = pc.cumulative_sum(pc.list_value_length(batch))
-        offsets = pa.concat_arrays([pa.array([0], pa.int32()), starts.cast(pa.int32())])
-        return pa.ListArray.from_arrays(offsets, found)
-
-    encoded = tokens.withColumn("token_ids", encode("tokens")).drop("tokens")
-    empty = F.size("token_ids") == 0
-    return encoded.withColumn(
-        "token_ids", F.when(empty, F.array(F.lit(UNKNOWN_ID))).otherwise(F.col("token_ids"))
-    )
-
-
-def _encode_by_join(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Explode, join, and put the ids back in order.
-
-    A frequent token would load one join task, so each token occurrence joins on a salt as
-    well and the vocabulary is repeated per salt.
-    """
-    salts = 16
-    carried = [c for c in tokens.columns if c != "tokens"]
-    # rows that repeat stay apart by their number; it is written, so that a task that runs again
-    # numbers them alike
-    numbered = materialise(tokens.withColumn("_row", F.monotonically_increasing_id()), "tokens")
-    flat = numbered.select(
-        *carried, "_row", F.posexplode_outer("tokens").alias("at", "token")
-    ).withColumn("_salt", F.pmod(F.xxhash64("_row", "at"), F.lit(salts)))
-    table = vocab.select(
-        "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    ).withColumn("_salt", F.col("_salt").cast("bigint"))
-    joined = flat.join(table, ["token", "_salt"], "left")
-    pair = F.struct("at", F.coalesce("token_id", F.lit(UNKNOWN_ID)).cast("int").alias("id"))
-    grouped = joined.groupBy("_row").agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    ids = grouped.select("_row", F.col("_pairs.id").alias("token_ids"))
-    return numbered.join(ids, "_row").select(*carried, "token_ids")
+    def encode(tokens: pa.Array, keys: pa.Array, before: pa.Array) -> pa.Array:
+        known, words, ids = sent.value
+        asked = keys.flatten().to_numpy(zero_copy_only=False)
+        found = before.flatten().to_numpy(zero_copy_only=False)
+        found = found.copy() if len(found) == len(asked) else np.full(len(asked), UNKNOWN_ID, np.int32)
+        if len(known) and len(asked):
+            place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+            near = np.flatnonzero(known[place] == asked)
+            same = pc.equal(tokens.flatten().take(pa.array(near)), words.take(pa.array(place[near])))
+            near = near[same.to_numpy(zero_copy_only=False)]
+            found[near] = ids[place[near]]
+        sizes = keys.value_lengths().to_numpy(zero_copy_only=False)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int32)))
+
+    return encode
 
 
 def padded(df: DataFrame, width: int) -> DataFrame:
@@ -147,64 +138,47 @@ def term_table(df: DataFrame, block: str, make: Callable[..., DataFrame]) -> Dat
     return _flat(counted.select(ID, F.lit(block).alias("block"), F.inline_outer("_counts")))
 
 
-def fit_idf(train_terms: DataFrame, train_rows: DataFrame) -> DataFrame:
-    """``(block, term, df, idf)`` with smooth idf over the train rows."""
-    rows = train_rows.agg(F.count(F.lit(1))).scalar()
-    counts = train_terms.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((1 + rows) / (1 + F.col("df"))) + F.lit(1.0)
-    return counts.withColumn("idf", idf)
-
-
-def weigh_terms(
-    terms: DataFrame, idf: DataFrame, broadcast_rows: int = SHIPPED_VOCABULARY
-) -> DataFrame:
-    """``(sentence_id, block, term, weight)``: sublinear tf times idf, L2 norm 1 per block.
+def _cut(df: DataFrame, block: str, make: Callable[..., DataFrame]) -> DataFrame:
+    """Adds ``_terms`` of a block and their 64-bit keys."""
+    cut = make(df.withColumn(TEXT, F.coalesce(F.col(TEXT), F.lit(""))), TEXT, "_terms")
+    return cut.withColumn("_keys", F.transform("_terms", lambda t: F.xxhash64(F.lit(block), t)))
 
-    Terms missing from ``idf`` drop out. An idf table within ``broadcast_rows`` is
-    broadcast. Beyond that only very frequent terms meet their idf by broadcast - there are
-    at most ``1 / HOT_SHARE`` of them - and the shuffled join is left with terms too rare
-    to fill a task.
-    """
-    if idf.count() <= broadcast_rows:
-        raw = terms.join(F.broadcast(idf.select("block", "term", "idf")), ["block", "term"])
-    else:
-        raw = _join_by_frequency(terms, idf)
-    weight = (F.lit(1.0) + F.log(F.col("tf").cast("double"))) * F.col("idf")
-    in_block = W.partitionBy(ID, "block")
-    return raw.withColumn("_w", weight).select(
-        ID,
-        "block",
-        "term",
-        (F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(in_block))).alias("weight"),
-    )
 
+def fit_idf(train: DataFrame, representation: str) -> DataFrame:
+    """Written ``(block, key, df, idf)`` with smooth idf over the train rows."""
+    found = None
+    for block, make in BLOCKS[representation].items():
+        keys = F.explode_outer(F.array_distinct("_keys")).alias("key")
+        part = _flat(_cut(train.select(TEXT), block, make).select(F.lit(block).alias("block"), keys), "key")
+        found = part if found is None else found.unionAll(part)
+    counts = found.groupBy("block", "key").agg(F.count(F.lit(1)).alias("df"))
+    return materialise(with_idf(counts, train.count()), f"idf-{representation}")
 
-def _join_by_frequency(terms: DataFrame, idf: DataFrame) -> DataFrame:
-    pairs = idf.agg(F.sum("df")).first()[0]
-    is_hot = F.col("df") >= pairs * HOT_SHARE
-    hot = F.broadcast(idf.where(is_hot).select("block", "term", F.col("idf").alias("hot_idf")))
-    cold = idf.where(~is_hot).select("block", "term", "idf")
-    tagged = terms.join(hot, ["block", "term"], "left")
-    common = tagged.where(F.col("hot_idf").isNotNull()).withColumnRenamed("hot_idf", "idf")
-    rare = tagged.where(F.col("hot_idf").isNull()).drop("hot_idf").join(cold, ["block", "term"])
-    columns = [ID, "block", "term", "tf", "idf"]
-    return common.select(*columns).unionByName(rare.select(*columns))
 
+def weigh_terms(df: DataFrame, idf: DataFrame, representation: str) -> DataFrame:
+    """``(sentence_id, block, term, weight)``: sublinear tf times idf, L2 norm 1 per block.
 
-def representation_terms(df: DataFrame, representation: str) -> DataFrame:
-    """Terms of every block of a representation, stacked."""
+    Terms missing from ``idf`` drop out. Counts are one array per row, idf is looked up in the task, and the
+    norm is taken before the array is opened: no shuffle, whatever the size of the idf table.
+    """
     stacked = None
     for block, make in BLOCKS[representation].items():
-        part = term_table(df, block, make)
+        counted = with_term_counts(_cut(df.select(ID, TEXT), block, make).drop("_keys"), "_terms", "_counts")
+        keyed = counted.select(
+            ID, F.transform("_counts", lambda c: c["term"]).alias("_t"), F.transform("_counts", lambda c: c["tf"]).alias("_n"),
+            F.transform("_counts", lambda c: F.xxhash64(F.lit(block), c["term"])).alias("_k"),
+        )
+        weighed = weights(keyed, idf.where(F.col("block") == block), [("_k", "_n", "_w")], unit=True)
+        pairs = F.arrays_zip(F.col("_t").alias("term"), F.col("_w").alias("weight"))
+        opened = weighed.select(ID, F.lit(block).alias("block"), F.inline_outer(pairs))
+        part = opened.where(F.col("weight").isNotNull())
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 
 
 def tfidf_weights(df: DataFrame, train: DataFrame, representation: str) -> DataFrame:
     """Weights of ``df`` under the vocabulary and idf of ``train``."""
-    fitted = fit_idf(representation_terms(train, representation), train)
-    idf = materialise(fitted, f"idf-{representation}")
-    return weigh_terms(representation_terms(df, representation), idf)
+    return weigh_terms(df, fit_idf(train, representation), representation)
 
 
 def feature_union(df: DataFrame, train: DataFrame, representation: str = "word_char") -> DataFrame:
@@ -220,20 +194,24 @@ def feature_counts(train: DataFrame) -> DataFrame:
     (intercept).
 
     The widest representation holds the terms of the others - unigrams are its word terms
-    without a blank - so each text is cut up once and the terms are made distinct once.
+    without a blank - so each text is cut up once. A term is 128 bits of hash; they are made distinct in
+    each task before any of them is shuffled.
     """
     blocks = BLOCKS["word_char"]
     cut = blocks["c"](blocks["w"](train.select(TEXT), TEXT, "_w"), TEXT, "_c")
 
-    def tagged(block: str) -> Column:
-        return F.transform(f"_{block}", lambda t: F.struct(F.lit(block).alias("block"), t.alias("term")))
+    def digests(block: str, kind: Callable[[Column], Column]) -> Column:
+        return F.transform(f"_{block}", lambda t: F.struct(
+            kind(t).alias("kind"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(block), t).alias("h2")
+        ))
 
-    flat = _flat(cut.select(F.inline_outer(F.concat(tagged("w"), tagged("c")))))
-    terms = flat.groupBy("block", "term").agg(F.lit(1).alias("one"))
-    word = F.col("block") == "w"
+    words = digests("w", lambda t: F.contains(t, F.lit(" ")).cast("tinyint"))
+    pieces = digests("c", lambda t: F.lit(2).cast("tinyint"))
+    flat = _flat(cut.select(F.inline_outer(F.concat(words, pieces))), "kind")
+    terms = flat.groupBy("kind", "h1", "h2").agg(F.lit(1).alias("one"))
     counts = terms.agg(
-        F.count_if(word & ~F.contains("term", F.lit(" "))).alias("word_unigram"),
-        F.count_if(word).alias("word_bigram"),
+        F.count_if(F.col("kind") == 0).alias("word_unigram"),
+        F.count_if(F.col("kind") < 2).alias("word_bigram"),
         F.count(F.lit(1)).alias("word_char"),
     )
     each = F.array(*[F.struct(F.lit(n).alias("representation"), F.col(n).alias("feature_count")) for n in BLOCKS])

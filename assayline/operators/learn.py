@@ -8,30 +8,28 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    LogisticRegressionModel,
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, StandardScaler, Word2Vec
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.common import _py2java
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import StandardScaler, Word2Vec
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayline.operators.compare import early_stopping, select_candidate
 from assayline.functions.tokens import RESERVED_IDS
+from assayline.operators.compare import early_stopping, select_candidate
 from assayline.operators.features import BLOCKS, REGULARISATION, encode_text, vocabulary
 from assayline.operators.metrics import threshold_metrics
 from assayline.operators.quality import require_splits, validate_splits
-from assayline.operators.solver import fit_strengths
+from assayline.operators.solver import fit_designs
+from assayline.operators.terms import (
+    BLOCK_KINDS, INTERCEPT, design_rows, document_frequencies, feature_numbers, margins, term_store, term_table,
+)
 from assayline.schema import HISTORY, ID, LABEL, SPLIT, TEXT, IntegrityError
 from assayline.session import materialise
 
@@ -52,150 +50,104 @@ FIT_PARTITION_BYTES = 4 * 1024 * 1024
 # The same for texts, which cost more work per byte.
 TEXT_PARTITION_BYTES = 512 * 1024
 
-# Coefficients of a linear model live on the driver; more terms than this must be bounded
-# by the caller with ``max_terms``.
-MAX_FEATURES = 20_000_000
-
 FEATURES = "features"
 
 
+def _probability(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+
+
 @dataclass
-class Vectoriser:
-    """Fitted term space of one representation: term counters and idf per block."""
+class TermModel:
+    """A fitted TF-IDF logistic regression: a written table of terms, their idf and weights.
 
-    representation: str
-    counters: dict[str, CountVectorizerModel]
-    idf: dict[str, np.ndarray]
+    ``weights`` has one weight for each of ``intercepts``. Rows are scored where they are.
+    """
 
-    @property
-    def feature_count(self) -> int:
-        return sum(len(block) for block in self.idf.values())
-
-    def transform(self, df: DataFrame, out: str = FEATURES) -> DataFrame:
-        """Add the TF-IDF vector with a trailing constant 1, row by row, without a shuffle.
-
-        Terms become counts inside the JVM; one Arrow step turns counts into weights.
-        """
-        names = []
-        for block, make in BLOCKS[self.representation].items():
-            terms, counts = f"_terms_{block}", f"_counts_{block}"
-            counter = self.counters[block].setInputCol(terms).setOutputCol(counts)
-            df = counter.transform(make(df, TEXT, terms)).drop(terms)
-            df = df.withColumn(counts, F.unwrap_udt(counts))
-            names.append(counts)
-        return df.withColumn(out, _weigher(list(self.idf.values()))(*names)).drop(*names)
-
-
-def _weigher(idf: list[np.ndarray]):
-    """Vector UDF: sublinear tf times idf, unit length per block, blocks side by side, then 1."""
-    offsets = np.concatenate([[0], np.cumsum([len(block) for block in idf])])
-    size = int(offsets[-1]) + 1
-
-    @F.pandas_udf(VectorUDT())
-    def weigh(*blocks: pd.DataFrame) -> pd.DataFrame:
-        rows = len(blocks[0])
-        owners, places, weights = [], [], []
-        for at, block in enumerate(blocks):  # all rows of a block at once
-            sizes = block["indices"].str.len().to_numpy()
-            owner = np.repeat(np.arange(rows), sizes)
-            place = np.concatenate([*block["indices"], np.zeros(0, np.int64)]).astype(np.int64)
-            count = np.concatenate([*block["values"], np.zeros(0)])
-            weight = (1.0 + np.log(count)) * idf[at][place]
-            norms = np.sqrt(np.bincount(owner, weight * weight, rows))
-            owners.append(owner)
-            places.append(place + offsets[at])
-            weights.append(weight / np.where(norms > 0, norms, 1.0)[owner])
-        owners.append(np.arange(rows))
-        places.append(np.full(rows, size - 1))
-        weights.append(np.ones(rows))
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        cuts = np.cumsum(np.bincount(owner, minlength=rows))[:-1]
-        return pd.DataFrame(
-            {
-                "type": np.zeros(rows, dtype=np.int8),
-                "size": pd.array([size] * rows, dtype="Int32"),
-                "indices": np.split(np.concatenate(places)[order].astype(np.int32), cuts),
-                "values": np.split(np.concatenate(weights)[order], cuts),
-            }
-        )
+    representation: str
+    table: DataFrame  # kind, key, idf, alone, joint, weights
+    intercepts: list[float]
 
-    return weigh
+    def kinds(self) -> str:
+        return "".join(BLOCK_KINDS[self.representation])
 
+    def probabilities(self, store: DataFrame, out: str) -> DataFrame:
+        """Adds an array of probabilities, one for each intercept, to rows of a term store."""
+        with_margins = margins(store, self.table, self.representation, self.intercepts, out)
+        return with_margins.withColumn(out, F.transform(out, _probability))
 
-def fit_vectoriser(
-    train: DataFrame, representation: str, max_terms: int | None = None
-) -> Vectoriser:
-    """Terms and idf of the train rows; ``max_terms`` keeps the most widespread per block.
+    def score(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability``."""
+        store = term_store(df, df.columns, self.kinds())
+        scored = self.probabilities(store, "probability").withColumn("probability", F.col("probability")[0])
+        return scored.select(*df.columns, "probability")
 
-    Terms are counted and looked up inside the JVM; document frequencies are then counted
-    by term index, so no term text is shuffled twice or passes through Python. The term
-    list itself is driver-sized because a linear model's coefficients are.
-    """
-    rows = train.count()
-    counters: dict[str, CountVectorizerModel] = {}
-    idf: dict[str, np.ndarray] = {}
-    for block, make in BLOCKS[representation].items():
-        terms = make(train.select(TEXT), TEXT, "terms").select("terms")
-        if max_terms is None:
-            counter = CountVectorizer(
-                inputCol="terms", outputCol="counts", vocabSize=MAX_FEATURES
-            ).fit(terms)
-        else:
-            widest = (
-                terms.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
-                .where(F.col("term").isNotNull())
-                .groupBy("term")
-                .agg(F.count(F.lit(1)).alias("df"))
-                .orderBy(F.col("df").desc(), "term")
-                .limit(max_terms)
-            )
-            counter = CountVectorizerModel.from_vocabulary(
-                [r["term"] for r in widest.collect()], inputCol="terms", outputCol="counts"
-            )
-        counts = counter.transform(terms).select(F.unwrap_udt("counts").alias("c"))
-        size = counts.select("c.size").head()[0]
-        if size >= MAX_FEATURES:
-            raise ValueError(f"at least {size} terms in block {block!r}; set max_terms")
-        df = (
-            counts.select(F.explode("c.indices").alias("place"))
-            .groupBy("place")
-            .agg(F.count(F.lit(1)).alias("df"))
-            .toPandas()
-        )
-        frequency = np.zeros(size)
-        frequency[df["place"]] = df["df"]
-        counters[block] = counter
-        idf[block] = np.log((1 + rows) / (1 + frequency)) + 1.0
-    return Vectoriser(representation, counters, idf)
+    def only(self, place: int) -> TermModel:
+        """The model of one of the intercepts."""
+        table = self.table.withColumn("weights", F.array(F.col("weights")[place]))
+        return TermModel(self.representation, materialise(table, "model"), [self.intercepts[place]])
 
 
-def _as_model(weights: np.ndarray, spark: SparkSession, features: str) -> LogisticRegressionModel:
-    """Spark's own model class around given weights, so scoring and saving stay in the JVM."""
-    vector = _py2java(spark.sparkContext, Vectors.dense(weights))
-    uid = f"logistic_{uuid.uuid4().hex[:12]}"
-    java = spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(uid, vector, 0.0)
-    return LogisticRegressionModel(java).setFeaturesCol(features)
+def fit_term_space(
+    train: DataFrame, kinds: str = "ubc", max_terms: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The written term store of train rows (with label) and its term table."""
+    store = materialise(term_store(train, [ID, LABEL], kinds), "term-store")
+    return store, term_table(document_frequencies(store, kinds), store.count(), max_terms)
 
 
-def fit_logistic(
-    train: DataFrame,
+def fit_term_models(
+    store: DataFrame,
+    table: DataFrame,
+    representations: list[str],
     strengths: list[float],
-    features: str = FEATURES,
     tolerance: float = SOLVER_TOLERANCE,
-) -> dict[float, LogisticRegressionModel]:
-    """Logistic regressions minimising ``|w|^2 / 2 + C * sum(log loss)``, one per C.
+) -> dict[str, TermModel]:
+    """One model per representation, with a weight and an intercept for each strength; all are
+    fitted together, sharing every pass over the store."""
+    rows = design_rows(store, table, representations, LABEL)
+    weights, _ = fit_designs(rows, representations, strengths, tolerance, MAX_ITERATIONS)
+    intercepts = {r["design"]: list(r["weights"]) for r in weights.where(F.col("key") == INTERCEPT).collect()}
+    models = {}
+    for name in representations:
+        marked = table.where(F.col("alone" if name == "word_unigram" else "joint")).where(
+            F.col("kind").isin(*"".join(BLOCK_KINDS[name]))
+        )
+        fitted = marked.join(weights.where(F.col("design") == name).drop("design"), "key")
+        models[name] = TermModel(name, materialise(fitted, "model"), intercepts[name])
+    return models
 
-    ``features`` must end in a constant 1, whose weight is the (regularised) intercept.
-    """
-    size = train.select(F.unwrap_udt(features).alias("v")).select(
-        F.coalesce("v.size", F.size("v.values"))
-    ).head()[0]
-    weights, _ = fit_strengths(
-        train, features, F.col(LABEL), strengths, size, tolerance,
-        MAX_ITERATIONS,
+
+@dataclass
+class VectorModel:
+    """Weights of given vectors, the last for a constant; as many as the vectors are wide."""
+
+    coefficients: list[float]
+    column: str = ""
+
+    def margin(self, values: Column) -> Column:
+        weights = F.array(*[F.lit(float(w)) for w in self.coefficients])
+        products = F.zip_with(F.concat(values, F.array(F.lit(1.0))), weights, lambda x, w: x * w)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        values = F.transform(F.col(self.column), lambda x: x.cast("double"))
+        return df.withColumn("probability", _probability(self.margin(values)))
+
+
+def fit_vectors(
+    train: DataFrame, column: str, strengths: list[float], tolerance: float = SOLVER_TOLERANCE
+) -> dict[float, VectorModel]:
+    """Logistic regressions on an array column minimising ``|w|^2 / 2 + C * sum(log loss)``, one per
+    C; the constant's weight is regularised like the others."""
+    values = F.concat(F.transform(column, lambda x: x.cast("double")), F.array(F.lit(1.0)))
+    rows = train.select(F.lit("vectors").alias("design"), F.col(LABEL).cast("double").alias("target"), values.alias("values"))
+    placed = F.transform("values", lambda x, i: i.cast("bigint"))
+    weights, _ = fit_designs(
+        rows.select("design", "target", placed.alias("keys"), "values"), ["vectors"], strengths, tolerance, MAX_ITERATIONS
     )
-    return {c: _as_model(w, train.sparkSession, features) for c, w in weights.items()}
+    found = weights.orderBy("key").collect()  # the vectors' width
+    return {c: VectorModel([r["weights"][j] for r in found], column) for j, c in enumerate(strengths)}
 
 
 def positive_probability(scored: DataFrame, out: str = "probability") -> DataFrame:
@@ -229,9 +181,10 @@ class Rung:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability``; its columns are otherwise kept."""
-        kept = df.columns
-        prepared = self.vectoriser.transform(df) if self.vectoriser is not None else df
-        return positive_probability(self.model.transform(prepared)).select(*kept, "probability")
+        if self.vectoriser is None:
+            return self.model.score(df)
+        prepared = self.vectoriser.transform(df)
+        return positive_probability(self.model.transform(prepared)).select(*df.columns, "probability")
 
 
 def candidate_specs() -> list[tuple[int, str, str, float]]:
@@ -246,57 +199,56 @@ _SEARCH = (
 )
 
 
+def _validation_scores(scored: DataFrame, names: list[str]) -> dict[str, float]:
+    """Macro-F1 of each candidate from ``(label, probabilities)``, candidates in the order of the array."""
+    each = F.array(*[F.struct(F.lit(n).alias("candidate"), F.col("probabilities")[i].alias("probability")) for i, n in enumerate(names)])
+    rows = threshold_metrics(scored.select(LABEL, F.inline(each)), ["candidate"]).collect()
+    return {r["candidate"]: float(r["macro_f1"]) for r in rows}
+
+
 def candidate_search(
     assigned: DataFrame, max_terms: int | None = None, tolerance: float = SOLVER_TOLERANCE
 ) -> Rung:
     """Fit every candidate on train, score validation, keep the best; test rows are not read.
 
-    Terms and vectors are built once per representation and written; the three values of C
-    are then fitted together, sharing every pass. ``fit_seconds`` is that joint time.
+    Every text is cut once, into one written term store; representations are selections of it. All
+    nine candidates are fitted together and scored in one pass over the validation rows.
+    ``fit_seconds`` of a candidate is its share: a ninth of the joint fit and its score's pass.
     """
     require_splits(validate_splits(assigned))
-    train = assigned.where(F.col(SPLIT) == "train").select(ID, TEXT, LABEL)
-    validation = assigned.where(F.col(SPLIT) == "validation").select(ID, TEXT, LABEL)
     started = time.perf_counter()
-    results, fitted = [], {}
-    for representation in BLOCKS:
-        built = time.perf_counter()
-        vectoriser = fit_vectoriser(train, representation, max_terms)
-        fit_on = materialise(
-            vectoriser.transform(train).select(LABEL, FEATURES),
-            f"train-{representation}",
-            FIT_PARTITION_BYTES,
-        )
-        check_on = materialise(
-            vectoriser.transform(validation).select(ID, LABEL, FEATURES),
-            f"validation-{representation}",
-            FIT_PARTITION_BYTES,
-        )
-        models = fit_logistic(fit_on, list(REGULARISATION), tolerance=tolerance)
-        seconds = time.perf_counter() - built
-        for index, name, _, c in [s for s in candidate_specs() if s[2] == representation]:
-            score = _macro_f1(positive_probability(models[c].transform(check_on)))
-            fitted[index] = (vectoriser, models[c])
-            results.append(
-                (index, name, representation, c, score, vectoriser.feature_count, seconds,
-                 "train_only")
-            )
+    rows = assigned.where(F.col(SPLIT).isin("train", "validation")).select(ID, TEXT, LABEL, SPLIT)
+    store = materialise(term_store(rows, [ID, LABEL, SPLIT]), "term-store", FIT_PARTITION_BYTES)
+    train = store.where(F.col(SPLIT) == "train")
+    table = term_table(document_frequencies(train), train.count(), max_terms)
+    models = fit_term_models(train, table, list(BLOCKS), list(REGULARISATION), tolerance)
+    scored = store.where(F.col(SPLIT) == "validation")
+    for name, model in models.items():
+        scored = model.probabilities(scored, f"_{name}")
+    specs = candidate_specs()
+    joined = F.concat(*[F.col(f"_{name}") for name in models]).alias("probabilities")
+    scores = _validation_scores(scored.select(LABEL, joined), [name for _, name, _, _ in specs])
+    seconds = (time.perf_counter() - started) / len(specs)
+    counts = feature_numbers(table)
+    results = [
+        (index, name, representation, c, scores[name], counts[representation], seconds, "train_only")
+        for index, name, representation, c in specs
+    ]
     search = select_candidate(assigned.sparkSession.createDataFrame(results, _SEARCH))
     chosen = search.where("selected").first()
-    vectoriser, model = fitted[chosen["candidate_index"]]
+    representation = chosen["representation"]
     return Rung(
         TFIDF_NAME,
-        model,
+        models[representation].only(list(REGULARISATION).index(chosen["C"])),
         time.perf_counter() - started,
-        vectoriser.feature_count + 1,
-        vectoriser,
+        counts[representation] + 1,
         search=search,
         metadata={
             "selected_candidate": chosen["candidate"],
             "selection_metric": "validation_macro_f1",
             "validation_macro_f1": repr(chosen["validation_macro_f1"]),
             "trained_on": "train_only",
-            "feature_count": str(vectoriser.feature_count),
+            "feature_count": str(counts[representation]),
             "candidate_count": str(len(results)),
         },
     )
@@ -304,12 +256,13 @@ def candidate_search(
 
 @dataclass(frozen=True)
 class EmbeddingSettings:
-    """Settings of the from-scratch rung; each is used."""
+    """Settings of the from-scratch rung; each is used. ``max_tokens`` bounds a text, if asked."""
 
+    # Epochs, patience and vocabulary size.
     epochs: int = 18
     patience: int = 4
-    max_tokens: int = 96
     vocabulary_size: int = 12_000
+    max_tokens: int | None = None
     vector_size: int = 64
     hidden: int = 32
     steps_per_epoch: int = 15
@@ -319,12 +272,12 @@ class EmbeddingSettings:
 class Pooler:
     """Standardised mean of learned token vectors as the feature column.
 
-    Texts are encoded by the train vocabulary (unknown tokens share one vector) and bounded;
+    Texts are encoded by the train vocabulary (unknown tokens share one vector), whole unless bounded;
     ``words`` has at most the configured vocabulary's size.
     """
 
     words: list[tuple[str, int]]
-    max_tokens: int
+    max_tokens: int | None
     model: object  # word vectors, then the scaler
 
     def encoded(self, df: DataFrame) -> DataFrame:
@@ -436,40 +389,23 @@ def embedding_rung(
     )
 
 
-@dataclass
-class GivenVectors:
-    """An ``array<float>`` column as features, with a trailing constant 1."""
-
-    column: str
-
-    def transform(self, df: DataFrame, out: str = FEATURES) -> DataFrame:
-        array = F.transform(F.col(self.column), lambda x: x.cast("double"))
-        return df.withColumn(out, array_to_vector(F.concat(array, F.array(F.lit(1.0)))))
-
-
 def pretrained_rung(
     assigned: DataFrame, column: str = "embedding", tolerance: float = SOLVER_TOLERANCE
 ) -> Rung:
     """Logistic regression on vectors someone else trained; strength chosen on validation."""
     started = time.perf_counter()
-    train = assigned.where(F.col(SPLIT) == "train")
-    validation = assigned.where(F.col(SPLIT) == "validation")
-    vectors = GivenVectors(column)
-    fit_on = materialise(
-        vectors.transform(train).select(LABEL, FEATURES), "vectors-train", FIT_PARTITION_BYTES
-    )
-    check_on = materialise(
-        vectors.transform(validation.select(LABEL, column)),
-        "vectors-validation",
-        FIT_PARTITION_BYTES,
-    )
-    models = fit_logistic(fit_on, list(REGULARISATION), tolerance=tolerance)
-    seconds = time.perf_counter() - started
-    results = []
-    for index, c in enumerate(REGULARISATION):
-        score = _macro_f1(positive_probability(models[c].transform(check_on)))
-        results.append((index, f"vectors_c{c:g}", "vectors", c, score,
-                        models[c].numFeatures - 1, seconds, "train_only"))
+    train = assigned.where(F.col(SPLIT) == "train").select(LABEL, column)
+    fit_on = materialise(train, "vectors-train", FIT_PARTITION_BYTES)
+    models = fit_vectors(fit_on, column, list(REGULARISATION), tolerance)
+    validation = assigned.where(F.col(SPLIT) == "validation").select(LABEL, column)
+    names = [f"vectors_c{c:g}" for c in REGULARISATION]
+    each = F.array(*[_probability(m.margin(F.transform(column, lambda x: x.cast("double")))) for m in models.values()])
+    scores = _validation_scores(validation.select(LABEL, each.alias("probabilities")), names)
+    seconds = (time.perf_counter() - started) / len(names)
+    results = [
+        (index, name, "vectors", c, scores[name], len(models[c].coefficients) - 1, seconds, "train_only")
+        for index, (name, c) in enumerate(zip(names, REGULARISATION))
+    ]
     search = select_candidate(assigned.sparkSession.createDataFrame(results, _SEARCH))
     chosen = search.where("selected").first()
     best = models[chosen["C"]]
@@ -477,8 +413,7 @@ def pretrained_rung(
         PRETRAINED_NAME,
         best,
         time.perf_counter() - started,
-        best.numFeatures,
-        vectors,
+        len(best.coefficients),
         search=search,
         metadata={
             "selected_candidate": chosen["candidate"],
@@ -490,7 +425,6 @@ def pretrained_rung(
 
 def save_rung(rung: Rung, path: str, spark: SparkSession) -> str:
     """Model, term space and audit metadata below ``path``."""
-    PipelineModel([rung.model]).write().overwrite().save(f"{path}/model")
     meta = {
         "model_name": rung.name,
         "family": rung.family,
@@ -499,20 +433,19 @@ def save_rung(rung: Rung, path: str, spark: SparkSession) -> str:
         "best_epoch": rung.best_epoch,
         **rung.metadata,
     }
-    if isinstance(rung.vectoriser, Vectoriser):
-        meta["representation"] = rung.vectoriser.representation
-        for block, counter in rung.vectoriser.counters.items():
-            counter.write().overwrite().save(f"{path}/terms-{block}")
-            weights = rung.vectoriser.idf[block]
-            table = pd.DataFrame({"place": np.arange(len(weights)), "idf": weights})
-            spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/idf-{block}")
-    elif isinstance(rung.vectoriser, Pooler):
+    if isinstance(rung.model, TermModel):
+        meta["representation"] = rung.model.representation
+        meta["intercepts"] = rung.model.intercepts
+        rung.model.table.write.mode("overwrite").parquet(f"{path}/terms")
+    elif isinstance(rung.model, VectorModel):
+        meta["vector_column"] = rung.model.column
+        meta["coefficients"] = rung.model.coefficients
+    else:
+        PipelineModel([rung.model]).write().overwrite().save(f"{path}/model")
         rung.vectoriser.model.write().overwrite().save(f"{path}/vectors")
         meta["max_tokens"] = rung.vectoriser.max_tokens
         spark.createDataFrame(rung.vectoriser.words, "token string, token_id int").write.mode(
             "overwrite").parquet(f"{path}/words")
-    elif isinstance(rung.vectoriser, GivenVectors):
-        meta["vector_column"] = rung.vectoriser.column
     line = json.dumps(meta, sort_keys=True, allow_nan=False)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{path}/metadata"
@@ -525,18 +458,14 @@ def load_rung(path: str, expected_name: str, spark: SparkSession) -> Rung:
     meta = json.loads(spark.read.text(f"{path}/metadata").first()["value"])
     if meta.get("model_name") != expected_name:
         raise IntegrityError(f"{path} holds {meta.get('model_name')!r}, not {expected_name!r}")
-    model = PipelineModel.load(f"{path}/model").stages[0]
-    vectoriser: object
+    model: object
+    vectoriser = None
     if "representation" in meta:
-        counters, idf = {}, {}
-        for block in BLOCKS[meta["representation"]]:
-            counters[block] = CountVectorizerModel.load(f"{path}/terms-{block}")
-            table = spark.read.parquet(f"{path}/idf-{block}").toPandas()
-            idf[block] = table.sort_values("place")["idf"].to_numpy()
-        vectoriser = Vectoriser(meta["representation"], counters, idf)
-    elif "vector_column" in meta:
-        vectoriser = GivenVectors(meta["vector_column"])
+        model = TermModel(meta["representation"], spark.read.parquet(f"{path}/terms"), meta["intercepts"])
+    elif "coefficients" in meta:
+        model = VectorModel(meta["coefficients"], meta["vector_column"])
     else:
+        model = PipelineModel.load(f"{path}/model").stages[0]
         table = spark.read.parquet(f"{path}/words").orderBy("token_id").collect()
         words = [(r.token, r.token_id) for r in table]
         vectoriser = Pooler(words, meta["max_tokens"], PipelineModel.load(f"{path}/vectors"))

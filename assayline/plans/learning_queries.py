@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.functions.tokens import with_word_ngrams
 from assayline.operators import learn, score
 from assayline.operators.split import apply_split, stratified_split
+from assayline.operators.terms import with_idf, word_key
 from assayline.plans import text_queries, views
 from assayline.plans.run import run_benchmark as run
 from assayline.schema import ID, LABEL, SPLIT, SPLIT_NAMES
@@ -27,10 +29,8 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
 def logistic_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of the regularised fit of the event labels on the event value, intercept last."""
     rows = views.scored_wide(spark, folder)
-    vectors = learn.GivenVectors("value").transform(
-        rows.select("label", F.array(F.col("value") / 100).alias("value"))
-    )
-    model = learn.fit_logistic(vectors, [1.0], tolerance=1e-9)[1.0]
+    vectors = rows.select("label", F.array(F.col("value") / 100).alias("value"))
+    model = learn.fit_vectors(vectors, "value", [1.0], tolerance=1e-9)[1.0]
     weights = [(i, round(float(w), 6)) for i, w in enumerate(model.coefficients)]
     return spark.createDataFrame(weights, "place int, weight double")
 
@@ -68,31 +68,34 @@ def pretrained_rung(spark: SparkSession, folder: str) -> DataFrame:
     return _by_rule(search).select("candidate_index", "candidate", "C", "feature_count", "trained_rows", "by_rule")
 
 
-def _unigram_rung(assigned: DataFrame) -> learn.Rung:
-    train = assigned.where(F.col(SPLIT) == "train").select(ID, "text", LABEL)
-    vectoriser = learn.fit_vectoriser(train, "word_unigram")
-    fit_on = materialise(
-        vectoriser.transform(train), "unigram-vectors", learn.FIT_PARTITION_BYTES
+#: Intercept and weights that SQL can state as well.
+_INTERCEPT = 0.25
+
+
+def _stated_model(train: DataFrame) -> learn.TermModel:
+    """The words and pairs of the train rows, with idf from them and weights stated by a formula."""
+    cut = with_word_ngrams(train.select("text"), "text", "terms", 1, 2)
+    terms = cut.select(F.explode_outer(F.array_distinct("terms")).alias("term")).where("term is not null")
+    counted = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = (F.pmod(F.length("term") * 5 + F.instr("term", "e"), F.lit(9)) - 4) / 2.0
+    marked = counted.select(
+        F.when(F.contains("term", F.lit(" ")), "b").otherwise("u").alias("kind"), word_key(F.col("term")).alias("key"),
+        "df", (~F.contains("term", F.lit(" "))).alias("alone"), F.lit(True).alias("joint"), F.array(weight).alias("weights"),
     )
-    model = learn.fit_logistic(fit_on, [1.0])[1.0]
-    return learn.Rung(learn.TFIDF_NAME, model, 0.0, vectoriser.feature_count + 1, vectoriser)
+    return learn.TermModel("word_bigram", materialise(with_idf(marked, train.count()), "stated"), [_INTERCEPT])
 
 
 def score_batch(spark: SparkSession, folder: str) -> DataFrame:
-    """A model of the labelled documents scores every chat turn."""
-    rung = _unigram_rung(_documents(spark, folder))
-    scored = score.score_batch(views.chat_input(spark, folder), rung)
-    p = F.col("positive_probability")
-    agrees = (F.col("predicted_label") == (p >= 0.5).cast("int")) & (
-        F.col("predicted_sentiment") == F.when(p >= 0.5, "positive").otherwise("negative")
-    )
-    return scored.select("sentence_id", "model", p.between(0, 1).alias("in_range"), agrees.alias("agrees"))
+    """A model over the terms of the train split, of stated weights, scores every chat turn."""
+    model = _stated_model(_documents(spark, folder).where(F.col(SPLIT) == "train"))
+    rung = learn.Rung(learn.TFIDF_NAME, model, 0.0, model.table.count() + 1)
+    return views.rounded(score.score_batch(views.chat_input(spark, folder), rung), 6)
 
 
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of a saved and reloaded model next to the original's."""
+    """Scores of the selected model, saved and reloaded, next to the original's."""
     assigned = _documents(spark, folder)
-    rung = _unigram_rung(assigned)
+    rung = learn.candidate_search(assigned)
     path = fresh_path(spark, "model")
     learn.save_rung(rung, path, spark)
     again = learn.load_rung(path, learn.TFIDF_NAME, spark)
@@ -187,7 +190,22 @@ ORACLES: dict[str, str] = {
     "as bigint) as feature_count, 'train_only' as trained_rows, true as by_rule from (values "
     "(0, 'vectors_c0.5', cast(0.5 as double)), (1, 'vectors_c1', 1.0), (2, 'vectors_c2', 2.0)) "
     "c(candidate_index, candidate, C)",
-    "score_batch": "select conv_id || '-' || turn as sentence_id, 'tfidf_logistic_regression' as model, "
-    "true as in_range, true as agrees from conversations",
+    "score_batch": views.sql(
+        "split",
+        f"""select sentence_id, round(p, 6) as positive_probability, cast(p >= 0.5 as int) as predicted_label,
+          case when p >= 0.5 then 'positive' else 'negative' end as predicted_sentiment,
+          'tfidf_logistic_regression' as model
+        from (select c.sentence_id, 1 / (1 + exp(-({_INTERCEPT} + coalesce(m.margin, 0)))) as p
+          from chat c left join margins m on c.sentence_id = m.sentence_id)""",
+        text_queries._TRAIN,
+        "chat as (select conv_id || '-' || turn as sentence_id, text from conversations)",
+        text_queries._word_terms("train", "train_w"),
+        text_queries._word_terms("chat", "chat_w"),
+        """idf as (select term, ln((1 + (select count(*) from train)) / cast(1 + count(distinct sentence_id) as double)) + 1
+          as idf, (((length(term) * 5 + instr(term, 'e')) % 9) - 4) / 2.0 as weight from train_w group by term)""",
+        """margins as (select sentence_id, sum(w * weight) / sqrt(sum(w * w)) as margin
+          from (select sentence_id, (1 + ln(count(*))) * any_value(idf) as w, any_value(weight) as weight
+            from chat_w join idf using (term) group by sentence_id, term) group by sentence_id)""",
+    ),
     "model_roundtrip": views.sql("split", "select sentence_id, true as same from assigned"),
 }

@@ -6,10 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from assayline.operators import features, learn, score
+from assayline.operators import features, learn, score, solver, terms
 from assayline.plans.run import run_benchmark
 from assayline.schema import IntegrityError
 from assayline.sources import tables
@@ -44,40 +43,99 @@ def rung(assigned):
     return learn.candidate_search(assigned)
 
 
+def _newton(x, y, c):
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # on |w|^2 / 2 + C * sum(log loss)
+        p = 1 / (1 + np.exp(-x @ w))
+        hessian = np.eye(x.shape[1]) + c * (x * (p * (1 - p))[:, None]).T @ x
+        w -= np.linalg.solve(hessian, w + c * x.T @ (p - y))
+    return w
+
+
 def test_logistic_equals_direct_solve(spark):
     rng = np.random.default_rng(0)
     x = np.hstack([rng.normal(size=(80, 5)), np.ones((80, 1))])
     y = (x[:, 0] + rng.normal(size=80) > 0.5).astype(int)
-    for c in (0.5, 2.0):
-        w = np.zeros(6)
-        for _ in range(50):  # Newton on |w|^2 / 2 + C * sum(log loss)
-            p = 1 / (1 + np.exp(-x @ w))
-            hessian = np.eye(6) + c * (x * (p * (1 - p))[:, None]).T @ x
-            w -= np.linalg.solve(hessian, w + c * x.T @ (p - y))
-        frame = spark.createDataFrame(
-            [(str(i), int(y[i]), x[i].tolist()) for i in range(80)],
-            "sentence_id string, label int, a array<double>",
-        ).withColumn("features", array_to_vector("a"))
-        model = learn.fit_logistic(frame.repartition(3), [c, 1.0], tolerance=1e-10)[c]
-        assert np.allclose(model.coefficients.toArray(), w, atol=1e-6)
-
-
-def test_vectors_hold_the_relational_weights(assigned):
+    frame = spark.createDataFrame([(int(y[i]), x[i, :-1].tolist()) for i in range(80)], "label int, a array<double>")
+    models = learn.fit_vectors(frame.repartition(3), "a", [0.5, 2.0], tolerance=1e-9)
+    for c, model in models.items():
+        assert np.allclose(model.coefficients, _newton(x, y, c), atol=1e-6)
+
+
+def _sparse_rows(spark, features, rows=300, seed=5):
+    """Rows of ten features each, and the dense matrix of them with the constant."""
+    rng = np.random.default_rng(seed)
+    x = np.zeros((rows, features + 1))
+    for row in x:
+        row[rng.choice(features, 10, replace=False)] = rng.random(10)
+    x[:, -1] = 1.0
+    y = (x @ rng.normal(size=features + 1) * 2 + rng.normal(size=rows) > 0).astype(float)
+    data = [("d", float(t), np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r, t in zip(x, y)]
+    return spark.createDataFrame(data, solver.ROWS), x, y
+
+
+def _objective(x, y, w, c):
+    margin = x @ w
+    return w @ w / 2 + c * np.logaddexp(0, np.where(y == 1, -margin, margin)).sum()
+
+
+def test_default_tolerance_is_near_a_tight_solve(spark, monkeypatch):
+    """Weights within 1 % of their length, the objective within 1e-5 of its least value; ranges and
+    partitions change nothing."""
+    monkeypatch.setattr(solver, "RANGE_FEATURES", 40)
+    rows, x, y = _sparse_rows(spark, 100, 150)
+    for parts in (1, 5):
+        weights, _ = solver.fit_designs(rows.repartition(parts), ["d"], [0.5, 2.0], learn.SOLVER_TOLERANCE, 2_000)
+        found = np.array([r["weights"] for r in weights.orderBy("key").collect()]).T
+        for w, c in zip(found, (0.5, 2.0)):
+            tight = _newton(x, y, c)
+            least = _objective(x, y, tight, c)
+            assert np.linalg.norm(w - tight) < 0.01 * np.linalg.norm(tight)
+            assert _objective(x, y, w, c) - least < 1e-5 * least
+
+
+def test_the_driver_gets_numbers_only(spark, monkeypatch):
+    """What comes back in a pass is as large for many features and partitions as for few."""
+    sizes = {}
+    added = solver._added
+    for features, parts in ((50, 2), (2_000, 16)):
+        seen = []
+        monkeypatch.setattr(solver, "_added", lambda a, b, seen=seen: seen.append(added(a, b)) or seen[-1])
+        rows, _, _ = _sparse_rows(spark, features, 100)
+        solver.fit_designs(rows.repartition(parts), ["d"], [1.0], 1e-2, 20)
+        sizes[features] = max(sum(np.size(v) for v in found.values()) for found in seen if found)
+    assert sizes[50] == sizes[2_000] < 150
+
+
+def test_term_weights_are_the_relational_weights(spark, assigned):
+    train = assigned.where("split = 'train'")
+    store, table = learn.fit_term_space(train)
+    rows = terms.design_rows(store, table, ["word_unigram", "word_char"], "label")
+    for name in ("word_unigram", "word_char"):
+        got = sorted(sorted(np.round(r["values"], 9)) for r in rows.where(F.col("design") == name).collect())
+        long = features.tfidf_weights(train, train, name).groupBy("sentence_id").agg(F.collect_list("weight").alias("w"))
+        assert got == sorted(sorted(np.round([*r["w"], 1.0], 9)) for r in long.collect())
+    counts = {r.representation: r.feature_count for r in features.feature_counts(train).collect()}
+    assert counts == terms.feature_numbers(table)
+    bounded = learn.fit_term_space(train, "u", max_terms=3)[1]
+    item = spark.range(1).select(terms.word_key(F.lit("item")).alias("key")).first()["key"]
+    assert bounded.count() == 3 and bounded.where(F.col("key") == item).count() == 1
+    other = [terms.word_key(F.lit(f"{s}word{i}")) for s in ("validation", "test") for i in range(4)]
+    keys = spark.range(1).select(F.explode(F.array(*other)).alias("key"))
+    assert table.join(keys, "key").count() == 0
+
+
+def test_any_number_of_shards_gives_the_same(spark, assigned, monkeypatch):
     train = assigned.where("split = 'train'")
-    model = learn.fit_vectoriser(train, "word_char")
-    vectors = model.transform(assigned.select("sentence_id", "text"))
-    got = {r["sentence_id"]: sorted(np.round(r["v"], 9)) for r in vectors.select(
-        "sentence_id", F.filter(vector_to_array("features"), lambda x: x != 0).alias("v")).collect()}
-    table = features.tfidf_weights(assigned, train, "word_char")
-    want = {r["sentence_id"]: sorted(np.round([*r["w"], 1.0], 9)) for r in table.groupBy(
-        "sentence_id").agg(F.collect_list("weight").alias("w")).collect()}
-    assert got == want
-    total = features.feature_counts(train).where("representation = 'word_char'").first()
-    assert total["feature_count"] == model.feature_count
-    bounded = learn.fit_vectoriser(train, "word_unigram", max_terms=3)
-    assert bounded.feature_count == 3 and "item" in bounded.counters["w"].vocabulary
-    words = learn.fit_vectoriser(train, "word_unigram").counters["w"].vocabulary
-    assert not any(w.startswith(("validationword", "testword")) for w in words)
+    whole = {}
+    for size in (4_000_000, 7):
+        monkeypatch.setattr(terms, "SHARD_ROWS", size)
+        table = features.tfidf_weights(assigned, train, "word_bigram").collect()
+        store, space = learn.fit_term_space(train, "ub")
+        model = learn.fit_term_models(store, space, ["word_bigram"], [1.0, 2.0])["word_bigram"]
+        scored = model.probabilities(terms.term_store(assigned, ["sentence_id"], "ub"), "p").collect()
+        whole[size] = ({(r[0], r[2]): round(r[3], 9) for r in table}, {r["sentence_id"]: np.round(r["p"], 7).tolist() for r in scored})
+    assert whole[7] == whole[4_000_000]
 
 
 def test_search_has_nine_candidates_and_one_winner(rung, assigned):
@@ -92,10 +150,7 @@ def test_test_rows_do_not_influence_selection(spark, rung):
     other = learn.candidate_search(spark.createDataFrame(_rows(" marker"), SCHEMA))
     table = lambda r: [tuple(x) for x in r.search.drop("fit_seconds").orderBy("candidate_index").collect()]
     assert table(other) == table(rung)
-    # Equally frequent terms may change places between fits; their weights may not.
-    weights = lambda r: dict(zip(
-        [t for c in r.vectoriser.counters.values() for t in c.vocabulary],
-        r.model.coefficients.toArray()))
+    weights = lambda r: {x["key"]: x["weights"][0] for x in r.model.table.collect()}
     assert weights(other) == pytest.approx(weights(rung), abs=1e-9)
 
 

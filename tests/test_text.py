@@ -139,20 +139,15 @@ def test_vocabulary_and_encoding(spark):
     assert pad_tokens is not None
 
 
-def test_weights_agree_whatever_the_join(spark):
-    """Broadcast idf and the split into frequent and rare terms give the same weights."""
-    data = [(str(i), f"common w{i} w{i % 3}") for i in range(12)]
+def test_weights_move_no_row(spark):
+    """Neither the rows nor their terms are shuffled once idf is there."""
+    data = [(str(i), f"common w{i} w{i % 3}") for i in range(12)] + [("x", None), ("y", "")]
     rows = spark.createDataFrame(data, "sentence_id string, text string")
-    terms = features.representation_terms(rows, "word_bigram")
-    idf = features.fit_idf(terms, rows).cache()
-    as_set = lambda f: {(r[0], r[2], round(r[3], 9)) for r in f.collect()}
-    whole = as_set(features.weigh_terms(terms, idf))
-    old = features.HOT_SHARE
-    features.HOT_SHARE = 0.05
-    try:
-        assert as_set(features.weigh_terms(terms, idf, broadcast_rows=0)) == whole
-    finally:
-        features.HOT_SHARE = old
+    idf = features.fit_idf(rows, "word_char")
+    weighed = features.weigh_terms(rows, idf, "word_char")
+    assert "Exchange" not in weighed._jdf.queryExecution().executedPlan().toString()
+    norms = weighed.groupBy("sentence_id", "block").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    assert len(norms) == 24 and all(abs(r.n - 1) < 1e-12 for r in norms)
 
 
 def test_encoding_is_the_same_on_both_sides_of_the_size_switch(spark):
