@@ -13,7 +13,7 @@ from assayline.functions.probability import (
     sentiment,
     softmax_positive,
 )
-from assayline.operators import compare, metrics, uncertainty
+from assayline.operators import compare, metrics, resampling, uncertainty
 from assayline.operators.quality import probability_sanity as sanity
 from assayline.plans import views
 from assayline.plans.views import rounded, sql
@@ -116,6 +116,46 @@ def custom_metric_ci(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(uncertainty.bootstrap_interval(views.scored(spark, folder), ["model"], chosen), "point")
 
 
+_NORMAL = 2 * 1.959964
+
+
+def _normal_widths(rows: DataFrame) -> DataFrame:
+    """Widths of the normal intervals of the means, and of DeLong's of the ROC AUC."""
+    cells = metrics.ranked_cells(metrics.score_cells(rows, ["model"]), ["model"], metrics.probability_edges(rows))
+    p, pos, neg = F.col("probability"), F.col("pos"), F.col("neg")
+    above = (F.col("neg_below") + neg / 2) / F.col("negatives")
+    below = (F.col("positives") - F.col("pos_below") - pos / 2) / F.col("positives")
+    sums = [F.max("positives").alias("p"), F.max("negatives").alias("n"), F.sum(pos * above).alias("a1"),
+            F.sum(pos * above * above).alias("a2"), F.sum(neg * below * below).alias("a3")]
+    for name, mean in resampling.MEANS.items():
+        one, zero = mean(p)
+        sums += [F.sum(pos * one + neg * zero).alias(f"{name}_1"), F.sum(pos * one * one + neg * zero * zero).alias(f"{name}_2")]
+    found = cells.groupBy("model").agg(*sums)
+    auc, count = F.col("a1") / F.col("p"), F.col("p") + F.col("n")
+    spread = (F.col("a2") / F.col("p") - auc * auc) / F.col("p") + (F.col("a3") / F.col("n") - auc * auc) / F.col("n")
+    widths = {"roc_auc": F.sqrt(spread)}
+    for name in resampling.MEANS:
+        mean = F.col(f"{name}_1") / count
+        widths[name] = F.sqrt((F.col(f"{name}_2") / count - mean * mean) / count)
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), (w * _NORMAL).alias("normal_width")) for n, w in widths.items()])
+    return found.select("model", F.inline(each))
+
+
+def probability_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Intervals of metrics of the probabilities: the points, the widths by formula where there is one,
+    how many times as wide (in halves) the bootstrap's are, and whether those lie around the point. (A
+    calibration error near 0 only grows in resamples.)"""
+    rows = views.scored(spark, folder)
+    found = resampling.probability_intervals(rows, ["model"])
+    width, middle = F.col("ci_high") - F.col("ci_low"), (F.col("ci_high") + F.col("ci_low")) / 2
+    return found.join(_normal_widths(rows), ["model", "metric"], "left").select(
+        "model", "metric", F.round("point", 9).alias("point"), "used_iterations",
+        F.round("normal_width", 9).alias("normal_width"),
+        (F.round(2 * width / F.col("normal_width")) / 2).alias("times_as_wide"),
+        F.when(F.col("normal_width").isNotNull(), F.abs(middle - F.col("point")) < width / 4).alias("centred"),
+    )
+
+
 def prediction_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Model a is complete; b lacks errors, repeats clicks and files views elsewhere; c has no
     test predictions at all."""
@@ -233,6 +273,7 @@ QUERIES = {
     "custom_metric": custom_metric,
     "custom_metric_ci": custom_metric_ci,
     "bootstrap_ci": bootstrap_ci,
+    "probability_intervals": probability_intervals,
     "paired_bootstrap": paired_bootstrap,
     "paired_deltas": lambda s, f: rounded(uncertainty.paired_deltas(_cells(s, f))),
     "prediction_alignment": prediction_alignment,
@@ -467,6 +508,34 @@ ORACLES = {
              null as normal_width, true as brackets from ({_counts('model')})
            union all select model, 'accuracy', round({_ACCURACY}, 9), 1000, true, true from ({_counts('model')})""",
     ),
+    "probability_intervals": sql(
+        "scored",
+        f"""select f.model, m.metric, round(m.point, 9) as point, 1000 as used_iterations,
+          round({_NORMAL} * m.sd, 9) as normal_width, case when m.sd is not null then 1.0 end as times_as_wide,
+          case when m.sd is not null then true end as centred
+        from facts f, lateral (values
+          ('roc_auc', auc, sqrt((a2 / pp - auc * auc) / pp + (a3 / nn - auc * auc) / nn)),
+          ('average_precision', ap, null),
+          ('brier_score', b1 / (pp + nn), sqrt((b2 / (pp + nn) - power(b1 / (pp + nn), 2)) / (pp + nn))),
+          ('log_loss', l1 / (pp + nn), sqrt((l2 / (pp + nn) - power(l1 / (pp + nn), 2)) / (pp + nn))),
+          ('ece_10_bin', (select e.ece from eces e where e.model = f.model), null)) m(metric, point, sd)""",
+        f"""cells as (select model, probability as p, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg,
+             -ln(greatest({EPSILON!r}, least(1 - {EPSILON!r}, probability))) as one,
+             -ln(greatest({EPSILON!r}, least(1 - {EPSILON!r}, 1 - probability))) as zero
+           from scored group by all)""",
+        """ranked as (select *, sum(pos) over whole as pp, sum(neg) over whole as nn,
+             coalesce(sum(pos) over below, 0) as pb, coalesce(sum(neg) over below, 0) as nb
+           from cells window whole as (partition by model),
+             below as (partition by model order by p rows between unbounded preceding and 1 preceding))""",
+        """facts as (select model, any_value(pp) as pp, any_value(nn) as nn,
+             sum(pos * (nb + neg / 2.0)) / any_value(pp * nn) as auc,
+             sum(pos * power((nb + neg / 2.0) / nn, 2)) as a2, sum(neg * power((pp - pb - pos / 2.0) / pp, 2)) as a3,
+             sum(pos / pp * ((pp - pb) / ((pp - pb) + (nn - nb)))) as ap,
+             sum(pos * power(1 - p, 2) + neg * p * p) as b1, sum(pos * power(1 - p, 4) + neg * power(p, 4)) as b2,
+             sum(pos * one + neg * zero) as l1, sum(pos * one * one + neg * zero * zero) as l2
+           from ranked group by model)""",
+        f"eces as ({_ece('model')})",
+    ),
     "custom_metric_ci": sql(
         "scored",
         "select model, 'youden' as metric, round(tp / cast(tp + fn as double) + tn / cast(tn + fp as double) - 1, 9) "

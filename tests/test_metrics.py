@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayline.operators import compare, metrics, quality, uncertainty
+from assayline.operators import compare, metrics, quality, resampling, uncertainty
 from assayline.schema import IntegrityError
 
 COLUMNS = "sentence_id string, source string, split string, model string, label int, probability double"
@@ -202,3 +202,49 @@ def test_nan_scores_are_never_selected(spark):
     assert [r.candidate_index for r in compare.select_candidate(table).where("selected").collect()] == [1]
     models = table.selectExpr("cast(candidate_index as string) as model", "validation_macro_f1")
     assert compare.champion(models).first()["model"] == "1"
+
+
+def _metric_values(p, y):
+    """ROC AUC, average precision, Brier score, log loss, calibration error and a mean, from the rows."""
+    order = np.argsort(p)
+    cells, at = np.unique(p, return_inverse=True)
+    pos, neg = np.bincount(at, y), np.bincount(at, 1 - y)
+    below = np.cumsum(neg) - neg
+    tp, fp = np.cumsum(pos[::-1])[::-1], np.cumsum(neg[::-1])[::-1]
+    bins = np.searchsorted(np.linspace(0, 1, 11)[1:-1], p)
+    gap = sum(abs(p[bins == b].sum() - y[bins == b].sum()) for b in range(10))
+    assert len(order) == len(p)
+    return {
+        "roc_auc": (pos * (below + neg / 2)).sum() / (pos.sum() * neg.sum()),
+        "average_precision": (pos / pos.sum() * tp / (tp + fp)).sum(),
+        "brier_score": ((p - y) ** 2).mean(), "ece_10_bin": gap / len(p), "hinge": np.where(y == 1, 1 - p, 3 * p).mean(),
+    }
+
+
+def test_intervals_of_any_metric_are_those_of_a_row_bootstrap(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for group, n in (("a", 500), ("b", 200)):
+        p = rng.integers(1, 60, n) / 60
+        rows += [(group, float(x), int(rng.random() < 0.2 + 0.6 * x)) for x in p]
+    rows += [("one class", 0.5, 1)] * 5
+    scored = spark.createDataFrame(rows, "model string, probability double, label int")
+    means = {"brier_score": resampling.MEANS["brier_score"], "hinge": lambda p: (1 - p, 3 * p)}
+    found = {}
+    for edges in ([], [0.2, 0.21, 0.8]):
+        table = resampling.probability_intervals(scored.repartition(3), ["model"], means, 400, edges=edges)
+        found[len(edges)] = {(r.model, r.metric): (r.point, r.ci_low, r.ci_high) for r in table.collect()}
+    assert found[0].keys() == found[3].keys() and len(found[0]) == 10  # ranges change nothing
+    for key, values in found[0].items():
+        assert values == pytest.approx(found[3][key], abs=1e-9)
+    for group in "ab":
+        p, y = (np.array(x) for x in zip(*[(r[1], r[2]) for r in rows if r[0] == group]))
+        drawn = []
+        for _ in range(400):
+            at = rng.integers(0, len(p), len(p))
+            drawn.append(_metric_values(p[at], y[at]))
+        for metric, value in _metric_values(p, y).items():
+            point, low, high = found[0][group, metric]
+            a, b = np.percentile([d[metric] for d in drawn], [2.5, 97.5])
+            assert point == pytest.approx(value, abs=1e-9)
+            assert 0.8 < (high - low) / (b - a) < 1.25 and abs(low + high - a - b) / 2 < 0.25 * (b - a)
