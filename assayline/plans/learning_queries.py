@@ -13,6 +13,7 @@ from assayline.plans import text_queries, views
 from assayline.plans.run import run_benchmark as run
 from assayline.schema import ID, LABEL, SPLIT, SPLIT_NAMES
 from assayline.session import fresh_path, materialise, table
+from assayline.sources.tables import publish
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,6 +93,16 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
     return views.rounded(score.score_batch(views.chat_input(spark, folder), rung), 6)
 
 
+def score_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The chat turns as CSV, scored into a CSV table by the stated model, saved and named."""
+    model = _stated_model(_documents(spark, folder).where(F.col(SPLIT) == "train"))
+    rung = learn.Rung(learn.TFIDF_NAME, model, 0.0, model.table.count() + 1)
+    saved = learn.save_rung(rung, fresh_path(spark, "model"), spark)
+    source = publish(views.chat_input(spark, folder), fresh_path(spark, "turns"), "csv")
+    target = score.score_file(spark, source, fresh_path(spark, "scores"), saved, rung.name)
+    return views.rounded(score.read_scores(spark, target), 6)
+
+
 def model_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of the selected model, saved and reloaded, next to the original's."""
     assigned = _documents(spark, folder)
@@ -138,6 +149,7 @@ QUERIES = {
     "embedding_rung": embedding_rung,
     "pretrained_rung": pretrained_rung,
     "score_batch": score_batch,
+    "score_file": score_file,
     "model_roundtrip": model_roundtrip,
     "run_benchmark": run_benchmark,
 }
@@ -209,3 +221,5 @@ ORACLES: dict[str, str] = {
     ),
     "model_roundtrip": views.sql("split", "select sentence_id, true as same from assigned"),
 }
+# the same scores, by way of files
+ORACLES["score_file"] = ORACLES["score_batch"]

@@ -176,6 +176,63 @@ def test_score_batch(spark, rung):
         score.score_batch(rows, learn.Rung("nobody", None, 0.0, 0))
 
 
+def test_score_file_with_given_and_default_ids(spark, rung, tmp_path):
+    saved = learn.save_rung(rung, str(tmp_path / "model"), spark)
+    source, target = tmp_path / "in.csv", str(tmp_path / "scores")
+    texts = ["lovely great", 'awful, "poor"\nworse', "ünknown"]
+    cells = ['"' + t.replace('"', '""') + '"' for t in texts]
+    batch = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sentence_id string, text string")
+    expected = [tuple(r)[1:] for r in score.score_batch(batch, rung).orderBy("sentence_id").collect()]
+    for ids, head in (([f"input_{i:06d}" for i in range(3)], "text"), (["c", "b", "a"], "note,text,sentence_id")):
+        lines = cells if head == "text" else [f"{c[1]},{c},{i}" for c, i in zip(cells, ids)]
+        source.write_text("\n".join([head, *lines]) + "\n")
+        assert score.score_file(spark, str(source), target, saved, rung.name) == target
+        rows = {r[0]: tuple(r)[1:] for r in score.read_scores(spark, target).collect()}
+        assert list(rows) and set(rows) == set(ids)
+        for i, row in zip(ids, expected):
+            assert rows[i][0] == pytest.approx(row[0], abs=1e-12) and rows[i][1:] == row[1:]
+    with pytest.raises(FileExistsError):
+        score.score_file(spark, str(source), target, saved, rung.name, replace=False)
+
+
+@pytest.mark.parametrize("body, rule", [
+    ("sentence_id,text\n", "non_empty"),
+    ("sentence_id,text\na,x\nb, \n", "text_present"),
+    ("sentence_id,text\na,x\nb,\n", "text_present"),
+    ("sentence_id,text\na,x\n,y\n", "id_present"),
+    ("sentence_id,text\na,x\nb,y\na,z\n", "id_unique"),
+    ("sentence_id,body\na,x\n", "no column 'text'"),
+])
+def test_score_file_publishes_nothing_of_a_bad_input(spark, rung, tmp_path, body, rule):
+    saved = learn.save_rung(rung, str(tmp_path / "model"), spark)
+    source, folder = tmp_path / "in.csv", tmp_path / "out"
+    target = str(folder / "scores")
+    source.write_text("text\nlovely great\n")
+    score.score_file(spark, str(source), target, saved, rung.name, "csv")
+    before = score.read_scores(spark, target).collect()
+    source.write_text(body)
+    with pytest.raises(ValueError, match=rule):
+        score.score_file(spark, str(source), target, saved, rung.name)
+    assert score.read_scores(spark, target).collect() == before
+    assert [p.name for p in folder.iterdir() if not p.name.startswith(".")] == ["scores"]
+    with pytest.raises(ValueError, match="unknown model"):
+        score.score_file(spark, str(source), target, saved, "nobody")
+
+
+def test_score_file_with_given_vectors(spark, tmp_path):
+    name = learn.PRETRAINED_NAME
+    saved = learn.save_rung(learn.Rung(name, learn.VectorModel([2.0, -1.0, 0.5], "embedding"), 0.0, 3), str(tmp_path / "m"), spark)
+    rows = spark.createDataFrame([("a", "x", [1.0, 1.0]), ("b", "y", [0.0, 3.0])], "sentence_id string, text string, embedding array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    target = score.score_file(spark, str(tmp_path / "in"), str(tmp_path / "out"), saved, name, "parquet")
+    got = {r[0]: r[1] for r in score.read_scores(spark, target, "parquet").collect()}
+    assert got == pytest.approx({"a": 1 / (1 + np.exp(-1.5)), "b": 1 / (1 + np.exp(2.5))})
+    rows.select("sentence_id", "text", F.when(F.col("sentence_id") == "a", F.col("embedding")).alias("embedding")).write.parquet(str(tmp_path / "holes"))
+    with pytest.raises(PySparkException, match="invalid probability"):
+        score.score_file(spark, str(tmp_path / "holes"), str(tmp_path / "none"), saved, name, "parquet")
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("none")]
+
+
 def test_score_with_any_python_model(spark):
     rows = spark.createDataFrame([("a", "xx"), ("b", "x")], "sentence_id string, text string")
 
