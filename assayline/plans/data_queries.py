@@ -108,6 +108,26 @@ def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return files.verify_checksums(found, manifest)
 
 
+_FILE_ROWS = 500
+
+
+def stored_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """Write the documents as files of some hundred lines each, then hash the files where they lie.
+
+    Files beyond a megabyte are hashed chunk by chunk, the others as one value.
+    """
+    path = fresh_path(spark, "files")
+    rows = table(spark, folder, "documents").select(
+        F.floor(F.col("doc_id") / _FILE_ROWS).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value")
+    )
+    cores = spark.sparkContext.defaultParallelism
+    dealt = rows.repartition(4 * cores, "file").sortWithinPartitions("file", "doc_id")
+    dealt.select("file", "value").write.partitionBy("file").option("lineSep", "\n").text(path)
+    found = files.stored_checksums(spark, path, "*.txt", whole_bytes=1 << 20)
+    number = F.regexp_extract("path", "file=([0-9]+)", 1).cast("bigint")
+    return found.select(number.alias("file"), "length", "actual_sha256")
+
+
 def _zip_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for number, batch in enumerate(batches):
         buffer = io.BytesIO()
@@ -282,6 +302,7 @@ QUERIES = {
     "read_prepared": lambda s, f: _write_and_read(s, f, "csv"),
     "strict_json_rows": strict_json_rows,
     "table_digest": table_digest,
+    "stored_checksums": stored_checksums,
     "artifact_bytes": artifact_bytes,
     "run_manifest": run_manifest,
 }
@@ -536,6 +557,10 @@ select case when doc_id % 10 = 2 then 'absent/' || doc_id else cast(doc_id as va
   case when doc_id % 10 <> 2 then sha256(text) end as actual_sha256,
   case doc_id % 10 when 0 then 'mismatch' when 1 then 'malformed' when 2 then 'missing' else 'ok' end as status
 from documents""",
+    "stored_checksums": f"""
+select cast(doc_id // {_FILE_ROWS} as bigint) as file, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as length,
+  sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as actual_sha256
+from documents group by all""",
     "artifact_bytes": "select cast(sum(strlen(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) + 1) as bigint) "
     "as artifact_bytes from documents",
     "strict_json_rows": sql(
