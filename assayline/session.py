@@ -106,10 +106,3 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
-def written_broadcast(df: DataFrame, name: str, max_rows: int) -> DataFrame:
-    """Like ``checked_broadcast`` for tables too long to pass through Python: the frame is
-    written once, counted, and broadcast if it is within ``max_rows``."""
-    written = materialise(df, name)
-    return F.broadcast(written) if written.count() <= max_rows else written
