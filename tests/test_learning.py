@@ -130,6 +130,7 @@ def test_any_number_of_shards_gives_the_same(spark, assigned, monkeypatch):
     whole = {}
     for size in (4_000_000, 7):
         monkeypatch.setattr(terms, "SHARD_ROWS", size)
+        monkeypatch.setattr(terms, "HEAD_ROWS", size)
         table = features.tfidf_weights(assigned, train, "word_bigram").collect()
         store, space = learn.fit_term_space(train, "ub")
         model = learn.fit_term_models(store, space, ["word_bigram"], [1.0, 2.0])["word_bigram"]
@@ -138,6 +139,20 @@ def test_any_number_of_shards_gives_the_same(spark, assigned, monkeypatch):
     assert whole[7] == whole[4_000_000]
 
 
+@pytest.mark.parametrize("head", [1, 40])
+def test_rare_terms_of_a_model_meet_the_rows_in_a_join(spark, rung, assigned, monkeypatch, head):
+    """Repeated rows, a null, an empty and an unknown text score the same with any head."""
+    more = spark.createDataFrame([("n", "s", None, 0, "test"), ("e", "s", "", 0, "test"), ("u", "s", "zzz", 0, "test")], SCHEMA)
+    rows = assigned.unionByName(assigned.limit(5)).unionByName(more)
+    get = lambda: sorted((x["sentence_id"], round(x["probability"], 9)) for x in rung.score(rows).collect())
+    whole = get()
+    monkeypatch.setattr(terms, "HEAD_ROWS", head)
+    assert get() == whole
+    table = rung.model.table
+    kept, rest = terms._head_and_tail(table)
+    assert kept.count() + rest.count() == table.count()
+
+
 def test_search_has_nine_candidates_and_one_winner(rung, assigned):
     rows = rung.search.orderBy("candidate_index").collect()
     assert [r["candidate"] for r in rows[:3]] == ["word_unigram_c0.5", "word_unigram_c1", "word_unigram_c2"]
