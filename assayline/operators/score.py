@@ -104,7 +104,7 @@ def score_file(
 ) -> str:
     """Score the rows of a file into a table at ``target`` with any saved rung; returns ``target``.
 
-    Rows without an id column are numbered in file order. The texts are read, scored and checked
+    Rows without an id column are numbered in file order first. The texts are scored and checked
     in one pass: no rows at all, blank texts and missing ids are counted by the tasks that write the
     scores (a task that is run again may count twice, so counts are only compared with zero).
     Given ids are then compared over the written scores alone. Any violation or unusable
