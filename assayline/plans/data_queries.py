@@ -15,7 +15,8 @@ from assayline.operators import dedup, profile, quality, score, split
 from assayline.plans import views
 from assayline.plans.views import rounded, sql
 from assayline.session import fresh_path, materialise, spread_table, table
-from assayline.sources import files, lines, tables
+from assayline.sources import archives, files, lines, tables
+from assayline.sources.files import open_place
 
 _ONE_LINE = r"[\t\n\r]+"
 
@@ -153,6 +154,48 @@ def archive_members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _zip_file(folder: str):
+    def write(block: pd.DataFrame) -> pd.DataFrame:
+        store, place = open_place(folder)
+        name = f"{place}/{block['block'].iloc[0]:09d}.zip"
+        ordered = block.sort_values("line_number")
+        with store.open_output_stream(name) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for odd, member in enumerate(("even.txt", "odd.txt")):
+                values = ordered.loc[ordered["odd"] == odd, "value"]
+                archive.writestr(f"nested/{member}", "".join(f"{v}\n" for v in values))
+            archive.writestr("readme.txt", "not a member")
+        return pd.DataFrame({"name": [name], "lines": [len(block)]})
+
+    return write
+
+
+def _stored_archives(spark: SparkSession, folder: str) -> str:
+    """The labelled documents as zip files of some hundred lines each, in the shared folder."""
+    path = fresh_path(spark, "archives")
+    # a table written there makes the folder; Spark's readers pass over names that begin with _
+    spark.range(1).write.parquet(f"{path}/_made")
+    place = path if ":" in path else f"file://{path}"
+    rows = _as_lines(views.labelled_documents(spark, folder)).withColumns({
+        "block": F.floor((F.col("line_number") - 1) / _FILE_ROWS), "odd": ((F.col("line_number") - 1) % 2).cast("int"),
+    })
+    written = rows.drop("source").groupBy("block").applyInPandas(_zip_file(place), "name string, lines bigint")
+    materialise(written, "archives-written")
+    return path
+
+
+#: Members of those archives and their sources, in the order that decides which of equal texts is first.
+ARCHIVE_SOURCES = {"even.txt": "even", "odd.txt": "odd"}
+
+
+def prepare_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored archives, checked against a manifest of their checksums, to the published table."""
+    path = _stored_archives(spark, folder)
+    sums = files.stored_checksums(spark, path, "*.zip")
+    manifest = materialise(sums.select("path", F.col("actual_sha256").alias("expected_sha256")), "manifest")
+    target = fresh_path(spark, "prepared-archives")
+    return archives.prepare_archives(spark, path, ARCHIVE_SOURCES, target, manifest, pattern="*.zip").rows
+
+
 def text_keys(spark: SparkSession, folder: str) -> DataFrame:
     return spread_table(spark, folder, "documents", ["doc_id", "text"]).select("doc_id", text_key(F.col("text")).alias("key"))
 
@@ -267,6 +310,7 @@ QUERIES = {
     "union_sources": union_sources,
     "file_checksums": file_checksums,
     "archive_members": archive_members,
+    "prepare_archives": prepare_archives,
     "text_key": text_keys,
     "stable_id": stable_ids,
     "prepare": views.prepared,
@@ -389,6 +433,12 @@ union all select 'benchmark', 2, cast(item_id as varchar), length(text) from ben
         f"select 'label_' || label || '.txt' as basename, label, count(*) as lines, "
         f"sum(length({_LINE})) as characters from labelled group by all",
     ),
+    "prepare_archives": sql(
+        "keyed",
+        f"select 'sentence_' || sha256(k) as sentence_id, case doc_id % 2 when 0 then 'even' else 'odd' end as source, "
+        f"{_LINE} as text, label from (select *, row_number() over (partition by k order by doc_id % 2, doc_id) as rn "
+        "from keyed) where rn = 1",
+    ),
     "text_key": f"select doc_id, {_DOC_KEY} as key from documents",
     "stable_id": f"select doc_id, 'sentence_' || sha256({_DOC_KEY}) as sentence_id from documents",
     "prepare": _PREPARED,
