@@ -109,7 +109,7 @@ def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return files.verify_checksums(found, manifest)
 
 
-_FILE_ROWS = 500
+FILE_ROWS = 500
 
 
 def stored_checksums(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +119,7 @@ def stored_checksums(spark: SparkSession, folder: str) -> DataFrame:
     """
     path = fresh_path(spark, "files")
     rows = table(spark, folder, "documents").select(
-        F.floor(F.col("doc_id") / _FILE_ROWS).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value")
+        F.floor(F.col("doc_id") / FILE_ROWS).alias("file"), "doc_id", F.coalesce("text", F.lit("")).alias("value")
     )
     cores = spark.sparkContext.defaultParallelism
     dealt = rows.repartition(4 * cores, "file").sortWithinPartitions("file", "doc_id")
@@ -169,14 +169,14 @@ def _zip_file(folder: str):
     return write
 
 
-def _stored_archives(spark: SparkSession, folder: str) -> str:
+def stored_archives(spark: SparkSession, folder: str) -> str:
     """The labelled documents as zip files of some hundred lines each, in the shared folder."""
     path = fresh_path(spark, "archives")
     # a table written there makes the folder; Spark's readers pass over names that begin with _
     spark.range(1).write.parquet(f"{path}/_made")
     place = path if ":" in path else f"file://{path}"
     rows = _as_lines(views.labelled_documents(spark, folder)).withColumns({
-        "block": F.floor((F.col("line_number") - 1) / _FILE_ROWS), "odd": ((F.col("line_number") - 1) % 2).cast("int"),
+        "block": F.floor((F.col("line_number") - 1) / FILE_ROWS), "odd": ((F.col("line_number") - 1) % 2).cast("int"),
     })
     written = rows.drop("source").groupBy("block").applyInPandas(_zip_file(place), "name string, lines bigint")
     materialise(written, "archives-written")
@@ -189,7 +189,7 @@ ARCHIVE_SOURCES = {"even.txt": "even", "odd.txt": "odd"}
 
 def prepare_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Stored archives, checked against a manifest of their checksums, to the published table."""
-    path = _stored_archives(spark, folder)
+    path = stored_archives(spark, folder)
     sums = files.stored_checksums(spark, path, "*.zip")
     manifest = materialise(sums.select("path", F.col("actual_sha256").alias("expected_sha256")), "manifest")
     target = fresh_path(spark, "prepared-archives")
@@ -608,7 +608,7 @@ select case when doc_id % 10 = 2 then 'absent/' || doc_id else cast(doc_id as va
   case doc_id % 10 when 0 then 'mismatch' when 1 then 'malformed' when 2 then 'missing' else 'ok' end as status
 from documents""",
     "stored_checksums": f"""
-select cast(doc_id // {_FILE_ROWS} as bigint) as file, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as length,
+select cast(doc_id // {FILE_ROWS} as bigint) as file, cast(sum(strlen(coalesce(text, '')) + 1) as bigint) as length,
   sha256(string_agg(coalesce(text, '') || chr(10), '' order by doc_id)) as actual_sha256
 from documents group by all""",
     "artifact_bytes": "select cast(sum(strlen(regexp_replace(text, '[\\r\\n]+', ' ', 'g')) + 1) as bigint) "

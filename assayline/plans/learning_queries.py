@@ -10,6 +10,8 @@ from assayline.operators import learn, score
 from assayline.operators.split import apply_split, stratified_split
 from assayline.operators.terms import with_idf, word_key
 from assayline.plans import text_queries, views
+from assayline.plans.data_queries import ARCHIVE_SOURCES, FILE_ROWS, stored_archives
+from assayline.plans.run import run_archives as run_stored
 from assayline.plans.run import run_benchmark as run
 from assayline.schema import ID, LABEL, SPLIT, SPLIT_NAMES
 from assayline.session import fresh_path, materialise, table
@@ -143,6 +145,30 @@ def run_benchmark(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def run_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored archives to published evidence; one row per member read, with what the run published of it all.
+
+    ``metrics_agree``: accuracies and positive rates counted again from the published test predictions.
+    """
+    path, target = stored_archives(spark, folder), fresh_path(spark, "evidence")
+    found = run_stored(spark, path, ARCHIVE_SOURCES, target, pattern="*.zip").tables
+    manifest = found["run_manifest"].first()
+    comparison = {r["model"]: r["test_accuracy"] for r in found["model_comparison"].collect()}  # one row per model
+    right = [F.avg(((F.col(f"{m}_probability") >= 0.5).cast("int") == F.col(LABEL)).cast("int")).alias(m) for m in comparison]
+    again = found["test_predictions"].agg(*right).first()
+    agree = all(abs(again[m] - value) < 1e-9 for m, value in comparison.items())
+    counts = [
+        F.lit(manifest[f"{name}_rows"]).cast("bigint").alias(f"{name}_rows")
+        for name in ("raw", "prepared", *SPLIT_NAMES)
+    ]
+    members = found["input_checksums"].where(F.contains("path", F.lit("!/")))
+    return members.select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("member"),
+        F.regexp_extract("path", "([0-9]+)[.]zip!/", 1).cast("bigint").alias("block"),
+        "length", "actual_sha256", *counts, F.lit(agree).alias("metrics_agree"),
+    )
+
+
 QUERIES = {
     "logistic_fit": logistic_fit,
     "candidate_search": candidate_search,
@@ -152,6 +178,7 @@ QUERIES = {
     "score_file": score_file,
     "model_roundtrip": model_roundtrip,
     "run_benchmark": run_benchmark,
+    "run_archives": run_archives,
 }
 
 
@@ -221,5 +248,16 @@ ORACLES: dict[str, str] = {
     ),
     "model_roundtrip": views.sql("split", "select sentence_id, true as same from assigned"),
 }
+ORACLES["run_archives"] = views.sql(
+    "split",
+    f"""select m.*, (select count(*) from labelled) as raw_rows, n.* , true as metrics_agree from (
+      select case doc_id % 2 when 0 then 'even.txt' else 'odd.txt' end as member, doc_id // {FILE_ROWS} as block,
+        cast(sum(strlen(line)) as bigint) as length, sha256(string_agg(line, '' order by doc_id)) as actual_sha256
+      from (select doc_id, regexp_replace(text, '[\\t\\n\\r]+', ' ', 'g') || chr(9) || label || chr(10) as line
+        from labelled) group by all) m,
+      (select count(*) as prepared_rows, count(*) filter (split = 'train') as train_rows,
+        count(*) filter (split = 'validation') as validation_rows, count(*) filter (split = 'test') as test_rows
+      from assigned) n""",
+)
 # the same scores, by way of files
 ORACLES["score_file"] = ORACLES["score_batch"]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +70,41 @@ def shared_folder(spark: SparkSession) -> str:
 _local_folder: str | None = None
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _files_at(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files_at(spark, path)
+    return files.exists(place)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    files, place = _files_at(spark, path)
+    files.delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is written to the shared folder inside this block is deleted at its end.
+
+    No frame that reads such rows may be used after it.
+    """
+    folder = fresh_path(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        delete_folder(spark, folder)
 
 
 def materialise(df: DataFrame, name: str, partition_bytes: int | None = None) -> DataFrame:
@@ -82,7 +118,12 @@ def materialise(df: DataFrame, name: str, partition_bytes: int | None = None) ->
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
+    return dealt_out(spark.read.schema(df.schema).parquet(path), path, partition_bytes)
+
+
+def dealt_out(written: DataFrame, path: str, partition_bytes: int | None) -> DataFrame:
+    """The rows written at ``path``, dealt out as ``materialise`` says."""
+    spark = written.sparkSession
     if partition_bytes is None:
         return written
     cores = spark.sparkContext.defaultParallelism
