@@ -298,15 +298,15 @@ def run_archives(
     """
     settings = settings or RunSettings()
     folder = folder.rstrip("/")
-    with scratch(spark):
-        stored = materialise(files.stored_checksums(spark, path, pattern), "archives")
-        chosen = {
-            **settings.named(), "sources": list(sources.items()), "rows": (raw_rows, prepared_rows),
-            "vectors": vectors is not None and vector_column,
-            "manifest": manifest is not None and tables.table_digest(manifest).first()["digest"],
-        }
-        identity = f"{tables.table_digest(stored).first()['digest']}|{sorted(map(str, chosen.items()))}"
-        stages = Stages(spark, f"{folder}/stages-{hashlib.sha256(identity.encode()).hexdigest()[:32]}")
+    chosen = {
+        **settings.named(), "sources": list(sources.items()), "rows": (raw_rows, prepared_rows),
+        "vectors": vectors is not None and vector_column,
+        "manifest": manifest is not None and tables.table_digest(manifest).first()["digest"],
+    }
+    stored = tables.table_digest(files.stored_checksums(spark, path, pattern)).first()["digest"]
+    identity = f"{stored}|{sorted(map(str, chosen.items()))}"
+    stages = Stages(spark, f"{folder}/stages-{hashlib.sha256(identity.encode()).hexdigest()[:32]}")
+    with scratch(spark, stages.folder):  # a killed run's intermediates go with the stages
         if not stages.has("prepared"):
             found = checked_archives(spark, path, sources, manifest, raw_rows, prepared_rows, pattern)
             stages.table("checksums", lambda: found.checksums)
@@ -321,5 +321,5 @@ def run_archives(
             stages, prepared, counted.first()["rows"], settings, folder, given, vector_column, inputs=checksums
         )
         published = published_evidence(spark, evaluation, folder)
-        stages.clear()
+    stages.clear()
     return published

@@ -93,12 +93,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[str]:
-    """What is written to the shared folder inside this block is deleted at its end.
+def scratch(spark: SparkSession, below: str | None = None) -> Iterator[str]:
+    """Intermediates written inside this block are deleted at its end.
 
-    No frame that reads such rows may be used after it.
+    They lie below ``below``, which executors share, or else in the shared folder. No frame that
+    reads them may be used after the block.
     """
-    folder = fresh_path(spark, "scratch")
+    folder = f"{below}/scratch-{uuid.uuid4().hex}" if below else fresh_path(spark, "scratch")
     token = _scratch.set(folder)
     try:
         yield folder

@@ -1,6 +1,7 @@
 """The run from stored archives: killed, taken up again, started anew when something differs."""
 
 import os
+import re
 import subprocess
 import sys
 import zipfile
@@ -30,6 +31,11 @@ def _settings(**change):
     return run.RunSettings(**{"embedding": learn.EmbeddingSettings(epochs=2), "resamples": 20, **change})
 
 
+def _intermediates(spark) -> set[str]:
+    """What the library wrote to the shared folder; each Spark context makes a folder of its own there."""
+    return {n for n in os.listdir(shared_folder(spark)) if re.search("-[0-9a-f]{32}$", n)}
+
+
 @pytest.fixture(scope="module")
 def stored(tmp_path_factory):
     rng = np.random.default_rng(8)
@@ -47,6 +53,7 @@ def stored(tmp_path_factory):
 def test_a_killed_run_goes_on_from_its_last_whole_stage(spark, stored, tmp_path, monkeypatch):
     folder = str(tmp_path / "evidence")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    before = _intermediates(spark)
     killed = subprocess.run([sys.executable, "-c", KILLED, stored, folder], cwd=root, timeout=300, capture_output=True)
     assert killed.returncode == 9
     left = [n for n in os.listdir(folder) if n.startswith("stages-")]
@@ -72,9 +79,9 @@ def test_a_killed_run_goes_on_from_its_last_whole_stage(spark, stored, tmp_path,
     assert manifest["config"]["input_digest"] == whole.tables["run_manifest"].first()["config"]["input_digest"]
     assert {r.path.rsplit("/", 1)[1] for r in resumed.tables["input_checksums"].collect()} == {"in.zip", *SOURCES}
     assert all(rows.limit(1).count() == 1 for name, rows in resumed.tables.items() if name != "model_disagreements")
-    # nothing of the way is left: no stage, no intermediate
+    # nothing of the way is left, of the killed run neither: no stage, no intermediate
     assert not [n for n in os.listdir(folder) if n.startswith(("stages-", ".stages"))]
-    assert not [n for n in os.listdir(shared_folder(spark)) if n.startswith("scratch-")]
+    assert _intermediates(spark) == before
 
 
 def test_another_setting_or_manifest_starts_anew(spark, stored, tmp_path, monkeypatch):
@@ -87,12 +94,12 @@ def test_another_setting_or_manifest_starts_anew(spark, stored, tmp_path, monkey
     wrong = spark.createDataFrame([(stored, "0" * 64)], "path string, expected_sha256 string")
     with pytest.raises(IntegrityError, match="mismatch"):
         run.run_archives(spark, stored, SOURCES, folder, wrong, settings=_settings())
-    assert not os.path.exists(folder)
+    assert not [n for _, below, _ in os.walk(folder) for n in below if not n.startswith("stages-")]
     for settings in (_settings(), _settings(), _settings(seed=7)):
         with pytest.raises(RuntimeError, match="stopped"):
             run.run_archives(spark, stored, SOURCES, folder, settings=settings)
-    # prepared once for the first two; the manifest is checked though prepared rows are there
-    assert len([n for n in os.listdir(folder) if n.startswith("stages-")]) == 2
+    # the first two share their stages; the manifest is checked though prepared rows are there
+    assert len([n for n in os.listdir(folder) if os.path.exists(f"{folder}/{n}/prepared")]) == 2
     with pytest.raises(IntegrityError, match="mismatch"):
         run.run_archives(spark, stored, SOURCES, folder, wrong, settings=_settings())
 
