@@ -15,7 +15,7 @@ from assayline.functions.tokens import (
     with_term_counts,
     with_word_ngrams,
 )
-from assayline.operators import features
+from assayline.operators import features, terms
 
 SAMPLES = [
     "Ｗｉｄｅ  ＬＥＴＴＥＲＳ  here",
@@ -159,3 +159,21 @@ def test_encoding_is_the_same_on_both_sides_of_the_size_switch(spark):
         for n in (10, 1)
     ]
     assert sides[0] == sides[1] and len(sides[0]) == 5
+
+
+def test_a_large_idf_table_meets_the_rare_terms_in_a_join(spark, monkeypatch):
+    """No more than the head travels to the tasks; repeated and null ids, null and empty texts and unknown terms weigh the same."""
+    data = [(str(i % 9), f"common w{i} w{i % 3} only{i} only{i}") for i in range(12)]
+    data += [(None, "common w1"), (None, "w2 w2"), ("x", None), ("y", ""), ("z", "zzz qqq"), ("0", data[0][1])]
+    rows = spark.createDataFrame(data, "sentence_id string, text string")
+    idf = features.fit_idf(rows.where("text not like 'zzz%'"), "word_char")
+    sent = []
+    lookup = terms.shards
+    monkeypatch.setattr(terms, "shards", lambda table, columns: (sent.append(table.count()), lookup(table, columns))[1])
+    get = lambda: sorted((str(r[0]), r[1], r[2], round(r[3], 9)) for r in features.weigh_terms(rows, idf, "word_char").collect())
+    whole = get()
+    for head in (30, 1):
+        monkeypatch.setattr(terms, "LOOKUP_ROWS", head)
+        sent.clear()
+        assert get() == whole
+        assert max(sent) <= head
