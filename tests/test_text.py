@@ -4,6 +4,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,15 @@ def test_a_large_idf_table_meets_the_rare_terms_in_a_join(spark, monkeypatch):
         sent.clear()
         assert get() == whole
         assert max(sent) <= head
+
+
+def test_pieces_of_all_rows_are_counted_as_row_by_row_with_few_rows_shuffled(spark, monkeypatch):
+    data = [("1", t) for t in SAMPLES] + [("1", SAMPLES[3]), (None, "ab ab  ab\n"), ("n", None), ("e", ""), ("b", " \t ")]
+    rows = spark.createDataFrame(data, "sentence_id string, text string")
+    one = features.term_table(rows, "c", features.BLOCKS["word_char"]["c"])
+    want = sorted(map(tuple, one.groupBy("term").agg(F.sum("tf"), F.count(F.lit(1))).collect()))
+    for limit in (1 << 18, 3):
+        monkeypatch.setattr(terms, "CHUNK_WORDS", limit)
+        assert sorted(map(tuple, terms.piece_totals(rows).collect())) == want
+    many = terms._piece_totals(pa.array(["hello", "there"] * 50), np.repeat(np.arange(50), 2), 3, 5)
+    assert many.num_rows == len(set(many.column(0).to_pylist())) and set(many.column("df").to_pylist()) == {50}
