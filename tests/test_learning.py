@@ -125,6 +125,49 @@ def test_term_weights_are_the_relational_weights(spark, assigned):
     assert table.join(keys, "key").count() == 0
 
 
+def test_terms_of_one_row_are_one_feature_of_the_fit_with_the_same_weights(spark, assigned):
+    """Repeated and null texts included; the fit sees one feature per row in place of all its own terms."""
+    train = assigned.where("split = 'train'")
+    train = train.unionByName(train.limit(3)).unionByName(
+        spark.createDataFrame([("n", "a", None, 0, "train"), ("o", "b", "seen nowhere else", 1, "train")], SCHEMA))
+    store, table = learn.fit_term_space(train)
+    idf = float(np.log((1 + store.count()) / 2) + 1)
+    plain, merged = (terms.design_rows(store, table, ["word_char"], "label", x) for x in (None, idf))
+    count = lambda rows: rows.select(F.explode("keys")).distinct().count()
+    lone = merged.where(F.size("singles") > 0).count()
+    assert lone and count(merged) == 1 + table.where("df > 1").count() + lone < count(plain)
+    found = [
+        learn.fit_term_models(store, table, ["word_unigram", "word_char"], [0.5, 2.0], 1e-8, whole) for whole in (False, True)
+    ]
+    for name in found[0]:
+        a, b = ({(r.kind, r.key): r.weights for r in f[name].table.collect()} for f in found)
+        assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-5) for k in a)
+        assert np.allclose(found[0][name].intercepts, found[1][name].intercepts, atol=1e-5)
+
+
+def test_a_fit_leaves_no_checkpoint_and_no_shuffle_behind(spark):
+    import glob
+    from urllib.parse import urlparse
+    rows, _, _ = _sparse_rows(spark, 400)
+    context = spark.sparkContext
+    before = set(glob.glob(f"{urlparse(context.getCheckpointDir() or '').path}/rdd-*"))
+    sizes = []
+    judged = solver.Fit.react
+
+    def react(self, facts, loss):
+        sizes.append(context._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size())
+        return judged(self, facts, loss)
+
+    solver.Fit.react = react
+    try:
+        _, passes = solver.fit_designs(rows.repartition(2), ["d"], [1.0], 1e-9, 60)
+    finally:
+        solver.Fit.react = judged
+    assert passes > 2 * solver.CHECKPOINT_PASSES
+    assert not set(glob.glob(f"{urlparse(context.getCheckpointDir()).path}/rdd-*")) - before
+    assert max(sizes[8:]) <= 2 * max(sizes[:8])  # files of two shuffles a pass would make it three times as many
+
+
 def test_any_number_of_shards_gives_the_same(spark, assigned, monkeypatch):
     train = assigned.where("split = 'train'")
     whole = {}
