@@ -105,6 +105,58 @@ def test_the_row_bound_leaves_out_labels_0_first(spark):
     assert {r.label: r["count"] for r in sample.groupBy("label").count().collect()} == {1: 15, 0: 5}
 
 
+def test_toxicity_learns_from_and_calibrates_on_every_labelled_row(spark, monkeypatch):
+    rows = [(n, f"word{n % 50} word{n % 7} " + ("grunk" if n % 4 == 0 else "fine"), "en", int(n % 4 == 0)) for n in range(9000)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id bigint, toxic int")
+    counts, tags, calibrated = [], toxicity.row_tags, toxicity._calibrated
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    monkeypatch.setattr(toxicity, "row_tags", lambda learnt: counts.append(learnt.count()) or tags(learnt))
+    monkeypatch.setattr(toxicity, "_calibrated", lambda net, judged, times: counts.append(judged.count()) or calibrated(net, judged, times))
+    toxicity.fit(docs, labels)
+    assert sum(counts) == 9000 and 1500 < counts[1] < 2100
+
+
+def test_toxicity_from_several_shards_and_blocks(spark, toxic, monkeypatch):
+    docs, labels, rows = toxic
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 100)
+    given = labels.where("doc_id < 1200")
+    models = [toxicity.fit(docs.repartition(n), given, collected=0) for n in (1, 5)]
+    found = {r.doc_id: r for r in toxicity.score(docs, models[0]).collect()}
+    held = [r for r in rows if r[0] >= 1200]
+    assert sum((found[n].score >= 0.5) == bool(bad) for n, _, _, bad in held) >= 0.97 * len(held)
+    assert np.array_equal(models[0].net.flat(), models[1].net.flat())
+
+
+def test_a_text_of_several_spans_pools_as_one(monkeypatch):
+    draw = np.random.default_rng(0)
+    tags = np.zeros(1 << toxicity.TABLE_BITS, np.uint32)
+    tags[1:400] = 1
+    net = toxicity.Network.fresh(tags)
+    sizes = np.array([1, 70, 0, 500, 3])
+    padded = toxicity._padded(draw.integers(1, 400, (2, sizes.sum())).astype(np.int32), sizes)
+    whole = net.pooled(*padded, where=True)
+    monkeypatch.setattr(toxicity, "SPAN", 16)
+    cut = net.pooled(*padded, where=True)
+    assert np.allclose(whole[0], cut[0], atol=1e-6)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[1], cut[1]))
+    again = toxicity.Network.of_flat(tags, net.flat())
+    assert np.array_equal(again.pooled(*padded)[0], cut[0])
+
+
+def test_calibration_by_spark_is_that_of_the_driver(spark):
+    draw = random.Random(5)
+    rows = [(round(draw.gauss(bad, 1.2), 1), bad, lang) for bad, lang, n in
+            [(0, "en", 300), (1, "en", 60), (0, None, 90), (1, None, 25), (0, "fr", 40), (1, "fr", 4)] for _ in range(n)]
+    judged = spark.createDataFrame(rows, "margin double, label int, lang string").repartition(3)
+    for times in ({0: 1.0, 1: 1.0}, {0: 2.5, 1: 1.25}):
+        here, there = (f(None, judged, times) for f in (toxicity._calibrated, toxicity._calibrated_by_spark))
+        assert there.slope == pytest.approx(here.slope) and there.shift == pytest.approx(here.shift)
+        assert there.threshold == pytest.approx(here.threshold)
+        assert set(here.thresholds) == {"en", None} and there.thresholds == pytest.approx(here.thresholds)
+
+
 def test_weights_count_as_rows():
     scores, labels, times = np.array([0.9, 0.8, 0.6, 0.4, 0.1]), np.array([1, 0, 1, 0, 0]), np.array([1, 3, 2, 3, 1])
     many, of = np.repeat(scores, times), np.repeat(labels, times)
