@@ -27,11 +27,12 @@ from __future__ import annotations
 import itertools
 import string
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -53,10 +54,14 @@ SEED = 7
 #: Labelled rows of one training task, and what it holds of them at once.
 SHARD_ROWS = 32_768
 BLOCK_ROWS = 8192
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 LONGEST = 8
 #: Calibrating rows that are brought to the driver, a margin and a label each.
 COLLECTED = 1 << 18
+#: Labelled rows that are sent to the documents; more of them meet in a shuffled join.
+BROADCAST_LABELS = 1 << 19
+#: Texts that go to Python at once while the model is fitted.
+BATCH_TEXTS = 256
 #: Places whose responses are held at once.
 SPAN = 1 << 18
 #: Weights in one row of a shard's result.
@@ -441,8 +446,28 @@ def fit(
     docs: DataFrame, labels: DataFrame, max_rows: int | None = None, max_words: int | None = None, collected: int = COLLECTED
 ) -> ToxicityModel:
     """A model from all ``labels`` (doc_id, toxic) and the texts and languages of ``docs``, unless bounded."""
+    with _small_batches(docs.sparkSession):
+        return _fitted(docs, labels, max_rows, max_words, collected)
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``BATCH_TEXTS`` rows for what runs inside: texts and their words are long rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, max_rows: int | None, max_words: int | None, collected: int) -> ToxicityModel:
     sample, stands_for = labelled_sample(labels, max_rows) if max_rows else (_valid(labels), {0: 1.0, 1: 1.0})
-    shards = -(-sample.count() // SHARD_ROWS) or 1
+    listed = sample.count()
+    shards = -(-listed // SHARD_ROWS) or 1
+    if listed <= BROADCAST_LABELS:
+        sample = F.broadcast(sample)
     texts = docs.select("doc_id", F.col("text").alias("text"), _lang(docs).alias("lang"))
     order = F.xxhash64("doc_id")
     joined = texts.join(sample, "doc_id").select(
