@@ -28,10 +28,11 @@ import itertools
 import string
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -167,20 +168,27 @@ class Network:
             np.zeros(1, np.float32),
         )
 
+    def parts(self) -> Iterator[np.ndarray]:
+        """All weights that words can reach, as one array cut into ``_PART`` each; no second copy is made."""
+        live = np.flatnonzero(self.tags)
+        size = len(live) * DIMENSIONS
+        dense = np.concatenate([x.ravel() for x in (*self.filters, *self.biases, self.weights, self.bias)])
+        for a in range(0, size + len(dense), _PART):
+            reached = self.table[live[a // DIMENSIONS : (a + _PART) // DIMENSIONS]].ravel()
+            yield np.concatenate((reached, dense[max(a - size, 0) : max(a + _PART - size, 0)]))
+
     def flat(self) -> np.ndarray:
-        """All weights that words can reach, in one array."""
-        live = self.table[np.flatnonzero(self.tags)]
-        return np.concatenate([x.ravel() for x in (live, *self.filters, *self.biases, self.weights, self.bias)])
+        return np.concatenate([*self.parts()])
 
     @staticmethod
     def of_flat(tags: np.ndarray, values: np.ndarray) -> Network:
         live = np.flatnonzero(tags)
-        shapes = [(len(live), DIMENSIONS), *[(w * DIMENSIONS, FILTERS) for w in WIDTHS],
-                  *[(FILTERS,) for _ in WIDTHS], (len(WIDTHS) * FILTERS,), (1,)]
-        ends = np.cumsum([np.prod(x) for x in shapes])
-        reached, *dense = [x.reshape(shape).copy() for x, shape in zip(np.split(values, ends[:-1]), shapes)]
         table = np.zeros((1 << TABLE_BITS, DIMENSIONS), np.float32)
-        table[live] = reached
+        table[live] = values[: len(live) * DIMENSIONS].reshape(-1, DIMENSIONS)
+        shapes = [*[(w * DIMENSIONS, FILTERS) for w in WIDTHS], *[(FILTERS,) for _ in WIDTHS], (len(WIDTHS) * FILTERS,), (1,)]
+        ends = np.cumsum([np.prod(x) for x in shapes])
+        pieces = np.split(values[len(live) * DIMENSIONS :].copy(), ends[:-1])
+        dense = [x.reshape(shape) for x, shape in zip(pieces, shapes)]
         n = len(WIDTHS)
         return Network(tags, table, dense[:n], dense[n : 2 * n], *dense[2 * n :])
 
@@ -295,13 +303,12 @@ def _round(learnt: DataFrame, tags: np.ndarray, start: np.ndarray, rate: float,
             words, count = words + len(hashes), count + 1
         for _ in range(epochs):
             training.epoch(rows, np.array(labels))
-        values = training.net.flat()
-        cells = [values[a : a + _PART].tobytes() for a in range(0, len(values), _PART)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard] * len(cells), pa.int64()), pa.array([count] * len(cells), pa.int64()),
-             pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.binary())],
-            ["shard", "rows", "part", "values"],
-        )
+        for number, part in enumerate(training.net.parts()):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard], pa.int64()), pa.array([count], pa.int64()), pa.array([number], pa.int32()),
+                 pa.array([part.tobytes()], pa.binary())],
+                ["shard", "rows", "part", "values"],
+            )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, group in itertools.groupby(_labelled(batches), key=lambda row: row[0]):
@@ -502,12 +509,17 @@ def _fitted(docs: DataFrame, labels: DataFrame, max_rows: int | None, max_words:
     return calibrated(net, margins, stands_for)
 
 
+def _sent(spark: SparkSession, net: Network) -> Broadcast:
+    """Plain arrays: a broadcast carries no code."""
+    return spark.sparkContext.broadcast([getattr(net, f.name) for f in fields(net)])
+
+
 def _margins(judged: DataFrame, net: Network) -> DataFrame:
     """``(margin, label, lang)`` of each row."""
-    sent = judged.sparkSession.sparkContext.broadcast((net.tags, net.flat()))
+    sent = _sent(judged.sparkSession, net)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.of_flat(*sent.value)
+        net = Network(*sent.value)
         for batch in batches:
             found = [
                 net.margins(word_rows(t.view(np.uint64), net.tags), np.array([len(t)]))[0] for t in _lists(batch.column("words"))
@@ -580,13 +592,12 @@ def _scored(docs: DataFrame, model: ToxicityModel) -> tuple[Column, Column]:
     """Score and flag of each row of ``docs``. Only the texts go to Python, and only scores come back."""
     score = F.lit(float(model.shift))
     if model.net:
-        # plain arrays: a broadcast carries no code
-        sent = docs.sparkSession.sparkContext.broadcast((model.net.tags, model.net.flat()))
+        sent = _sent(docs.sparkSession, model.net)
         slope, shift = model.slope, model.shift
 
         @F.arrow_udf(DoubleType())
         def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            net, model = Network.of_flat(*sent.value), ToxicityModel(None, slope, shift, {}, THRESHOLD)
+            net, model = Network(*sent.value), ToxicityModel(None, slope, shift, {}, THRESHOLD)
             for texts in batches:
                 scores = np.empty(len(texts))
                 for a, b in kernels.chunks(texts):
