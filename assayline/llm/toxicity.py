@@ -459,14 +459,16 @@ def fit(
 
 @contextmanager
 def _small_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of at most ``BATCH_TEXTS`` rows for what runs inside: texts and their words are long rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_TEXTS))
+    """Batches of at most ``BATCH_TEXTS`` rows for what runs inside, read and sent to Python: texts and their words are long rows."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {key: spark.conf.get(key) for key in keys}
+    for key in keys:
+        spark.conf.set(key, str(BATCH_TEXTS))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def _fitted(docs: DataFrame, labels: DataFrame, max_rows: int | None, max_words: int | None, collected: int) -> ToxicityModel:
