@@ -370,3 +370,28 @@ def test_embedding_rung_learns_and_repeats_itself(spark):
     test = rungs[0].score(spark.createDataFrame(rows, schema).where("split = 'test'")).collect()
     right = np.mean([(r.probability >= 0.5) == r.label for r in test])
     assert right > 0.2 + max(np.mean([r.label for r in test]), 1 - np.mean([r.label for r in test])) - 0.05
+
+
+def test_embedding_rung_learns_words_in_parts_of_a_table_and_encodes_texts_once(spark, monkeypatch):
+    learned, encoded = [], []
+
+    class Words(learn.Word2Vec):
+        def fit(self, rows, params=None):
+            learned.append((self.getNumPartitions(), rows.rdd.getNumPartitions()))
+            return super().fit(rows, params)
+
+    encode = learn.encode_text
+    monkeypatch.setattr(learn, "Word2Vec", Words)
+    monkeypatch.setattr(learn, "encode_text", lambda df, *rest: encoded.append(df.columns) or encode(df, *rest))
+    n = F.col("id")
+    label = (F.xxhash64("id") % 2 == 0).cast("bigint")
+    rows = spark.range(9_600).select(
+        n.cast("string").alias("sentence_id"), label.alias("label"),
+        F.concat_ws(" ", n.cast("string"), F.when(label == 1, "good fine").otherwise("bad poor")).alias("text"),
+        F.when(n < 9_000, "train").when(n < 9_300, "validation").otherwise("test").alias("split"),
+    )
+    rung = learn.embedding_rung(rows, learn.EmbeddingSettings(epochs=1, patience=1, vocabulary_size=20))
+    assert learned == [(2, 2)]  # 9,000 train rows: no core learns them alone
+    assert len(encoded) == 2  # train texts and validation texts, each once
+    test = rung.score(rows.where("split = 'test'"))
+    assert test.where((F.col("probability") >= 0.5) == (F.col("label") == 1)).count() == 300
