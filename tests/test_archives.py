@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from assayline.plans import data_queries
 from assayline.schema import IntegrityError
 from assayline.sources import archives, lines
 
@@ -61,6 +62,35 @@ def test_equal_texts_of_many_archives_keep_the_first(spark, tmp_path):
     assert found.raw_rows == 15 and found.rows.count() == 10
 
 
+def test_a_source_may_repeat_earlier_ones_if_said(spark, tmp_path):
+    path, target = str(tmp_path / "in.zip"), str(tmp_path / "table")
+    run = lambda two, **k: archives.prepare_archives(
+        spark, _zip(path, {**BODIES, "y/two.txt": two}), SOURCES, target, **k)
+    repeated = b"GREAT phone\t1\nbad\t0\n"
+    with pytest.raises(IntegrityError, match="source_set"):
+        run(repeated)
+    found = run(repeated, may_repeat=True)
+    assert {tuple(r)[1:] for r in found.rows.collect()} == {row for row in ROWS if row[0] == "a"}
+    assert found.raw_rows == 5
+    left = run(b"great phone\t1\nfilm\t0", may_repeat=True).rows  # one label of b is left
+    assert [tuple(r)[1:] for r in left.where("source = 'b'").collect()] == [("b", "film", 0)]
+    for two, message in ((b"", "no line of b"), (b"film\t0", "lines of b have one label"),
+                         (b"great phone\t0\nfilm\t1", "conflicting")):
+        with pytest.raises(IntegrityError, match=message):
+            run(two, may_repeat=True)
+    assert spark.read.parquet(target).count() == 4
+
+
+def test_the_query_takes_copies_with_keys_shifted_by_an_odd_number(spark, tmp_path):
+    texts = [(i, f"text  {i}", "en", i % 3 % 2) for i in range(40)]
+    rows = [(i + shift, *rest) for shift in (0, 1001) for i, *rest in texts]
+    made = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, quality int")
+    made.select("doc_id", "text", "lang").write.parquet(str(tmp_path / "documents.parquet"))
+    made.select("doc_id", "quality").write.parquet(str(tmp_path / "labels.parquet"))
+    found = data_queries.prepare_archives(spark, str(tmp_path)).collect()
+    assert sorted(tuple(r)[1:] for r in found) == sorted(("even", text, q) for _, text, _, q in texts)
+
+
 def _broken_crc(path):
     """Stored bytes are changed, so the member's CRC is wrong and the directory is whole."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:
