@@ -168,6 +168,59 @@ def test_a_fit_leaves_no_checkpoint_and_no_shuffle_behind(spark):
     assert max(sizes[8:]) <= 2 * max(sizes[:8])  # files of two shuffles a pass would make it three times as many
 
 
+def test_blocks_multiply_in_chunks_of_features(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.random((9, 40)) * (rng.random((9, 40)) < 0.3)
+    x[:, 0] = 1.0
+    held = [np.flatnonzero(r) for r in x]
+    packed = {
+        "design": "d", "offsets": np.cumsum([0] + [len(h) for h in held]).tobytes(), "keys": np.concatenate(held).tobytes(),
+        "values": np.concatenate([r[h] for r, h in zip(x, held)]).tobytes(), "target": np.ones(9).tobytes(),
+    }
+    (number, (_, found)), = solver._blocks(4, [packed, packed])
+    block = solver.Block(*found["d"])
+    dense = np.vstack([x, x])[:, (block.keys * np.uint64(solver._GATHER)).astype(int)]
+    vectors, rows = rng.random((2, len(block.keys))), rng.random((3, 18))
+    for entries in (1, 7, 1 << 18):
+        monkeypatch.setattr(solver, "CHUNK_ENTRIES", entries)
+        assert np.allclose(block.products(vectors), vectors @ dense.T) and np.allclose(block.gradients(rows), rows @ dense)
+    assert number == 4 and (np.diff(block.keys.astype(float)) > 0).all()
+
+
+def test_a_fit_persists_its_rows_and_routes_and_no_state(spark, monkeypatch):
+    rows, _, _ = _sparse_rows(spark, 60, 80)
+    persisted, judged = [], solver.Fit.react
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def react(self, facts, loss):
+        persisted.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return judged(self, facts, loss)
+
+    monkeypatch.setattr(solver.Fit, "react", react)
+    solver.fit_designs(rows.repartition(2), ["d"], [1.0], 1e-3, 20)
+    assert len(persisted) > 5 and max(persisted) <= before + 2
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
+def test_a_fit_deals_its_rows_out_by_entries(spark, assigned, monkeypatch):
+    """However few partitions a store has, no task of a fit holds much more than ``FIT_ENTRIES``; the weights are the same."""
+    store, table = learn.fit_term_space(assigned.where("split = 'train'").coalesce(1), "ub")
+    sizes, fit = [], learn.fit_designs
+
+    def fitted(rows, *rest):
+        sizes.append([sum(len(r["keys"]) for r in part) for part in rows.rdd.glom().collect()])
+        return fit(rows, *rest)
+
+    monkeypatch.setattr(learn, "fit_designs", fitted)
+    found = []
+    for entries in (8_000_000, 20):
+        monkeypatch.setattr(learn, "FIT_ENTRIES", entries)
+        model = learn.fit_term_models(store, table, ["word_unigram", "word_bigram"], [1.0], 1e-8)["word_bigram"]
+        found.append({(r.kind, r.key): r.weights[0] for r in model.table.collect()})
+    assert max(sizes[0]) > 200 > 100 > max(sizes[1])
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-6 for k in found[0])
+
+
 def test_any_number_of_shards_gives_the_same(spark, assigned, monkeypatch):
     train = assigned.where("split = 'train'")
     whole = {}
