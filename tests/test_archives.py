@@ -91,6 +91,32 @@ def test_the_query_takes_copies_with_keys_shifted_by_an_odd_number(spark, tmp_pa
     assert sorted(tuple(r)[1:] for r in found) == sorted(("even", text, q) for _, text, _, q in texts)
 
 
+def test_the_query_takes_equal_texts_with_several_labels(spark, tmp_path):
+    """As in a table of copies whose labels are shifted by another number than their documents; the first text stands."""
+    texts = [(i, f"text  {i}", "en") for i in range(40)]
+    made = spark.createDataFrame([(i + s, *rest) for s in (0, 40) for i, *rest in texts], "doc_id bigint, text string, lang string")
+    made.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i + s, i % 3 % 2) for s in (0, 41) for i in range(39)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = data_queries.prepare_archives(spark, str(tmp_path)).collect()
+    # even lines come before odd ones; each text has its own label, or none, or that of the copy before it
+    given = [(d, f"text  {d % 40}", q) for d, q in labels]
+    first = {}
+    for doc, text, label in sorted(given, key=lambda g: (g[0] % 2, g[0])):
+        first.setdefault(text, (["even", "odd"][doc % 2], text, label))
+    assert sorted(tuple(r)[1:] for r in found) == sorted(first.values())
+    assert len({(t, q) for _, t, q in given}) > len(first)
+
+
+def test_conflicts_are_reported_where_they_are_allowed(spark, tmp_path):
+    path = _zip(tmp_path / "in.zip", {**BODIES, "y/two.txt": b"great phone\t0\nfilm\t1\nplot\t0"})
+    with pytest.raises(IntegrityError, match="conflicting"):
+        archives.checked_archives(spark, path, SOURCES)
+    found = archives.checked_archives(spark, path, SOURCES, may_conflict=True)
+    assert ("a", "Great phone", 1) in {tuple(r)[1:] for r in found.rows.collect()} and found.rows.count() == 5
+    assert [tuple(r)[1:] for r in found.conflicts.collect()] == [(2, 0, 1)]
+
+
 def _broken_crc(path):
     """Stored bytes are changed, so the member's CRC is wrong and the directory is whole."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as archive:

@@ -130,3 +130,14 @@ def test_scratch_is_deleted_after_errors_too(spark):
         assert len(os.listdir(folder)) == 1
         raise RuntimeError
     assert not os.path.exists(folder) and os.path.dirname(fresh_path(spark, "t")) == os.path.dirname(outside)
+
+
+def test_a_run_lists_the_texts_with_several_labels_where_they_are_allowed(spark, monkeypatch):
+    rows = [("1", "a", "Fine", 1, 1), ("2", "a", "fine", 0, 2), ("3", "b", "poor", 0, 3)]
+    labelled = spark.createDataFrame(rows, "sentence_id string, source string, text string, label bigint, place int")
+    monkeypatch.setattr(run, "run_prepared", lambda stages, prepared, raw_rows, *_, conflicts=None: (prepared, raw_rows, conflicts))
+    with pytest.raises(IntegrityError, match="conflicting"):
+        run.run_benchmark(labelled, ["place"])
+    prepared, raw_rows, conflicts = run.run_benchmark(labelled, ["place"], may_conflict=True)
+    assert sorted(tuple(r)[1:] for r in prepared.collect()) == [("a", "Fine", 1), ("b", "poor", 0)] and raw_rows == 3
+    assert [tuple(r)[1:] for r in conflicts.collect()] == [(2, 0, 1)]
