@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from assayline.operators import learn
-from assayline.plans import run
+from assayline.plans import learning_queries, run
 from assayline.plans.stages import Stages
 from assayline.schema import IntegrityError
 from assayline.session import fresh_path, folder_exists, scratch, shared_folder
@@ -19,7 +19,7 @@ SOURCES = {"one.txt": "a", "two.txt": "b"}
 KILLED = """
 import os, sys
 from assayline.operators import learn
-from assayline.plans import run
+from assayline.plans import learning_queries, run
 from assayline.session import local_session
 run.embedding_rung = lambda *_: os._exit(9)
 run.run_archives(local_session("4", "killed"), sys.argv[1], {"one.txt": "a", "two.txt": "b"}, sys.argv[2],
@@ -141,3 +141,24 @@ def test_a_run_lists_the_texts_with_several_labels_where_they_are_allowed(spark,
     prepared, raw_rows, conflicts = run.run_benchmark(labelled, ["place"], may_conflict=True)
     assert sorted(tuple(r)[1:] for r in prepared.collect()) == [("a", "Fine", 1), ("b", "poor", 0)] and raw_rows == 3
     assert [tuple(r)[1:] for r in conflicts.collect()] == [(2, 0, 1)]
+
+
+def test_every_sentence_of_the_query_has_one_vector_whatever_their_ids(spark, tmp_path, monkeypatch):
+    """Ids with gaps, repeated ids and a null one, as in a table of copies with shifted keys."""
+    docs = [(i, f"text {i}", "ab"[i % 2]) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 3 % 2) for i in range(40)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [0, 1, 1, 2, 1_000, 1_001, None]
+    given = [(v, [-1.0 if v is None else float(v)]) for v in ids]
+    spark.createDataFrame(given, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    def stop(labelled, order, vectors, **_):
+        seen.extend(vectors.collect())
+        raise InterruptedError
+
+    monkeypatch.setattr(learning_queries, "run", stop)
+    with pytest.raises(InterruptedError):
+        learning_queries.run_benchmark(spark, str(tmp_path))
+    assert len(seen) == len({r["sentence_id"] for r in seen}) == 40
+    assert {r["embedding"][0] for r in seen} == {0.0, 1.0, 2.0, 1_000.0, 1_001.0}
